@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import packing, token_store
+from tidemark.llm import near_duplicates, packing, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_near_duplicates": near_duplicates.op3_near_duplicates,
     "op5_token_store": token_store.op5_token_store,
     "op10_packing": packing.op10_packing,
 }
