@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import near_duplicates, packing, token_store
+from tidemark.llm import near_duplicates, packing, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": near_duplicates.op3_near_duplicates,
+    "op4_warc_packages": warc.op4_warc_packages,
     "op5_token_store": token_store.op5_token_store,
     "op10_packing": packing.op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_warc_packages": warc.OP4_SQL}
