@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import audio, near_duplicates, packing, token_store, warc
+from tidemark.llm import audio, near_duplicates, packing, quality, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": near_duplicates.op3_near_duplicates,
     "op4_warc_packages": warc.op4_warc_packages,
     "op5_token_store": token_store.op5_token_store,
+    "op7_quality": quality.op7_quality,
     "op9_audio_features": audio.op9_audio_features,
     "op10_packing": packing.op10_packing,
 }
