@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import audio, near_duplicates, packing, quality, token_store, warc
+from tidemark.llm import audio, fingerprints, near_duplicates, packing, quality, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": fingerprints.op1_fingerprints,
     "op3_near_duplicates": near_duplicates.op3_near_duplicates,
     "op4_warc_packages": warc.op4_warc_packages,
     "op5_token_store": token_store.op5_token_store,
