@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import audio, fingerprints, near_duplicates, packing, quality, token_store, warc
+from tidemark.llm import audio, fingerprints, near_duplicates, packing, quality, token_store, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op2_url_filter": url_filter.op2_url_filter,
     "op3_near_duplicates": near_duplicates.op3_near_duplicates,
     "op4_warc_packages": warc.op4_warc_packages,
     "op5_token_store": token_store.op5_token_store,
@@ -18,4 +19,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": packing.op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_warc_packages": warc.OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.OP2_SQL, "op4_warc_packages": warc.OP4_SQL}
