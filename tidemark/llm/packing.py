@@ -193,7 +193,7 @@ def place(ws: Workspace, cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     within = Window.partitionBy("_file", "_block", "length").orderBy("_row")
     ranked = (
         keyed.withColumn("_rank", F.row_number().over(within) - 1)
-        .join(bases.drop("n"), ["_file", "_block", "length"])
+        .join(bases.drop("n").hint("merge"), ["_file", "_block", "length"])
         .withColumn("_rank", F.col("_rank") + F.col("base"))
         .drop("base", "_file", "_row", "_block")
     )
