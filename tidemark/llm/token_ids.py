@@ -4,17 +4,36 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
+from itertools import chain, filterfalse
+from unicodedata import category
 
 import numpy as np
 
-#: Texts of these characters only are split here by the published pattern; for any other text the
-#: library splits the whole text itself, so that differences between Unicode versions can't show.
+#: Texts of these characters only are split here, by the vocabulary's splitting rule; any other text
+#: the library splits itself, so that differences between Unicode versions can't show.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-\u024f]*")
 #: Distinct words whose ids a worker remembers at once, about 150 MB of memory.
 WORDS_KEPT = 700_000
 
 
+def _splitter():
+    """Contractions, and runs of letters, numbers or other marks with the space before them, for
+    texts of PLAIN characters."""
+    plain = [chr(c) for c in (9, 10, 13, *range(0x20, 0x7F), *range(0xA0, 0x250))]
+    letters, numbers, space = ("".join(map(re.escape, x)) for x in ([c for c in plain if category(c)[0] == "L"], [c for c in plain if category(c)[0] == "N"], [c for c in plain if c.isspace()]))
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: itself if it prints, else one
+    from 256 on, in order."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(256 + others.index(b)) for b in others}
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -31,13 +50,11 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.split, self.letters = _splitter(), _byte_letters()
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
 
@@ -46,14 +63,14 @@ class Encoder:
         plain = PLAIN.fullmatch
         words = [self.split(t) if plain(t) else None for t in texts]
         known = self.known
-        fresh = list(set().union(*(w for w in words if w)).difference(known))
+        fresh = set(filterfalse(known.__contains__, chain.from_iterable(w for w in words if w)))
         if len(known) + len(fresh) > WORDS_KEPT:
             known.clear()
-            fresh = list(set().union(*(w for w in words if w)))
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            for word, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                known[word] = np.array(e.ids, self.width).tobytes()
+            fresh = set(chain.from_iterable(w for w in words if w))
+        merge, letters, kind = self.library.model.tokenize, self.letters, "H" if self.width.itemsize == 2 else "I"
+        for word in fresh:
+            found = merge(word.encode().decode("latin-1").translate(letters))
+            known[word] = array(kind, [t.id for t in found]).tobytes()
         get = known.__getitem__
         out = [None if w is None else b"".join(map(get, w)) for w in words]
         if odd := [i for i, x in enumerate(out) if x is None]:
