@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import audio, fingerprints, near_duplicates, packing, quality, token_store, url_filter, warc
+from tidemark.llm import audio, fingerprints, near_duplicates, packing, pii, quality, token_store, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": near_duplicates.op3_near_duplicates,
     "op4_warc_packages": warc.op4_warc_packages,
     "op5_token_store": token_store.op5_token_store,
+    "op6_surrogates": pii.op6_surrogates,
     "op7_quality": quality.op7_quality,
     "op9_audio_features": audio.op9_audio_features,
     "op10_packing": packing.op10_packing,
