@@ -186,6 +186,12 @@ def fit(x: np.ndarray, size: np.ndarray, firsts: np.ndarray, label: np.ndarray,
     documents, which the sample may not have; the curve weighs documents by it."""
     if not len(label) or label.min() == label.max():
         return Model(np.zeros(3 * x.shape[1] + 3, np.float32), np.zeros((2, 2)), (0.0, float(np.log(prior / (1 - prior))) if 0 < prior < 1 else (20.0 if prior >= 1 else -20.0)))
+    # both labels weigh alike: documents of the rarer one are repeated
+    ones, zeros = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    most = max(len(ones), len(zeros))
+    picks = np.concatenate([np.resize(ones, most), np.resize(zeros, most)])
+    lines = np.concatenate([np.arange(firsts[i], firsts[i + 1]) for i in picks])
+    x, size, label, firsts = x[lines], size[lines], label[picks], np.cumsum(np.concatenate([[0], np.diff(firsts)[picks]]))
     full = with_neighbours(x, firsts).astype(np.float64)
     owner = np.repeat(np.arange(len(label)), np.diff(firsts))
     y = label[owner].astype(np.float64)
