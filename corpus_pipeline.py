@@ -1 +1,68 @@
-STAGES: list = []
+"""A corpus from raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes every stage's result
+to the shared checkpoint folder as Parquet and reads it back as the next one's docs, so that a lost
+executor repeats one stage at most. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.llm import near_duplicates, packing, pii, quality
+from tidemark.llm.workspace import Workspace
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose predicted quality is 1; the rest go."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest doc_id.
+
+    Documents without words form no group and all stay. Of rows that share a doc_id one stays;
+    rows without doc_id can't be told apart by it and pass unchanged.
+    """
+    found = near_duplicates.link_components(docs)
+    gone = found.where("not kept and doc_id is not null").select("doc_id").distinct()
+    once = Window.partitionBy("doc_id").orderBy(F.length("text"), F.xxhash64("text"))
+    left = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").withColumn("_nth", F.row_number().over(once)).where("_nth = 1")
+    return left.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with surrogates for personal data; n_chars follows the new text."""
+    out = pii.replace_entities(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in the packed sequences."""
+    return packing.pack(docs, with_ids=False)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("near duplicates", keep_one_of_each),
+    ("personal data", replace_personal_data),
+    ("packing", pack),
+]
+
+#: Training a classifier is beyond SQL; the tests hold each stage against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed pieces of the documents below ``sf_dir`` that pass all stages."""
+    ws = Workspace(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = ws.stage(stage(spark, docs, sf_dir), f"stage-{i}")
+        if i:
+            ws.drop(f"stage-{i - 1}")
+    return docs
