@@ -9,6 +9,7 @@ import json
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: How many parents of each kind an event may name; None: any number.
 RELATIONSHIPS = {"auth": None, "link": None, "parent": 1, "prev": None, "related": None, "root": 1}
@@ -83,7 +84,7 @@ def _each(text: pa.Array, f) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def canonical_json(text: pa.Array) -> pa.Array:
     """Canonical JSON of JSON text; null where it is malformed or holds refused numbers."""
     return _each(text, canonical)
@@ -97,7 +98,7 @@ def _base64(data: bytes, url_safe: bool) -> str:
     return (base64.urlsafe_b64encode if url_safe else base64.b64encode)(data).decode().rstrip("=")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def content_hash(text: pa.Array) -> pa.Array:
     """Unpadded base64 of the SHA-256 of canonical JSON without hashes, signatures and unsigned."""
     return _each(text, lambda e: _base64(hashlib.sha256(canonical(_without(e, "hashes", "signatures", "unsigned")).encode()).digest(), False))
@@ -138,7 +139,7 @@ def event_id_udf(version: int):
         signed = canonical(_without(redacted(e, version), "signatures", "unsigned"))
         return "$" + _base64(hashlib.sha256(signed.encode()).digest(), version >= 4)
 
-    @F.arrow_udf("string")
+    @F.arrow_udf(StringType())
     def event_id(text: pa.Array) -> pa.Array:
         return _each(text, one)
 
