@@ -23,9 +23,9 @@ def has_tokens(c: Column | str, wanted: list[str]) -> Column:
 
 
 def trigrams(c: Column | str) -> Column:
-    """All runs of three characters in order; none for shorter strings."""
+    """All runs of three characters in order; none for shorter strings, null for null."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(F.length(c) < 3, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
+    return F.when(c.isNull(), F.lit(None)).when(F.length(c) < 3, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
 
 
 def may_contain(grams: Column | str | None, needle: str) -> Column:

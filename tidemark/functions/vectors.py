@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,8 +94,6 @@ def estimated_dot(query: Column, q) -> Column:
 
 def half(a) -> Column:
     """Elements rounded to 16-bit floats."""
-    import numpy as np
-    import pyarrow as pa
 
     @F.arrow_udf("array<float>")
     def rounded(x: pa.Array) -> pa.Array:
