@@ -185,7 +185,7 @@ def test_index_choice():
 
 
 def test_files_and_their_rules(spark, tmp_path):
-    rows = spark.createDataFrame([(1, s, s * 10, f"e{s % 4}", s % 4, 1) for s in range(50, 0, -1)], "epoch long, sequence long, occurred_at long, entity_id string, entity_hash_low long, entity_hash_high long")
+    rows = spark.createDataFrame([(1, s, s * 10, f"e{s % 4}", s % 4, 1) for s in range(50, 0, -1)], "epoch long, sequence long, occurred_at long, entity_id string, entity_id_hash_low long, entity_id_hash_high long")
     files.write_events(rows, f"{tmp_path}/f")
     files.write_events(rows, f"{tmp_path}/f")
     back = files.open_events(spark, f"{tmp_path}/f")
@@ -218,11 +218,11 @@ def test_scan_errors_and_rights(spark):
         scan.family_egress(df, "v", internal=False)
     assert scan.authorize(["row_ordinal", "v", "q"], df.columns, "public") == (["v"], ["row_ordinal", "q"])
     assert scan.authorize(["row_ordinal", "q"], df.columns, "internal") == (["row_ordinal", "q"], [])
-    m = spark.createDataFrame([("t1", 1, "event", 1, 1, 1, 9, 9, "active")], "tenant_id string, file_id long, profile string, generation long, epoch long, first_sequence long, last_sequence long, row_count long, state string")
+    m = spark.createDataFrame([("t1", 5, "s", 1, 10, 1, 2, 9)], "tenant_id string, created_at long, file_seal string, file_id long, file_size long, generation_id long, granule_count long, row_count long")
     with pytest.raises(PermissionError):
         manifest.system_files(m, "public")
     assert manifest.system_files(m, "tenant", "t2").count() == 0 and manifest.system_files(m, "admin").count() == 1
-    assert manifest.can_move("active", "outdated") and not manifest.can_move("outdated", "active")
+    assert manifest.can_move("open_tmp", "sealed") and manifest.can_move("active", "outdated") and not manifest.can_move("outdated", "active")
 
 
 def test_vector_search(spark):

@@ -97,11 +97,14 @@ def shred_plan(statistics: DataFrame, rows: int, excluded: list[str] = ()) -> Da
     return ranked.where((F.col("tier") == "dense") | (F.col("_nth") <= SPARSE_KEYS)).select("path", F.col("top.kind").alias("kind"), "tier", "present")
 
 
-def validate_promotion(columns: list[tuple[str, str]]) -> None:
-    """Promoted (name, kind) columns have distinct names, and money is never a float."""
+def validate_promotion(columns: list[tuple[str, str]], substring_searchable: list[str] = ()) -> None:
+    """Promoted (name, kind) columns have distinct names, money is never a float, and only strings
+    may be searched for substrings."""
     names = [n for n, _ in columns]
     if len(set(names)) < len(names):
         raise ValueError("a promoted column is named twice")
     for name, kind in columns:
-        if kind in ("double", "float") and any(w in name.lower() for w in ("amount", "price", "revenue", "money", "balance")):
+        if kind in ("double", "float") and ("amount" in name or "money" in name):
             raise ValueError(f"{name} holds money and must be a decimal")
+        if name in substring_searchable and kind != "string":
+            raise ValueError(f"{name} is no string and can't be searched for substrings")

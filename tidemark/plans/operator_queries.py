@@ -87,9 +87,11 @@ MANIFEST_SQL = G_SQL + """, m AS (SELECT CASE WHEN granule_id % 3 = 2 THEN 't2'
   min(sequence) AS first_sequence, max(sequence) AS last_sequence, count(*) AS row_count, min(occurred_at) AS min_time, max(occurred_at) AS max_time, CASE WHEN granule_id % 7 = 6 THEN 'outdated' ELSE 'active' END AS state FROM g GROUP BY granule_id)"""
 
 
-@query("s19_system_files", d.with_sql(MANIFEST_SQL) + " SELECT file_id, profile, generation, epoch, first_sequence, last_sequence, row_count FROM m WHERE tenant_id = 't1'")
+@query("s19_system_files", d.with_sql(MANIFEST_SQL) + " SELECT min_time AS created_at, sha256(file_id::VARCHAR) AS file_seal, file_id, row_count * 100 AS file_size, generation AS generation_id, 1::BIGINT AS granule_count, row_count FROM m WHERE tenant_id = 't1'")
 def s19(spark, sf):
-    return manifest.system_files(_manifest(spark, sf), "tenant", "t1")
+    rows = _manifest(spark, sf).withColumnsRenamed({"generation": "generation_id", "min_time": "created_at"})
+    rows = rows.withColumn("file_seal", F.sha2(F.col("file_id").cast("string"), 256)).withColumn("file_size", F.col("row_count") * 100).withColumn("granule_count", F.lit(1).cast("long"))
+    return manifest.system_files(rows, "tenant", "t1")
 
 
 @query("s20_system_granules", d.with_sql(G_SQL) + " SELECT granule_id, count(*) AS row_count, min(sequence) AS first_sequence, max(sequence) AS last_sequence, min(occurred_at) AS min_time, max(occurred_at) AS max_time FROM g GROUP BY 1")

@@ -93,11 +93,11 @@ def write_events(df: DataFrame, path: str, profile: str = "event", order: tuple[
 
 #: Other sort orders of the same rows.
 PROJECTIONS = {
-    "entity": ("entity_hash_low", "entity_hash_high", "epoch", "sequence"),
+    "entity": ("entity_id_hash_low", "entity_id_hash_high", "epoch", "sequence"),
     "time_major": ("occurred_at", "epoch", "sequence"),
-    "source_type_major": ("source", "event_type", "epoch", "sequence"),
-    "context_major": ("trace_hash_low", "epoch", "sequence"),
-    "revenue_metric_major": ("account_hash_low", "event_type", "occurred_at", "epoch", "sequence"),
+    "source_type_major": ("source_id", "event_type_id", "epoch", "sequence"),
+    "context_major": ("trace_id_hash_low", "epoch", "sequence"),
+    "revenue_metric_major": ("account_id_hash_low", "event_type_id", "occurred_at", "epoch", "sequence"),
 }
 
 

@@ -14,18 +14,28 @@ from tidemark.functions.times import nanos_of
 
 GRANULE_ROWS = 8192
 
-_REQUIRED = [
-    ("event_id", "string"), ("tenant_id", "string"), ("epoch", "long"), ("sequence", "long"), ("stream_id", "long"), ("stream_sequence", "long"),
-    ("occurred_at", "long"), ("ingested_at", "long"), ("source", "string"), ("event_type", "string"), ("entity_type", "string"), ("entity_id", "string"),
-    ("entity_hash_low", "long"), ("entity_hash_high", "long"), ("actor_hash_low", "long"), ("account_hash_low", "long"), ("trace_hash_low", "long"),
-    ("dedupe_hash_low", "long"), ("dedupe_hash_high", "long"), ("schema_version", "int"), ("flags", "int"), ("payload", "string"), ("row_ordinal", "long"), ("granule_id", "long"),
+# The envelope's columns, in order, and their types.
+_REQUIRED = {
+    "epoch": "long", "sequence": "long", "stream_id": "long", "stream_sequence": "long", "occurred_at": "long", "ingested_at": "long",
+    "source_id": "long", "event_type_id": "long", "entity_type_id": "long", "entity_id_hash_low": "long", "entity_id_hash_high": "long", "payload_ref": "long",
+    "flags": "long", "schema_version": "long", "event_id": "string", "entity_id": "string", "actor_id": "string", "account_id": "string",
+    "actor_id_hash_low": "long", "account_id_hash_low": "long", "trace_id_hash_low": "long", "dedupe_hash_low": "long", "dedupe_hash_high": "long", "payload_flags": "long",
+}
+_NULLABLE = {"entity_id", "actor_id", "account_id"}
+ENVELOPE = T.StructType([T.StructField(n, {"string": T.StringType(), "long": T.LongType()}[t], n in _NULLABLE) for n, t in _REQUIRED.items()])
+#: Columns that only internal callers may read: points, hashes, references, raw bytes and row places.
+INTERNAL = [
+    "epoch", "sequence", "entity_id_hash_low", "entity_id_hash_high", "payload_ref", "actor_id_hash_low", "account_id_hash_low", "trace_id_hash_low", "dedupe_hash_low", "dedupe_hash_high", "payload_flags",
+    "parent_ref", "root_ref", "linked_refs", "related_refs", "prev_refs", "auth_refs", "raw_payload", "row_ordinal", "granule_id",
 ]
-ENVELOPE = T.StructType([T.StructField(n, {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType()}[t]) for n, t in _REQUIRED])
-#: Columns that only internal callers may read.
-INTERNAL = ["entity_hash_low", "entity_hash_high", "actor_hash_low", "account_hash_low", "trace_hash_low", "dedupe_hash_low", "dedupe_hash_high", "stream_id", "stream_sequence", "row_ordinal", "granule_id", "flags"]
-#: Families of columns: those written at once and those that models derive later.
-TIER_A = ["envelope", "identity", "timing", "routing", "payload", "provenance", "relationships", "source_form"]
-TIER_B = ["summary", "embedding", "sentiment", "topics", "risk", "context"]
+#: Column families. Those of tier A are known when a file is written and lie in it; those of tier B
+#: come from models later and lie in a sibling file.
+FAMILIES_A = [
+    "event_envelope", "source_type_entity", "safe_retry_and_ingest_mode", "classification_labels", "freetext_columns", "embedding_columns_internal", "revenue_metric_columns",
+    "prepared_view_lineage_columns", "chat_investigation_context_columns", "signed_event_provenance", "relationship_references",
+]
+FAMILIES_B = ["cluster_columns", "revenue_anomaly_columns", "driver_and_cause_columns"]
+INTERNAL_FAMILIES = ["embedding_columns_internal", "safe_retry_and_ingest_mode", "classification_labels", "relationship_references"]
 #: Optional columns, there only if rows carry them.
 PROVENANCE = ["author_pubkey", "signature", "signature_scheme", "protocol_event_id", "protocol_kind", "claimed_at"]
 RELATIONSHIPS = ["parent_ref", "root_ref", "linked_refs", "related_refs", "prev_refs", "auth_refs"]

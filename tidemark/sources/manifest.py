@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Columns of system.files that a tenant may see.
-FILE_COLUMNS = ["file_id", "profile", "generation", "epoch", "first_sequence", "last_sequence", "row_count"]
-#: Part states and the only moves between them.
-STATES = {"staged": {"active", "outdated"}, "active": {"outdated"}, "outdated": {"delete_on_destroy"}, "delete_on_destroy": {"deleting"}, "deleting": {"deleted"}, "deleted": set()}
+# The columns of system.files (no keys, paths or payloads), and the six part states
+# with the only moves between them.
+FILE_COLUMNS = ["created_at", "file_seal", "file_id", "file_size", "generation_id", "granule_count", "row_count"]
+STATES = {"open_tmp": "sealed", "sealed": "active", "active": "outdated", "outdated": "delete_on_destroy", "delete_on_destroy": "deleted", "deleted": None}
 
 
 def can_move(old: str, new: str) -> bool:
-    return new in STATES.get(old, ())
+    return new is not None and STATES.get(old) == new
 
 
 def selectable(manifest: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def visible(manifest: DataFrame, generation: int) -> DataFrame:
 def system_files(manifest: DataFrame, caller: str, tenant_id: str | None = None) -> DataFrame:
     """Administrators see all files, tenants their own, nobody else any."""
     if caller == "admin":
-        return manifest.select("tenant_id", *FILE_COLUMNS)
+        return manifest.select(*FILE_COLUMNS)
     if caller == "tenant" and tenant_id is not None:
         return manifest.where(F.col("tenant_id") == tenant_id).select(*FILE_COLUMNS)
     raise PermissionError("system.files is not public")
