@@ -8,12 +8,12 @@ import uuid
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import identifiers, payload, times, vectors
+from tidemark.functions import identifiers, payload, predicates, times, vectors
 from tidemark.operators import aggregates, corrections, graph, lifecycle, pruning, security
 from tidemark.plans import derived as d
 from tidemark.plans.classes import HOUR
 from tidemark.plans.registry import query
-from tidemark.sources import files
+from tidemark.sources import files, replay
 from tidemark.sources.journal import journal, table
 from tidemark.streaming import ingest, watermarks
 
@@ -237,3 +237,51 @@ def k05(spark, sf):
     return a.crossJoin(b.select(F.col("seal").alias("other"))).select("n", (F.col("seal") == F.col("other")).alias("same"))
 
 
+
+
+_FRAMES_SQL = J + """, f AS (SELECT event_id // 100 AS segment, event_id AS position, event_type AS payload,
+  CASE WHEN event_id % 300 = 170 THEN 'altered' ELSE sha256(event_type) END AS hash, sha256(lag(event_type) OVER (PARTITION BY event_id // 100 ORDER BY event_id)) AS previous FROM j WHERE event_id % 500 <> 260)"""
+
+
+@query("s10_journal_replay", _FRAMES_SQL + " SELECT segment, count(*) FILTER (position % 100 < CASE WHEN segment % 5 = 2 THEN 60 WHEN segment % 3 = 1 THEN 70 ELSE 100 END) AS kept, segment % 3 = 1 OR segment % 5 = 2 AS torn FROM f GROUP BY 1")
+def s10(spark, sf):
+    """Segments of 100 frames; in some a frame was altered, in some one is missing."""
+    w = Window.partitionBy("segment").orderBy("position")
+    rows = journal(spark, sf).where("event_id % 500 <> 260").select(F.floor(F.col("event_id") / 100).alias("segment"), F.col("event_id").alias("position"), F.col("event_type").alias("payload"))
+    rows = rows.withColumn("hash", F.when(F.col("position") % 300 == 170, "altered").otherwise(F.sha2("payload", 256))).withColumn("previous", F.sha2(F.lag("payload").over(w), 256))
+    return replay.tails(rows)
+
+
+@query("s09_log_records", J + " SELECT event_type || ' ' || event_id AS record FROM j")
+def s09(spark, sf):
+    path = _folder(spark)
+    journal(spark, sf).select(F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("value")).write.text(path)
+    return files.open_log(spark, path).select("record")
+
+
+@query("x07_bloom_filters", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (17, 42)")
+def x07(spark, sf):
+    """A written copy with a Bloom filter on a column; equality reads may skip by it."""
+    path = _folder(spark)
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    rows.write.options(**pruning.bloom_options({"l_partkey": 100_000})).parquet(path)
+    return files.open_events(spark, path).where(F.col("l_partkey").isin(17, 42)).select("l_orderkey", "l_linenumber")
+
+
+@query("c08_stable_hash", J + " SELECT count(DISTINCT event_type) AS types, count(DISTINCT entity_id) AS entities FROM j")
+def c08(spark, sf):
+    return journal(spark, sf).agg(F.count_distinct(identifiers.stable_hash("event_type")).alias("types"), F.count_distinct(identifiers.stable_hash("entity_id")).alias("entities"))
+
+
+@query("c11_relationship_kinds", J + " SELECT event_id, event_id % 3 <> 0 AND (event_id % 3 <> 1 OR event_id % 2 = 0) AS valid FROM j")
+def c11(spark, sf):
+    """Unknown kinds, single-valued kinds with one or two references, and many-valued kinds."""
+    n = F.col("event_id")
+    kind = F.when(n % 3 == 0, "cousin").when(n % 3 == 1, "parent").otherwise("prev")
+    refs = F.when(n % 2 == 0, "event:01").otherwise("event:01 event:02")
+    return journal(spark, sf).select("event_id", identifiers.relationships_valid(kind, refs).alias("valid"))
+
+
+@query("f06_other_kind", J + " SELECT event_id FROM j WHERE false")
+def f06(spark, sf):
+    return journal(spark, sf).where(predicates.numeric_on_other_kind("event_type")).select("event_id")
