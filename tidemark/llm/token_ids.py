@@ -6,7 +6,6 @@ import os
 import re
 from array import array
 from functools import lru_cache
-from itertools import chain, filterfalse
 from unicodedata import category
 
 import numpy as np
@@ -14,8 +13,8 @@ import numpy as np
 #: Texts of these characters only are split here, by the vocabulary's splitting rule; any other text
 #: the library splits itself, so that differences between Unicode versions can't show.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-\u024f]*")
-#: Distinct words whose ids a worker remembers at once, about 150 MB of memory.
-WORDS_KEPT = 700_000
+#: Distinct words whose ids a worker remembers at once, about 250 MB of memory.
+WORDS_KEPT = 1_100_000
 
 
 def _splitter():
@@ -26,12 +25,23 @@ def _splitter():
     return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+").findall
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> list[str]:
     """The letter by which byte-level vocabularies write each byte: itself if it prints, else one
     from 256 on, in order."""
     prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = [b for b in range(256) if b not in prints]
-    return {b: chr(256 + others.index(b)) for b in others}
+    return [chr(b) if b in prints else chr(256 + others.index(b)) for b in range(256)]
+
+
+def gaps_of(found: list) -> list[int]:
+    """The places of None in a list."""
+    places, at = [], -1
+    try:
+        while True:
+            at = found.index(None, at + 1)
+            places.append(at)
+    except ValueError:
+        return places
 
 
 def default_path() -> str:
@@ -58,21 +68,29 @@ class Encoder:
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
 
+    def _lettered(self, word: str) -> str:
+        """A word as byte-level vocabularies write its bytes."""
+        if word.isascii() and word.isprintable():
+            return word.replace(" ", self.letters[32])
+        return "".join(map(self.letters.__getitem__, word.encode()))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """One little-endian id array, of type ``width``, for each text."""
         plain = PLAIN.fullmatch
         words = [self.split(t) if plain(t) else None for t in texts]
         known = self.known
-        fresh = set(filterfalse(known.__contains__, chain.from_iterable(w for w in words if w)))
+        found = [None if w is None else list(map(known.get, w)) for w in words]
+        gaps = [(f, w, gaps_of(f)) for f, w in zip(found, words) if f is not None and None in f]
+        fresh = {w[at] for _, w, places in gaps for at in places}
         if len(known) + len(fresh) > WORDS_KEPT:
             known.clear()
-            fresh = set(chain.from_iterable(w for w in words if w))
-        merge, letters, kind = self.library.model.tokenize, self.letters, "H" if self.width.itemsize == 2 else "I"
+        merge, kind = self.library.model.tokenize, "H" if self.width.itemsize == 2 else "I"
         for word in fresh:
-            found = merge(word.encode().decode("latin-1").translate(letters))
-            known[word] = array(kind, [t.id for t in found]).tobytes()
-        get = known.__getitem__
-        out = [None if w is None else b"".join(map(get, w)) for w in words]
+            known[word] = array(kind, [t.id for t in merge(self._lettered(word))]).tobytes()
+        for f, w, places in gaps:
+            for at in places:
+                f[at] = known[w[at]]
+        out = [None if f is None else b"".join(f) for f in found]
         if odd := [i for i, x in enumerate(out) if x is None]:
             for i, e in zip(odd, self.library.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)):
                 out[i] = np.array(e.ids, self.width).tobytes()
@@ -85,7 +103,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def spans_of(texts: list[str], most: int = 4_000_000):
+def spans_of(texts: list[str], most: int = 1_000_000):
     """Slices of a batch that hold up to ``most`` characters, or one longer text."""
     start = size = 0
     for i, t in enumerate(texts):
