@@ -211,3 +211,19 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose three-word shingle sets are 85 percent alike."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return link_components(docs, words=3, percent=85)
+
+
+#: The same rows by comparing all pairs that share a shingle: for small tables only.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
+n AS MATERIALIZED (SELECT doc_id, len(s) AS n FROM g),
+e AS MATERIALIZED (SELECT doc_id, hash(unnest(s)) AS x FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+m AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM m UNION SELECT r.a, m.b FROM r JOIN m ON m.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS least FROM r GROUP BY 1)
+SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(c.least, n.doc_id)) AS component_id, n.doc_id = least(n.doc_id, coalesce(c.least, n.doc_id)) AS kept
+FROM n LEFT JOIN c ON c.doc_id = n.doc_id
+"""

@@ -23,4 +23,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.OP2_SQL, "op4_warc_packages": warc.OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.OP2_SQL, "op3_near_duplicates": near_duplicates.OP3_SQL, "op4_warc_packages": warc.OP4_SQL}
