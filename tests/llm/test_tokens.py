@@ -159,3 +159,16 @@ def test_reduction_keeps_the_optimum(sizes):
 def test_plan_refuses_bad_lengths():
     with pytest.raises(ValueError):
         packing.plan({0: 1})
+
+
+def test_partitions_follow_the_input(spark):
+    from tidemark.llm import workspace
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    assert workspace.partitions_for(docs) == workspace.shuffle_partitions(spark)
+    old, workspace.PARTITION_BYTES = workspace.PARTITION_BYTES, 100_000
+    try:
+        assert workspace.partitions_for(docs) > 100
+    finally:
+        workspace.PARTITION_BYTES = old
+    assert workspace.partitions_for(spark.createDataFrame([(1,)], "x long")) == workspace.shuffle_partitions(spark)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.workspace import shuffle_partitions
+from tidemark.llm.workspace import partitions_for
 
 WORDS, SCALE = 5, 8
 _LOWEST = -(1 << 63)
@@ -78,9 +78,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     as many as there are shuffle partitions. Rows without doc_id come last, in the lowest range.
     """
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
+    n = partitions_for(docs)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else None
+    cuts = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], min(100 * n, 1_000_000))).first()[0] if n > 1 else None
     bounds = sorted(set(cuts or []))
     ranged = docs.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(_range(bounds)))
     heads = sorted((r[0], r[1]) for r in ranged.groupBy("range").agg(F.max("doc_id")).collect() if r[1] is not None)

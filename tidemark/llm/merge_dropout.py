@@ -17,7 +17,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.shingles import mix
-from tidemark.llm.token_ids import spans_of
+from tidemark.llm.token_ids import gaps_of, spans_of
 
 _U = np.uint64
 SPACE = "▁"
@@ -218,16 +217,20 @@ class Segmenter:
             # a literal word mark is kept apart and written as bytes, so that decoding tells it from a space
             parts = [[WORD(p) for p in self._marked(texts[i])] for i in mine]
             words = [w for ps in parts for w in ps]
-            known = self.known.setdefault(v, {})
-            fresh = set(filterfalse(known.__contains__, chain.from_iterable(words)))
+            get = self.known.setdefault(v, {}).get
+            found = [list(map(get, w)) for w in words]
+            gaps = [(f, w, gaps_of(f)) for f, w in zip(found, words) if None in f]
+            fresh = {w[at] for _, w, places in gaps for at in places}
             if sum(map(len, self.known.values())) + len(fresh) > WORDS_KEPT:
                 self.known.clear()
-                known = self.known[v] = {}
-                fresh = set(chain.from_iterable(words))
+            known = self.known.setdefault(v, {})
             self._learn(list(fresh), v)
-            get = known.__getitem__
+            for f, w, places in gaps:
+                for at in places:
+                    f[at] = known[w[at]]
+            ids = map(b"".join, found)
             for i, ps in zip(mine, parts):
-                out[i] = self.mark.join([b"".join(map(get, p)) for p in ps])
+                out[i] = self.mark.join([next(ids) for _ in ps])
         return out
 
     @staticmethod

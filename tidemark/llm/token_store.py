@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.token_ids import default_path, encoder, spans_of
-from tidemark.llm.workspace import Workspace, atomic_output, open_fs, shuffle_partitions
+from tidemark.llm.workspace import Workspace, atomic_output, open_fs, partitions_for
 
 MAGIC = b"TMTOK001"
 TRAILER = struct.Struct("<QQQI8s")
@@ -68,14 +69,13 @@ def _dictionary(data: bytes):
 def write_store(docs: DataFrame, uri: str, tokenizer_path: str | None = None, level: int = 3) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write a store below ``uri``; returns its manifest:
     path, shard, n_docs, n_tokens, dictionary_sha256, one row per shard file."""
-    spark = docs.sparkSession
     tokenizer_path = tokenizer_path or default_path()
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     trained = train_dictionary(docs, tokenizer_path)
     with atomic_output(f"{uri}/dictionary.zdict") as f:
         f.write(trained)
-    shards = shuffle_partitions(spark)
-    cuts = docs.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards)).first()[0] if shards > 1 else None
+    shards = partitions_for(docs)
+    cuts = docs.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], min(100 * shards, 1_000_000))).first()[0] if shards > 1 else None
     bounds = np.unique(np.array(cuts or [], np.int64))
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +98,8 @@ def write_store(docs: DataFrame, uri: str, tokenizer_path: str | None = None, le
     def shard_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = encoder(tokenizer_path).width.itemsize
         for shard, rows in _runs(batches):
-            path = f"{uri}/shard-{shard:06d}.tok"
+            # an attempt has a name of its own; only the names that reach the manifest are ever read
+            path = f"{uri}/shard-{shard:06d}-{uuid.uuid4().hex}.tok"
             n, total = _write_shard(path, rows, hashlib.sha256(trained).digest(), width)
             yield pa.record_batch([[path], pa.array([shard], pa.int32()), [n], [total], [hashlib.sha256(trained).hexdigest()]], names=["path", "shard", "n_docs", "n_tokens", "dictionary_sha256"])
 
@@ -220,7 +221,7 @@ def read_store(spark: SparkSession, manifest: DataFrame, read_bytes: int = 8 <<
                     first = stop
                 shard.file.close()
 
-    return files.repartition(shuffle_partitions(spark)).mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(files.count(), 1)).mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.workspace import Workspace, atomic_output, open_fs, shuffle_partitions
+from tidemark.llm.workspace import Workspace, atomic_output, open_fs, partitions_for
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: Payloads of fewer bytes are always whole responses.
@@ -198,7 +198,7 @@ def write_packages(pages: DataFrame, uri: str) -> DataFrame:
     others are revisits. A null html is an empty payload, a null url an empty address. A page
     without page_id is always a response; repeated rows of the smallest page_id too.
     """
-    n = shuffle_partitions(pages.sparkSession)
+    n = partitions_for(pages)
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     dealt = pages.join(revisits(pages).hint("merge"), "page_id", "left").select("page_id", "url", "html", "refers_to")
 
@@ -287,7 +287,7 @@ def read_packages(spark: SparkSession, manifest: DataFrame, with_payload: bool =
                     yield _batch(rows)
                 package.file.close()
 
-    return manifest.select("path").repartition(shuffle_partitions(spark)).mapInArrow(records, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    return manifest.select("path").repartition(max(manifest.count(), 1)).mapInArrow(records, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -85,5 +85,17 @@ def atomic_output(uri: str):
     filesystem.move(part, path)
 
 
+#: Input bytes (as stored) for one partition, and partitions at most, where ranges are cut.
+PARTITION_BYTES, MOST_PARTITIONS = 64 << 20, 20_000
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Partitions for a shuffle of all of ``df``: the session's number, or more where the input's
+    stored size, which Spark's plan knows, asks for it."""
+    stored = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = -(-stored // PARTITION_BYTES) if stored < 1 << 60 else 0  # sources without a size claim the most
+    return max(shuffle_partitions(df.sparkSession), min(wanted, MOST_PARTITIONS))
