@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.predicates import between_points
 from tidemark.operators.corrections import latest_versions
+from tidemark.streaming.watermarks import merged_ranges
+
+#: Sequence numbers in one cell of a coverage join.
+CELL = 1 << 16
 
 
 def newest_copies(rows: DataFrame, key: tuple[str, ...] = ("epoch", "sequence")) -> DataFrame:
@@ -23,9 +27,12 @@ def files_and_overlay(files: DataFrame, overlay: DataFrame, coverage: DataFrame
     overlay = overlay.withColumn("file_id", F.lit(None).cast(files.schema["file_id"].dataType)) if "file_id" not in overlay.columns else overlay
     if coverage is None:
         return newest_copies(files.unionByName(overlay, allowMissingColumns=True))
-    o, c = overlay.alias("o"), coverage.alias("c")
-    fresh = o.join(c, F.expr("o.epoch = c.epoch and o.sequence between c.first_sequence and c.last_sequence"), "left_anti")
-    return files.unionByName(fresh, allowMissingColumns=True)
+    # coverage is cut into cells, so that the join has a key that spreads within an epoch
+    covered = merged_ranges(coverage.select("epoch", F.col("first_sequence").alias("first"), F.col("last_sequence").alias("last")))
+    covered = covered.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("first") / CELL), F.floor(F.col("last") / CELL))))
+    o, c = overlay.withColumn("_cell", F.floor(F.col("sequence") / CELL)).alias("o"), covered.alias("c")
+    fresh = o.join(c, F.expr("o.epoch = c.epoch and o._cell = c._cell and o.sequence between c.first and c.last"), "left_anti")
+    return files.unionByName(fresh.drop("_cell"), allowMissingColumns=True)
 
 
 def timeline(rows: DataFrame, entity: Column, corrections: DataFrame | None = None, deletes: DataFrame | None = None, low: tuple[int, int] | None = None, high: tuple[int, int] | None = None, descending: bool = False, limit: int | None = None, tenant_id: str | None = None) -> DataFrame:
