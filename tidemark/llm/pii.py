@@ -39,14 +39,22 @@ _GIVEN = "|".join(n for ns in NAMES.values() for n in ns)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"(?<![\w.%+\-])[\w.%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "token": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![0-9A-Za-z])",
+    "token": r"(?<![0-9A-Za-z])(?=[A-Fa-f]{0,127}[0-9])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![0-9A-Za-z])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\d])(?:\d{4}(?:[ \-]\d{4}){3}|\d{13,19}+)(?!\d)",
     "phone": r"(?:(?<![\d+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}|(?<![\d+(])\(?\d{3}\)?[ .\-]\d{3}[.\-]\d{4})(?!\d)",
-    "name": rf"(?<![\p{{L}}])(?:(?:{_TITLE})\.?\x20(?:(?:{_GIVEN})\x20)?{_WORD}|(?:{_GIVEN})\x20{_WORD})",
+    "name": rf"(?=[A-Z\u0400-\u04FF])(?<![\p{{L}}])(?:(?:{_TITLE})\.?\x20(?:(?:{_GIVEN})\x20)?{_WORD}|(?:{_GIVEN})\x20{_WORD})",
 }
-ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: No entity starts between two letters: that test first passes over most of a text.
+ENTITY = r"(?!(?<=\p{L})\p{L})(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: Only names have neither a digit nor an at sign.
+MARKS = "[0-9@]"
+
+
+def has_entity(text: Column) -> Column:
+    """Whether a text holds an entity; most texts are settled without the full pattern."""
+    return F.coalesce(F.when(text.rlike(MARKS), text.rlike(ENTITY)).otherwise(text.rlike(PATTERNS["name"])), F.lit(False))
 
 
 def kind_of(surface: Column) -> Column:
@@ -193,10 +201,10 @@ def replace_entities(docs: DataFrame, key: str = DEMO_KEY, name: str = "pii") ->
     """
     ws = Workspace(docs.sparkSession, name)
     docs = docs.drop("n_entities")
-    found = docs.withColumn("_found", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(ENTITY), F.lit(0)))
-    plain = docs.where(~F.coalesce(F.col("text").rlike(ENTITY), F.lit(False))).withColumn("n_entities", F.lit(0))
+    found = docs.where(has_entity(F.col("text"))).withColumn("_found", F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)))
+    plain = docs.where(~has_entity(F.col("text"))).withColumn("n_entities", F.lit(0))
     # a written table gives each row an address that every later read agrees on
-    rows = ws.stage(found.where(F.size("_found") > 0), "rows").select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    rows = ws.stage(found, "rows").select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     met = rows.select("_file", "_row", F.posexplode("_found").alias("_at", "surface"))
     kind = kind_of(F.col("surface"))
     surfaces = met.select("surface").distinct().withColumn("kind", kind).withColumn("canon", canonical(F.col("kind"), F.col("surface")))
