@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import written
+
 AMENDMENT, REPLACEMENT, RETRACTION = "amendment", "replacement", "retraction"
-#: Hops between two cuts of the plan's lineage.
-HOPS_PER_CUT = 4
 
 
 def newest_corrections(corrections: DataFrame) -> DataFrame:
@@ -52,10 +50,15 @@ def latest_versions(events: DataFrame, corrections: DataFrame, located: DataFram
     mark = F.struct(*[F.col(c) for c in ("file_id", "row_ordinal") if c in events.columns] or [F.col("epoch"), F.col("sequence")])
     columns = [c for c in events.columns if c != "payload"]
     steps = newest.join(located.select("epoch", "sequence", F.struct(*[F.col(c) for c in columns]).alias("_next"), F.col("event_id").alias("_next_id"), variant.alias("_next_payload"), mark.alias("_next_row")), (F.col("correction_epoch") == F.col("epoch")) & (F.col("correction_sequence") == F.col("sequence")), "left").drop("epoch", "sequence")
-    open_ = events.join(places, ["epoch", "sequence"], "left_anti").select(
+    first = events.join(places, ["epoch", "sequence"], "left_anti")
+    # most events have no correction: they pass as they are, and only the others are followed
+    targets = newest.select(F.col("corrects_event_id").alias("event_id"))
+    plain = first.join(targets, "event_id", "left_anti")
+    plain = plain if deletes is None or "file_id" not in events.columns else plain.join(deletes.select("file_id", "row_ordinal"), ["file_id", "row_ordinal"], "left_anti")
+    open_ = first.join(targets, "event_id", "left_semi").select(
         F.struct(*[F.col(c) for c in columns]).alias("_row"), F.col("event_id").alias("_current"), variant.alias("_base"), F.array().cast("array<variant>").alias("_amendments"), F.array(mark).alias("_served"), F.array("event_id").alias("_path")
     )
-    done, hops = None, 0
+    done = None
     while True:
         joined = open_.join(steps, F.col("_current") == F.col("corrects_event_id"), "left")
         ended = joined.where("corrects_event_id is null").select(*open_.columns)
@@ -75,9 +78,7 @@ def latest_versions(events: DataFrame, corrections: DataFrame, located: DataFram
             F.when(amends, F.concat("_served", F.array("_next_row"))).when(pending, F.concat(short("_served"), F.array("_next_row"))).otherwise(F.array("_next_row")).alias("_served"),
             F.concat("_path", F.array("_next_id")).alias("_path"),
         )
-        hops += 1
-        if hops % HOPS_PER_CUT == 0:
-            open_ = _cut(open_)
+        open_ = written(open_, "hops")
         if open_.isEmpty():
             break
     if deletes is not None and "file_id" in events.columns:
@@ -86,18 +87,9 @@ def latest_versions(events: DataFrame, corrections: DataFrame, located: DataFram
         done = done.withColumn("_id", F.col("_path")[0]).join(ids, "_id", "left_anti").drop("_id")
     payload = merged_payload(F.col("_base"), F.col("_amendments"))
     payload = F.when(F.size("_amendments") == 0, F.col("_base")).otherwise(payload)
-    return done.select("_row.*", (F.to_json(payload) if text else payload).alias("payload")).select(*events.columns)
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` from a written table in the shared folder, so that plans don't grow with the chain."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        return df
-    path = f"{root.rstrip('/')}/tidemark-hops/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    followed = done.select("_row.*", (F.to_json(payload) if text else payload).alias("payload")).select(*events.columns)
+    plain = plain.withColumn("payload", F.to_json(F.try_parse_json("payload"))) if text else plain
+    return plain.select(*events.columns).unionByName(followed)
 
 
 def superseded(events: DataFrame, corrections: DataFrame) -> DataFrame:

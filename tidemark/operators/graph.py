@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import written
+
 
 def parents(edges: DataFrame, asked: DataFrame, kind: str | None = None) -> DataFrame:
     """sn, parents in the writer's order for each asked sn; none gives an empty list."""
@@ -34,7 +34,7 @@ def walk(edges: DataFrame, start: list[int], towards: str = "parents", limit: in
     while levels is None or level < levels:
         level += 1
         new = hops.join(frontier.select("sn"), "sn").select(F.col("to").alias("sn")).distinct().join(seen, "sn", "left_anti").withColumn("level", F.lit(level))
-        frontier = _written(new)
+        frontier = written(new, "levels")
         found = frontier.count()
         seen, count = seen.unionByName(frontier), count + found
         if not found or (limit is not None and count >= limit):
@@ -43,15 +43,6 @@ def walk(edges: DataFrame, start: list[int], towards: str = "parents", limit: in
     return out if limit is None else out.limit(limit)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        return df.cache()
-    path = f"{root.rstrip('/')}/tidemark-levels/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def chain_labels(labels: DataFrame, asked: DataFrame) -> DataFrame:
     """sn, chain_id, seq of each asked event, null without a label."""
     return asked.select("sn").join(labels.select("sn", "chain_id", "seq"), "sn", "left")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +10,7 @@ from tidemark.operators import aggregates, corrections, graph, lifecycle, prunin
 from tidemark.plans import derived as d
 from tidemark.plans.classes import HOUR
 from tidemark.plans.registry import query
-from tidemark.sources import files, replay
+from tidemark.sources import files, replay, shared
 from tidemark.sources.journal import journal, table
 from tidemark.streaming import ingest, watermarks
 
@@ -21,9 +18,7 @@ J = d.with_sql()
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{root.rstrip('/')}/tidemark-queries/{uuid.uuid4().hex}"
+    return shared.folder(spark, "queries")
 
 
 @query("s08_live_overlay_read", J + " SELECT 1::BIGINT AS epoch, 501::BIGINT AS first, 600::BIGINT AS last")
