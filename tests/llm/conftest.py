@@ -19,7 +19,7 @@ def odd_docs(spark):
         (2, " \t\n ", "es", 0),
     ]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").withColumns(
-        {c: F.lit(c) for c in ("shard", "piece", "start", "length", "score", "key", "component_id", "fingerprint", "host", "words")}
+        {c: F.lit(c) for c in ("shard", "piece", "start", "length", "score", "key", "component_id", "fingerprint", "host", "words", "quality", "n_entities")}
     )
 
 

@@ -65,6 +65,8 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in rows) == [-1, 1, 2, 3, 4, 7, 9]
     rows = cp.replace_personal_data(spark, odd_docs, SF)
     assert rows.columns == odd_docs.columns and rows.count() == odd_docs.count()
+    clashing = {r["doc_id"]: (r["score"], r["quality"], r["n_entities"]) for f in (cp.keep_good, cp.replace_personal_data) for r in f(spark, odd_docs, SF).collect()}
+    assert set(clashing.values()) == {("score", "quality", "n_entities")}
     for _, f in cp.STAGES:
         assert f(spark, no_docs, SF).collect() == []
         f(spark, odd_docs, SF).collect()

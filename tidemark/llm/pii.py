@@ -193,16 +193,16 @@ def surrogates(ws: Workspace, entities: DataFrame, key: str) -> DataFrame:
     raise RuntimeError("keyed labels collide, which 128 bits should prevent")
 
 
-def replace_entities(docs: DataFrame, key: str = DEMO_KEY, name: str = "pii") -> DataFrame:
-    """``docs`` with text rewritten and a new column n_entities.
+def replace_entities(docs: DataFrame, key: str = DEMO_KEY, count: str = "n_entities") -> DataFrame:
+    """``docs`` with text rewritten and a new column ``count``, the number of entities.
 
     Texts without entities, null and empty ones pass unchanged (0 entities) and are not shuffled.
-    Repeated rows, null ids and all other columns are kept; a column named n_entities is replaced.
+    Repeated rows, null ids and all other columns are kept; a column of that name is replaced.
     """
-    ws = Workspace(docs.sparkSession, name)
-    docs = docs.drop("n_entities")
+    ws = Workspace(docs.sparkSession, "pii")
+    docs = docs.drop(count)
     found = docs.where(has_entity(F.col("text"))).withColumn("_found", F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)))
-    plain = docs.where(~has_entity(F.col("text"))).withColumn("n_entities", F.lit(0))
+    plain = docs.where(~has_entity(F.col("text"))).withColumn(count, F.lit(0))
     # a written table gives each row an address that every later read agrees on
     rows = ws.stage(found, "rows").select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     met = rows.select("_file", "_row", F.posexplode("_found").alias("_at", "surface"))
@@ -214,7 +214,7 @@ def replace_entities(docs: DataFrame, key: str = DEMO_KEY, name: str = "pii") ->
     news = met.join(spelled, "surface").groupBy("_file", "_row").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "new"))), lambda x: x["new"]).alias("_new"))
     gaps = F.split("text", ENTITY, -1)
     merged = F.concat(F.array_join(F.zip_with(F.slice("_gaps", 1, F.size("_new")), "_new", lambda g, n: F.concat(g, n)), ""), F.element_at("_gaps", -1))
-    hit = rows.join(news, ["_file", "_row"]).withColumn("_gaps", gaps).withColumn("text", merged).withColumn("n_entities", F.size("_new"))
+    hit = rows.join(news, ["_file", "_row"]).withColumn("_gaps", gaps).withColumn("text", merged).withColumn(count, F.size("_new"))
     return plain.unionByName(hit.select(*plain.columns))
 
 

@@ -258,7 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 rows = [(x[a:b].tobytes(), size[a:b].tobytes()) for a, b in zip(firsts[:-1], firsts[1:])]
                 yield pa.record_batch([batch.column(0), batch.column(2), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "quality", "x", "size"])
 
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(described, "doc_id long, quality int, x binary, size binary").collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(described, "doc_id long, quality int, x binary, size binary").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["x"])))
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
@@ -268,11 +268,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(x, size, firsts, np.array([r["quality"] for r in rows], int), prior)
 
 
-def score(docs: DataFrame, model: Model, span: int = 1 << 20) -> DataFrame:
-    """``docs`` with score, the probability that its quality is 1.
+def score(docs: DataFrame, model: Model, name: str = "score", span: int = 1 << 20) -> DataFrame:
+    """``docs`` with column ``name``, the probability that its quality is 1.
 
     A null or empty text is one empty line. Null doc_ids, repeated rows and all other columns are
-    kept; a column named score is replaced.
+    kept; a column of that name is replaced.
     """
 
     @F.arrow_udf("double")
@@ -288,7 +288,7 @@ def score(docs: DataFrame, model: Model, span: int = 1 << 20) -> DataFrame:
             parts.append(model.document_scores(texts[start:]))
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.withColumn("score", scored(F.col("text")))
+    return docs.withColumn(name, scored(F.col("text")))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
