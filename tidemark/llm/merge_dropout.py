@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shingles import mix
 from tidemark.llm.token_ids import gaps_of, spans_of
+from tidemark.llm.workspace import slices
 
 _U = np.uint64
 SPACE = "▁"
@@ -288,7 +289,7 @@ def encode(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, s
 
 
 def _encoded(seg: Segmenter, batches, seed: int, variants: int):
-    for batch in batches:
+    for batch in slices(batches):
         texts = [t or "" for t in batch.column(1).to_pylist()]
         for span in spans_of(texts):
             doc_ids = batch.column(0).slice(span.start, span.stop - span.start)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.shingles import shingle_sets
-from tidemark.llm.workspace import Workspace
+from tidemark.llm.workspace import Workspace, slices
 
 _U = np.uint64
 #: Postings of up to so many classes compare every two of them.
@@ -55,7 +55,7 @@ def signatures(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
     xors, factors = random.integers(0, 1 << 63, coordinates, dtype=_U), random.integers(0, 1 << 63, coordinates, dtype=_U) * _U(2) + _U(1)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, keys, rows = [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), words):
                 sizes.append(len(s))
@@ -161,7 +161,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     chosen = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = list(shingle_sets(batch.column(1).to_pylist(), words))
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
             values = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)

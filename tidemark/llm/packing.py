@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.token_ids import default_path, encoder, spans_of
-from tidemark.llm.workspace import Workspace
+from tidemark.llm.workspace import Workspace, slices
 
 CAPACITY = 1024
 END_ID = 2
@@ -156,7 +156,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         end = np.array([end_id], enc.width).tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             every, doc_ids = [t or "" for t in batch.column(1).to_pylist()], batch.column(0).to_pylist()
             for span in spans_of(every):
                 rows: list[tuple] = []

@@ -277,14 +277,14 @@ def score(docs: DataFrame, model: Model, name: str = "score", span: int = 1 << 2
 
     @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
-        texts = text.to_pylist()
-        parts, start, size = [], 0, 0
-        for i, t in enumerate(texts):
-            if size and size + len(t or "") > span:
-                parts.append(model.document_scores(texts[start:i]))
-                start, size = i, 0
-            size += len(t or "")
-        if start < len(texts):
+        parts = []
+        for at in range(0, len(text), 1000):
+            texts, start, size = text.slice(at, 1000).to_pylist(), 0, 0
+            for i, t in enumerate(texts):
+                if size and size + len(t or "") > span:
+                    parts.append(model.document_scores(texts[start:i]))
+                    start, size = i, 0
+                size += len(t or "")
             parts.append(model.document_scores(texts[start:]))
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 

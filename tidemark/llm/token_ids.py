@@ -13,8 +13,8 @@ import numpy as np
 #: Texts of these characters only are split here, by the vocabulary's splitting rule; any other text
 #: the library splits itself, so that differences between Unicode versions can't show.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-\u024f]*")
-#: Distinct words whose ids a worker remembers at once, about 250 MB of memory.
-WORDS_KEPT = 1_100_000
+#: Distinct words whose ids a worker remembers at once, about 150 MB of memory.
+WORDS_KEPT = 600_000
 
 
 def _splitter():

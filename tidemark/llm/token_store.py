@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.token_ids import default_path, encoder, spans_of
-from tidemark.llm.workspace import Workspace, atomic_output, open_fs, partitions_for
+from tidemark.llm.workspace import Workspace, atomic_output, open_fs, partitions_for, slices
 
 MAGIC = b"TMTOK001"
 TRAILER = struct.Struct("<QQQI8s")
@@ -84,7 +84,7 @@ def write_store(docs: DataFrame, uri: str, tokenizer_path: str | None = None, le
         enc = encoder(tokenizer_path)
         squeeze = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(trained), write_checksum=False).compress
         end = np.array([END_ID], enc.width).tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             every = [t or "" for t in batch.column(1).to_pylist()]
             for span in spans_of(every):
                 ids = batch.column(0).slice(span.start, span.stop - span.start)

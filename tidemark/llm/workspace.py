@@ -85,6 +85,13 @@ def atomic_output(uri: str):
     filesystem.move(part, path)
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches cut into short ones, so that a worker holds few of their values as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 #: Input bytes (as stored) for one partition, and partitions at most, where ranges are cut.
 PARTITION_BYTES, MOST_PARTITIONS = 64 << 20, 20_000
 
