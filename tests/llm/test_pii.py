@@ -93,3 +93,14 @@ def test_query_rewrites_and_leaves_clean_texts(spark):
         for x, y in zip(a, b):
             pairs[x].add(y)
     assert len(pairs) > 50 and all(len(v) == 1 for v in pairs.values()) and len({*map(frozenset, pairs.values())}) == len(pairs)
+
+
+def test_entities_after_letters_of_any_script(spark):
+    before = ["联系", "почта", "é", "密钥", "mañana é", "ß", "Ж", "x", "x é", "🙂", "7", "", "日本_"]
+    what = ["john@example.com", "john.b@example.com", "f0ddae3b" * 5, "F0DDAE3B" * 4, "10.0.0.7", "Karen Miller", "Иван Петров", "663-555-6869"]
+    rows = [(i, b + w + a) for i, (b, w, a) in enumerate((b, w, a) for b in before for w in what for a in ("", " да", "。"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    assert all(r["a"] == r["b"] for r in df.select(found(pii.ENTITY).alias("a"), found(pii._ANY).alias("b")).collect())
+    got = rewritten(spark, {i: b + w for i, (b, w) in enumerate((b, w) for b in before[:4] for w in what[:3])})
+    assert all(n == 1 and "john" not in t and "f0ddae3b" not in t for t, n in got.values())

@@ -46,8 +46,11 @@ PATTERNS = {
     "phone": r"(?:(?<![\d+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}|(?<![\d+(])\(?\d{3}\)?[ .\-]\d{3}[.\-]\d{4})(?!\d)",
     "name": rf"(?=[A-Z\u0400-\u04FF])(?<![\p{{L}}])(?:(?:{_TITLE})\.?\x20(?:(?:{_GIVEN})\x20)?{_WORD}|(?:{_GIVEN})\x20{_WORD})",
 }
-#: No entity starts between two letters: that test first passes over most of a text.
-ENTITY = r"(?!(?<=\p{L})\p{L})(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+_ANY = "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: No entity starts between two ASCII letters, nor with another character after a letter (only names
+#: start with such, and none starts after a letter): that test first passes over most of a text.
+#: An address or a token may start after a letter that isn't ASCII.
+ENTITY = r"(?!(?<=[A-Za-z])[A-Za-z]|(?<=\p{L})[^\x00-\x7F])" + _ANY
 #: Only names have neither a digit nor an at sign.
 MARKS = "[0-9@]"
 
