@@ -104,3 +104,15 @@ def test_entities_after_letters_of_any_script(spark):
     assert all(r["a"] == r["b"] for r in df.select(found(pii.ENTITY).alias("a"), found(pii._ANY).alias("b")).collect())
     got = rewritten(spark, {i: b + w for i, (b, w) in enumerate((b, w) for b in before[:4] for w in what[:3])})
     assert all(n == 1 and "john" not in t and "f0ddae3b" not in t for t, n in got.values())
+
+
+def test_parts_of_names_and_phones_agree(spark):
+    text = "Karen Miller, Mrs Miller, Ms. Karen Miller, Mr Paul Miller, Linda Miller; +1 663-555-6869, (663) 555-6869, +44 663 555 6869, Karen Smith. Anna Петрова, г-жа Петрова"
+    out, n = rewritten(spark, {1: text})[1]
+    m = re.fullmatch(r"(\w+) (\w+), Mrs (\w+), Ms\. (\w+) (\w+), Mr (\w+) (\w+), (\w+) (\w+); \+1 ([\d-]+), ([()\d -]+), \+44 ([\d ]+), (\w+) (\w+)\. (\w+) (\w+), г-жа (\w+)", out)
+    assert m and n == 11
+    g = (None, *m.groups())
+    assert {g[i] for i in (2, 3, 5, 7, 9)} == {g[2]} != {"Miller"} and g[14] != g[2]
+    assert g[1] == g[4] == g[13] and len({g[1], g[6], g[8]}) == 3 and {g[1], g[8], g[15]} <= {*pii.NAMES["latin", "f"]} and g[6] in pii.NAMES["latin", "m"]
+    assert g[16] == g[17] != "Петрова" and re.fullmatch("[А-я]+", g[16])
+    assert len({re.sub(r"\D", "", g[i]) for i in (10, 11, 12)}) == 1 and re.sub(r"\D", "", g[10]) != "6635556869"

@@ -1,7 +1,9 @@
 """Personal data replaced by keyed, type-consistent surrogates, in DataFrame functions only.
 
 Each entity has a type and a canonical form (digits of a number, lower case of an address), so
-that every spelling of it gets the same surrogate, written in the spelling's own format. What is
+that every spelling of it gets the same surrogate, written in the spelling's own format. A name is
+keyed by its surname, with or without title and given name, and a phone by its last ten digits,
+with or without country code; given names are exchanged one for one apart from that. What is
 replaced keeps its kind: digits stay digits and letters letters, a card keeps its first digit and
 checksum, a phone its country code, an octet its width, a name its gender and script. Surrogates
 are checked over the whole corpus: no two entities share one and none is a real entity; an entity
@@ -10,6 +12,8 @@ that fails takes its next keyed attempt.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,10 +74,11 @@ def kind_of(surface: Column) -> Column:
 
 
 def canonical(kind: Column, surface: Column) -> Column:
-    """One form for all spellings of an entity."""
+    """One form for all spellings of an entity: of a name the surname, of a phone what follows its
+    country code (the last ten digits)."""
     digits = F.regexp_replace(surface, r"\D", "")
-    bare = F.regexp_replace(surface, rf"^(?:{_TITLE})\.?\x20", "")
-    return F.when(kind.isin("card", "phone", "ssn"), digits).when(kind.isin("name"), F.lower(bare)).otherwise(F.lower(surface))
+    surname = F.substring_index(surface, " ", -1)
+    return F.when(kind == "phone", F.right(digits, F.lit(10))).when(kind.isin("card", "ssn"), digits).when(kind == "name", F.lower(surname)).otherwise(F.lower(surface))
 
 
 def _stream(*parts: Column) -> Column:
@@ -129,8 +134,8 @@ def with_surrogate(entities: DataFrame, key: str) -> DataFrame:
     octet = lambda x, i: F.when(F.length(x) == 1, 1 + _pick(s, i, 9)).when(F.length(x) == 2, 10 + _pick(s, i, 90)).otherwise(100 + _pick(s, i, 156)).cast("string")
     ip = F.array_join(F.transform(octets, octet), ".")
     ssn = _chars(c, lambda x, i: F.when(i.isin(0, 3, 5), _nth("12345", _pick(s, i, 5))).otherwise(_nth(_DIGITS, _pick(s, i, 10))))
-    # a phone keeps what stands before its last ten digits; area and exchange don't start with 0 or 1
-    phone = _chars(c, lambda x, i: F.when(i < n - 10, x).when(i.isin(0) | (i == n - 10) | (i == n - 7), _nth("23456789", _pick(s, i, 8))).otherwise(_nth(_DIGITS, _pick(s, i, 10))))
+    # area and exchange don't start with 0 or 1
+    phone = _chars(c, lambda x, i: F.when(i.isin(0) | (i == n - 10) | (i == n - 7), _nth("23456789", _pick(s, i, 8))).otherwise(_nth(_DIGITS, _pick(s, i, 10))))
     # the card's last digit restores the residue of its checksum
     body = F.concat(F.substring(c, 1, 1), F.substring(_chars(c, lambda x, i: _nth(_DIGITS, _pick(s, i, 10))), F.lit(2), n - 2))
     df = df.withColumn("_body", F.concat(body, F.lit("0")))
@@ -150,32 +155,44 @@ def with_surrogate(entities: DataFrame, key: str) -> DataFrame:
 
 
 def _name(s: Column) -> Column:
-    """Given name of the same gender and script, and a surname of keyed syllables. A canonical name
-    of one word is a surname alone."""
-    c = F.col("canon")
-    first = F.substring_index(c, " ", 1)
-    script = F.when(c.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    given = F.lit("")
-    for (where, gender), names in NAMES.items():
-        listed = F.array(*[F.lit(n.lower()) for n in names])
-        given = F.when((script == where) & F.array_contains(listed, first), F.concat(F.get(listed, _pick(s, F.lit(0), len(names))), F.lit(" "))).otherwise(given)
+    """A surname of keyed syllables in the same script."""
+    script = F.when(F.col("canon").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     surname = F.lit("")
     for where, parts in SYLLABLES.items():
         listed = F.array(*[F.lit(p) for p in parts])
         made = F.array_join(F.transform(F.sequence(F.lit(1), 3 + F.col("attempt")), lambda i: F.get(listed, _pick(s, i, len(parts)))), "")
         surname = F.when(script == where, made).otherwise(surname)
-    return F.concat(F.when(F.instr(c, " ") > 0, given).otherwise(""), surname)
-
-
-def rendered(kind: Column, surface: Column, surrogate: Column) -> Column:
-    """``surrogate`` written as ``surface`` is: its punctuation, case and title."""
-    step = lambda a, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(a["s"], F.substring(surrogate, a["k"] + 1, F.lit(1))).alias("s"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k")))
+    return surname
+
+
+def _given(name: Column, key: str) -> Column:
+    """Another given name of the same gender and script, one for one: each list goes round in a
+    keyed order, so that given names of one surname stay distinct."""
+    pairs = []
+    for names in NAMES.values():
+        order = sorted((n.lower() for n in names), key=lambda n: hashlib.sha512(f"{key}\x1fgiven\x1f{n}".encode()).digest())
+        pairs += zip(order, order[1:] + order[:1])
+    return F.element_at(F.create_map(*[F.lit(x) for pair in pairs for x in pair]), F.lower(name))
+
+
+def rendered(kind: Column, surface: Column, surrogate: Column, key: str) -> Column:
+    """``surrogate`` written as ``surface`` is: its punctuation, case, title and country code, and
+    with a given name where it has one."""
+    held = F.regexp_replace(surface, r"\D", "")
+    code = F.when(kind == "phone", F.left(held, F.greatest(F.length(held) - 10, F.lit(0)))).otherwise("")
+    number = F.concat(code, surrogate)
+    step = lambda a, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(a["s"], F.substring(number, a["k"] + 1, F.lit(1))).alias("s"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k")))
     digits = F.aggregate(F.split(surface, ""), F.struct(F.lit("").alias("s"), F.lit(0).alias("k")), step, lambda a: a["s"])
     cased = _chars(surrogate, lambda c, i: F.when(F.substring(surface, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c))
     title = F.regexp_extract(surface, rf"^((?:{_TITLE})\.?\x20)", 1)
     bare = F.substring(surface, F.length(title) + 1, F.lit(1 << 20))
-    name = F.concat(title, F.when(bare == F.upper(bare), F.upper(surrogate)).otherwise(F.initcap(surrogate)))
-    return F.when(F.startswith(surrogate, F.lit("[")), surrogate).when(kind.isin("card", "phone", "ssn"), digits).when(kind == "name", name).otherwise(cased)
+    given = F.when((kind == "name") & (F.instr(bare, " ") > 0), F.concat(_given(F.substring_index(bare, " ", 1), key), F.lit(" "))).otherwise("")
+    label = F.startswith(surrogate, F.lit("["))
+    whole = F.concat(given, surrogate)
+    name = F.concat(title, F.when(bare == F.upper(bare), F.upper(whole)).otherwise(F.initcap(whole)))
+    # a label keeps apart what shares it
+    labelled = F.concat(F.when(code != "", F.concat(F.lit("+"), code, F.lit(" "))).otherwise(F.initcap(given)), surrogate)
+    return F.when(label, labelled).when(kind.isin("card", "phone", "ssn"), digits).when(kind == "name", name).otherwise(cased)
 
 
 def surrogates(ws: Workspace, entities: DataFrame, key: str) -> DataFrame:
@@ -213,7 +230,7 @@ def replace_entities(docs: DataFrame, key: str = DEMO_KEY, count: str = "n_entit
     surfaces = met.select("surface").distinct().withColumn("kind", kind).withColumn("canon", canonical(F.col("kind"), F.col("surface")))
     surfaces = ws.stage(surfaces, "surfaces")
     given = surrogates(ws, surfaces.select("kind", "canon").distinct(), key)
-    spelled = ws.stage(surfaces.join(given, ["kind", "canon"]).select("surface", rendered(F.col("kind"), F.col("surface"), F.col("surrogate")).alias("new")), "spelled")
+    spelled = ws.stage(surfaces.join(given, ["kind", "canon"]).select("surface", rendered(F.col("kind"), F.col("surface"), F.col("surrogate"), key).alias("new")), "spelled")
     news = met.join(spelled, "surface").groupBy("_file", "_row").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "new"))), lambda x: x["new"]).alias("_new"))
     gaps = F.split("text", ENTITY, -1)
     merged = F.concat(F.array_join(F.zip_with(F.slice("_gaps", 1, F.size("_new")), "_new", lambda g, n: F.concat(g, n)), ""), F.element_at("_gaps", -1))
