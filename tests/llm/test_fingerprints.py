@@ -84,3 +84,22 @@ def test_ranges_split_anywhere(spark):
     from bisect import bisect_left
 
     assert all(r["r"] == bisect_left(bounds, r["doc_id"]) for r in df.collect())
+
+
+def test_short_texts_are_compared_exactly(spark):
+    whole = [f"w{i}" for i in range(300)]
+    rows = [(" ".join(whole), " ".join(whole[i : i + 7]), " ".join([*whole[i : i + 7], "other"])) for i in range(0, 290, 5)]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    for text in "abc":
+        df = fp.with_sketch(df, text, f"{text}s")
+    for r in df.select(fp.containment("bs", "as").alias("in"), fp.containment("cs", "as").alias("part"), fp.likeness("bs", "as").alias("like"), fp.likeness("bs", "cs").alias("near")).collect():
+        assert (r["in"], r["part"], r["near"]) == (1.0, 0.75, 0.75) and r["like"] == pytest.approx(3 / 296)
+
+
+def test_a_guard_tells_nothing_of_a_longer_text(spark):
+    whole = [f"w{i}" for i in range(300)]
+    df = spark.createDataFrame([(" ".join(whole), " ".join(whole[i : i + 5])) for i in range(64)], "a string, b string")
+    df = fp.with_sketch(fp.with_sketch(df, "a", "x", scale=8), "b", "y", scale=8)
+    rows = df.select(fp.containment("y", "x", 8).alias("c"), fp.likeness("y", "x", 8).alias("l"), fp.likeness("y", "y", 8).alias("same"), (F.get("y", F.lit(0)) < fp.bound(8)).alias("proper")).collect()
+    assert {r["proper"] for r in rows} == {True, False} and all(r["same"] == 1.0 for r in rows)
+    assert all((r["c"], r["l"] is None) == ((1.0, False) if r["proper"] else (None, True)) for r in rows)

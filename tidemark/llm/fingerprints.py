@@ -2,9 +2,11 @@
 
 A fingerprint keeps every five-word shingle hash below a fixed fraction (1/scale) of the hash
 range. Its size follows the document's, so fingerprints of very unequal documents still tell how
-much of one is in the other, and those of parts merge into that of the whole by set union. A
-document that has shingles but none below the bound keeps its smallest hash, so that short
-documents stay comparable; merging drops such a hash once a proper one is there.
+much of one is in the other, and those of parts merge into that of the whole by set union. At
+scale 1 every hash is kept and comparisons are exact, however short a document is. At larger
+scales a document that has shingles but none below the bound keeps its smallest hash as a guard,
+which tells equal texts; merging drops it once a proper hash is there. A longer text doesn't keep
+that hash, so what a guard and proper hashes share is unknown: null, not 0.
 """
 
 from __future__ import annotations
@@ -14,12 +16,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.workspace import partitions_for
 
-WORDS, SCALE = 5, 8
+WORDS, SCALE = 5, 1
 _LOWEST = -(1 << 63)
 
 
 def bound(scale: int = SCALE) -> int:
-    """Hashes below this (signed, 64 bits) are kept."""
+    """Hashes below this (signed, 64 bits) are kept; at scale 1 it lies just above the range."""
     return _LOWEST + (1 << 64) // scale
 
 
@@ -36,36 +38,47 @@ def with_sketch(df: DataFrame, text: str, name: str, words: int = WORDS, scale:
     rolled = F.transform(F.sequence(F.lit(0), n - words), lambda i: F.xxhash64(*[F.get(F.col(h), i + j) for j in range(words)]))
     whole = F.when(n > 0, F.array(F.xxhash64(F.col(h), n))).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn(a, F.when(n >= words, rolled).otherwise(whole))
-    kept = F.array_sort(F.array_distinct(F.filter(F.col(a), lambda x: x < F.lit(bound(scale)))))
+    every = F.col(a) if scale == 1 else F.filter(F.col(a), lambda x: x < F.lit(bound(scale)))
+    kept = F.sort_array(F.array_distinct(every))
     df = df.withColumn(name, kept)
     guard = F.when(F.size(a) > 0, F.array(F.array_min(a))).otherwise(F.col(name))
     return df.withColumn(name, F.when(F.size(name) > 0, F.col(name)).otherwise(guard)).drop(h, a)
 
 
-def likeness(a: Column | str, b: Column | str) -> Column:
-    """The estimated Jaccard similarity of two sketches; 1 if both are empty."""
+def _unknown(a: Column, b: Column, scale: int) -> Column:
+    """Whether one of two sketches is a guard and the other has proper hashes."""
+    if scale == 1:
+        return F.lit(False)
+    proper = lambda x: F.get(x, F.lit(0)) < F.lit(bound(scale))
+    return F.coalesce(proper(a) != proper(b), F.lit(False))
+
+
+def likeness(a: Column | str, b: Column | str, scale: int = SCALE) -> Column:
+    """The estimated Jaccard similarity of two sketches, exact at scale 1; 1 if both are empty."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
     shared = F.size(F.array_intersect(a, b))
     union = F.size(a) + F.size(b) - shared
-    return F.when(union == 0, 1.0).otherwise(shared / F.greatest(union, F.lit(1)))
+    return F.when(union == 0, 1.0).when(~_unknown(a, b, scale), shared / F.greatest(union, F.lit(1)))
 
 
-def containment(a: Column | str, b: Column | str) -> Column:
-    """The estimated share of a's shingles that b has; 1 if a is empty."""
+def containment(a: Column | str, b: Column | str, scale: int = SCALE) -> Column:
+    """The estimated share of a's shingles that b has, exact at scale 1; 1 if a is empty."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)))
+    return F.when(F.size(a) == 0, 1.0).when(~_unknown(a, b, scale), F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)))
 
 
 def merged(a: Column | str, b: Column | str, scale: int = SCALE) -> Column:
     """The sketch of two parts together."""
-    both = F.array_sort(F.array_union(a, b))
+    both = F.sort_array(F.array_union(a, b))
+    if scale == 1:
+        return both
     proper = F.filter(both, lambda x: x < F.lit(bound(scale)))
     return F.when(F.size(proper) > 0, proper).otherwise(F.slice(both, 1, 1))
 
 
 def as_string(sketch: Column | str) -> Column:
     """Sixteen hex digits for each hash, in rising order."""
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+    return F.lower(F.array_join(F.transform(sketch, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
