@@ -92,3 +92,23 @@ def test_query_round_trip(spark):
     assert len(rows) == len(texts)
     assert all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in rows)
     assert len({r["variant"] for r in rows}) == md.VARIANTS
+
+
+def test_every_occurrence_has_its_own_skips(spark, seg):
+    word = "internationalization"
+    df = spark.createDataFrame([(i, f"{word} " * 40) for i in range(20)], "doc_id long, text string")
+    rows = md.encode(df, dropout=0.3).collect()
+    assert len({bytes(r["ids"]) for r in rows}) == 20  # more than there are variants
+    s, cuts = seg[0.3], set()
+    for piece in "".join(s.pieces[i] + "|" for i in np.frombuffer(rows[0]["ids"], s.width).tolist()).split(md.SPACE):
+        cuts.add(piece)
+    assert len(cuts) > 15
+
+
+@given(st.lists(st.text(st.sampled_from("aeinrstlo日"), min_size=1, max_size=70), min_size=1, max_size=8), st.integers(0, 2**64 - 1))
+@settings(max_examples=100, deadline=None)
+def test_remembered_runs_equal_the_agenda(seg, words, key):
+    for s in seg.values():
+        variants = md.mix(np.arange(3 * len(words), dtype=np.uint64) ^ np.uint64(key))
+        got = s._segment(words * 3, variants)
+        assert got == [s._long(w, v) for w, v in zip(words * 3, variants)]

@@ -1,12 +1,15 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and lossless decoding.
 
 A word's candidate merges stand on an agenda by score, then by place; each may be skipped, as a
-keyed hash of the seed, the variant, the word and the candidate's borders decides. A skipped
+keyed hash of the seed, the document, the word's place in it, the word and the candidate's borders
+decides. A skipped
 candidate never comes back, but its characters can still join in other merges. With no dropout the
 ids are the library's. Words of a batch go through their agendas in lockstep, as array operations.
 
-Pieces never reach over a word's border, so equal words of one variant share their segmentation.
-A document's variant is a keyed hash of its id; seeds and variants give varied segmentations.
+Every occurrence of a word is cut by its own skips. What is remembered is a tree of runs: a word's
+run with nothing skipped and, below it, runs with given candidates skipped, each with all it put on
+the agenda. An occurrence goes down by its own skips until its run puts nothing up that it skips,
+which is then the run that its skips give.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.shingles import mix
-from tidemark.llm.token_ids import gaps_of, spans_of
+from tidemark.llm.token_ids import spans_of
 from tidemark.llm.workspace import slices
 
 _U = np.uint64
 SPACE = "▁"
 #: Words, the line ends between them, and runs of spaces before them.
 WORD = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+").findall
-#: Segmentations that a worker remembers at once.
-WORDS_KEPT = 700_000
+#: Runs that a worker remembers at once.
+RUNS_KEPT = 300_000
 #: Symbols of the longest word that goes through in lockstep with others.
 LOCKSTEP = 64
 DROPOUT, SEED, VARIANTS = 0.1, 1, 4
@@ -44,6 +48,20 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class _Column:
+    """A numpy array that grows."""
+
+    def __init__(self, dtype):
+        self.all, self.n = np.empty(1 << 12, dtype), 0
+
+    def add(self, values) -> None:
+        end = self.n + len(values)
+        if end > len(self.all):
+            self.all = np.resize(self.all, max(end, 2 * len(self.all)))
+        self.all[self.n : end] = values
+        self.n = end
+
+
 class Segmenter:
     def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED):
         from sentencepiece import SentencePieceProcessor
@@ -63,7 +81,7 @@ class Segmenter:
         self.width = np.dtype(f"<u{2 if n <= 1 << 16 else 4}")
         self.skip_below = _U(min(int(dropout * 2**64), 2**64 - 1)) if dropout > 0 else None
         self.key = _U(int.from_bytes(hashlib.blake2b(f"{seed}".encode(), digest_size=8).digest(), "little"))
-        self.known: dict[int, dict[str, bytes]] = {}  # by variant
+        self._forget()
         self.mark = array(self.kind, [self.byte_ids[b] for b in SPACE.encode()]).tobytes()
         # text of each id for decoding; byte pieces are told apart
         self.texts = [p.replace(SPACE, " ") for p in self.pieces]
@@ -76,10 +94,12 @@ class Segmenter:
         return np.where((left >= 0) & (right >= 0) & (self.join_keys[at] == keys), self.join_ids[at], -1)
 
     def _variant_key(self, variant: int) -> np.ndarray:
-        return mix(np.array([self.key]) + _U(variant))
+        return mix(np.array([self.key]) + np.asarray(variant, _U))
 
-    def _agenda(self, words: list[str], variant: int) -> list[bytes]:
-        """Segment words of at most about equal length in lockstep."""
+    def _agenda(self, words: list[str], variant, dropped: np.ndarray | None = None, offers: list | None = None) -> list[bytes]:
+        """Segment words of at most about equal length in lockstep, under one variant or one each.
+        With ``dropped`` (rising, row << 21 | place of 3 x 7 bits) just those candidates are skipped,
+        and ``offers`` takes rows, places and hashed places of all others."""
         width = max(map(len, words))
         n = len(words)
         codes = np.full((n, width), -1, np.int64)  # -1: no symbol; -2: a character without piece
@@ -100,7 +120,14 @@ class Segmenter:
             rows, at, middle = rows[ok], at[ok], middle[ok]
             made = self._joined(codes[rows, at], codes[rows, middle])
             found = made >= 0
-            if self.skip_below is not None:
+            if dropped is not None:
+                end = follow[rows, middle]
+                near = rows << 21 | at << 14 | middle << 7 | end
+                if len(dropped):
+                    found &= dropped[np.minimum(np.searchsorted(dropped, near), len(dropped) - 1)] != near
+                place = (at[found].astype(_U) << _U(42)) | (middle[found].astype(_U) << _U(21)) | end[found].astype(_U)
+                offers.append((rows[found], near[found] & (1 << 21) - 1, mix(place)))
+            elif self.skip_below is not None:
                 end = follow[rows, middle]
                 place = (at.astype(_U) << _U(42)) | (middle.astype(_U) << _U(21)) | end.astype(_U)
                 found &= mix(salt[rows] ^ mix(place)) >= self.skip_below
@@ -193,47 +220,91 @@ class Segmenter:
                 ids += [self.byte_ids[b] for b in word[j].encode()] if code == -2 else [code]
         return array(self.kind, ids).tobytes()
 
-    def _learn(self, words: list[str], variant: int) -> None:
-        known, start = self.known[variant], 0
-        words.sort(key=len)
-        while start < len(words):
-            if len(words[start]) > LOCKSTEP:
-                known[words[start]] = self._long(words[start], variant)
-                start += 1
-                continue
-            top = min(len(words[start]) + 1 + len(words[start]) // 8, LOCKSTEP)
-            stop = start
-            while stop < len(words) and stop - start < 8192 and len(words[stop]) <= top:
+    def _forget(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.below: dict[tuple[int, int], int] = {}  # by run and the set bits of what is skipped of its candidates
+        self.runs: list[tuple[str, tuple[int, ...], bytes]] = []  # word, places skipped, ids
+        self.salts, self.first, self.count = _Column(_U), _Column(np.int64), _Column(np.int64)
+        self.places, self.hashed = _Column(np.int32), _Column(_U)
+
+    def _learn(self, wanted: list[tuple[str, tuple[int, ...]]]) -> list[int]:
+        """The numbers of new runs of words without given candidates."""
+        numbers, order, start = [0] * len(wanted), sorted(range(len(wanted)), key=lambda i: len(wanted[i][0])), 0
+        while start < len(order):
+            size = len(wanted[order[start]][0])
+            top, stop = min(size + 1 + size // 8, LOCKSTEP), start
+            while stop < len(order) and stop - start < 8192 and len(wanted[order[stop]][0]) <= top:
                 stop += 1
-            known.update(zip(words[start:stop], self._agenda(words[start:stop], variant)))
+            part = [wanted[i] for i in order[start:stop]]
+            dropped = np.array(sorted(r << 21 | p for r, (_, skips) in enumerate(part) for p in skips), np.int64)
+            offers: list = []
+            made = self._agenda([w for w, _ in part], 0, dropped, offers)
+            rows, places, hashed = (np.concatenate(x) for x in zip(*offers)) if offers else (np.empty(0, np.int64),) * 3
+            by_row = np.argsort(rows, kind="stable")
+            count = np.bincount(rows, minlength=len(part))
+            self.first.add(self.places.n + np.cumsum(count) - count)
+            self.count.add(count)
+            self.places.add(places[by_row])
+            self.hashed.add(hashed[by_row])
+            self.salts.add([zlib.crc32(w.encode()) | len(w) << 32 for w, _ in part])
+            for i, (w, skips), ids in zip(order[start:stop], part, made):
+                numbers[i] = len(self.runs)
+                self.runs.append((w, skips, ids))
             start = stop
-
-    def encode(self, texts: list[str], variants: list[int]) -> list[bytes]:
-        """Ids, of type ``width``, of each text under its variant. An empty text has none."""
-        out = [b""] * len(texts)
-        by: dict[int, list[int]] = {}
-        for i, v in enumerate(variants):
-            by.setdefault(v, []).append(i)
-        for v, mine in by.items():
-            # a literal word mark is kept apart and written as bytes, so that decoding tells it from a space
-            parts = [[WORD(p) for p in self._marked(texts[i])] for i in mine]
-            words = [w for ps in parts for w in ps]
-            get = self.known.setdefault(v, {}).get
-            found = [list(map(get, w)) for w in words]
-            gaps = [(f, w, gaps_of(f)) for f, w in zip(found, words) if None in f]
-            fresh = {w[at] for _, w, places in gaps for at in places}
-            if sum(map(len, self.known.values())) + len(fresh) > WORDS_KEPT:
-                self.known.clear()
-            known = self.known.setdefault(v, {})
-            self._learn(list(fresh), v)
-            for f, w, places in gaps:
-                for at in places:
-                    f[at] = known[w[at]]
-            ids = map(b"".join, found)
-            for i, ps in zip(mine, parts):
-                out[i] = self.mark.join([next(ids) for _ in ps])
+        return numbers
+
+    def _segment(self, words: list[str], variants: np.ndarray) -> list[bytes]:
+        """Ids of each occurrence of a word, under a variant of its own."""
+        if len(self.runs) > RUNS_KEPT:
+            self._forget()
+        long = {i for i, w in enumerate(words) if len(w) > LOCKSTEP}
+        fresh = list({w for w in words if len(w) <= LOCKSTEP}.difference(self.roots))
+        self.roots.update(zip(fresh, self._learn([(w, ()) for w in fresh])))
+        run = np.array([self.roots.get(w, -1) for w in words], np.int64)
+        live = np.flatnonzero(run >= 0) if self.skip_below is not None else np.empty(0, np.int64)
+        salt = np.zeros(len(words), _U)
+        salt[live] = mix(self.salts.all[run[live]] ^ self._variant_key(variants[live]))
+        alone: list[int] = []  # with more candidates than bits
+        while len(live):
+            at = run[live]
+            count = self.count.all[at]
+            owner = np.repeat(np.arange(len(live)), count)
+            nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            skipped = np.flatnonzero(mix(salt[live][owner] ^ self.hashed.all[self.first.all[at][owner] + nth]) < self.skip_below)
+            bits = np.zeros(len(live), _U)
+            np.bitwise_or.at(bits, owner[skipped], _U(1) << (nth[skipped] & 63).astype(_U))
+            wide = (bits != 0) & (count > 64)
+            alone += live[wide].tolist()
+            moves = (bits != 0) & ~wide
+            live = live[moves]
+            keys = list(zip(at[moves].tolist(), bits[moves].tolist()))
+            unmet = list(set(keys).difference(self.below))
+            self.below.update(zip(unmet, self._learn([self._without(*key) for key in unmet])))
+            run[live] = list(map(self.below.__getitem__, keys))
+        out = [self.runs[r][2] if r >= 0 else b"" for r in run.tolist()]
+        for i in alone:
+            out[i] = self._agenda([words[i]], variants[i])[0]
+        for i in long:
+            out[i] = self._long(words[i], variants[i])
         return out
 
+    def _without(self, run: int, bits: int) -> tuple[str, tuple[int, ...]]:
+        """A run's word, and what it skips together with those of its candidates."""
+        word, skips, _ = self.runs[run]
+        places = self.places.all[self.first.all[run] :]
+        return word, (*skips, *(int(places[i]) for i in range(bits.bit_length()) if bits >> i & 1))
+
+    def encode(self, texts: list[str], keys: list[int]) -> list[bytes]:
+        """Ids, of type ``width``, of each text under its key. An empty text has none."""
+        # a literal word mark is kept apart and written as bytes, so that decoding tells it from a space
+        parts = [[WORD(p) for p in self._marked(t)] for t in texts]
+        words = [w for ps in parts for p in ps for w in p]
+        sizes = np.array([sum(map(len, ps)) for ps in parts], np.int64)
+        places = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        variants = mix(np.repeat(mix(np.array(keys, _U)), sizes) + places.astype(_U))
+        ids = iter(self._segment(words, variants))
+        return [self.mark.join([b"".join(islice(ids, len(p))) for p in ps]) for ps in parts]
+
     @staticmethod
     def _marked(text: str) -> list[str]:
         """The parts of a text between literal word marks, with marks for spaces and a leading one."""
@@ -272,11 +343,16 @@ def variant_of(doc_id: int | None, seed: int, variants: int) -> int:
     return zlib.crc32(f"{seed}:{doc_id}".encode()) % variants
 
 
+def key_of(doc_id: int | None, seed: int, variant: int) -> int:
+    """64 bits that key a document's skips."""
+    return int.from_bytes(hashlib.blake2b(f"{seed}:{variant}:{doc_id}".encode(), digest_size=8).digest(), "little")
+
+
 def encode(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
     """doc_id, variant, n_tokens, ids (little-endian bytes) of ``docs`` (doc_id, text).
 
     A null or empty text has no ids. Null doc_ids and repeated rows stay; a doc_id always has the
-    same variant. Other columns are ignored.
+    same variant and, for the same text, the same ids. Other columns are ignored.
     """
     path = path or default_path()
 
@@ -294,7 +370,8 @@ def _encoded(seg: Segmenter, batches, seed: int, variants: int):
         for span in spans_of(texts):
             doc_ids = batch.column(0).slice(span.start, span.stop - span.start)
             which = [variant_of(d, seed, variants) for d in doc_ids.to_pylist()]
-            yield doc_ids, which, seg.encode(texts[span], which)
+            keys = [key_of(d, seed, v) for d, v in zip(doc_ids.to_pylist(), which)]
+            yield doc_ids, which, seg.encode(texts[span], keys)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
