@@ -79,3 +79,22 @@ def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
     assert sorted((tuple(r) for r in uf.op2_url_filter(spark, sf).collect()), key=key) == sorted(sql_rows(rows), key=key)
+
+
+def test_distrust_reaches_over_long_chains(spark):
+    # the last host is blocked by a rule; each host links to the next, so distrust goes back all the way
+    rows = [(i, f"http://h{i}.net/", f"<a href='http://h{i + 1}.net/'>") for i in range(30)] + [(30, "http://h30.net/", "<a href='http://x.com/'>"), (31, "http://x.com/de/1", "")]
+    got = {r["page_id"]: r for r in uf.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # what reaches the first host of the chain starts over at the seed
+    rank = {d: 0.85**d for d in range(32)}
+    total = sum(rank.values())
+    for i in range(31):
+        assert got[i]["verdict"] == "block" and got[i]["distrust"] == pytest.approx(rank[31 - i] / total, abs=1e-8)
+
+
+def test_a_cycle_settles(spark):
+    edges = [("t", f"c{i}", f"c{(i + 1) % 3}", 1) for i in range(3)]
+    seeds = spark.createDataFrame([("t", "c0", 1.0)], "kind string, host string, weight double")
+    ranks = uf.propagate(Workspace(spark, "c"), spark.createDataFrame(edges, "kind string, src string, dst string, n long"), seeds, iterations=uf.steps_to_settle())
+    got = {r["host"]: r["rank"] for r in ranks.collect()}
+    assert all(got[f"c{i}"] == pytest.approx(0.15 * 0.85**i / (1 - 0.85**3), abs=1e-8) for i in range(3))

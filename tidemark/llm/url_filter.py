@@ -9,6 +9,8 @@ All of it is DataFrame functions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,14 @@ from tidemark.llm.workspace import Workspace
 #: (verdict, host and path); a rule fits its host and all subdomains if the path starts with its path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING, ITERATIONS, SETTLED = 0.85, 20, 1e-9
+
+
+def steps_to_settle(damping: float = DAMPING) -> int:
+    """Steps after which ranks have settled on any graph: each shrinks what a kind still moves by
+    the damping, from at most 2 for each of two kinds."""
+    return math.ceil(math.log(SETTLED / 4) / math.log(damping)) + 1
+
+
 #: A host is allowed if its trust is at least this share of its distrust (a tie allows).
 SHARE, TIE = 1.0, 1e-12
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,8 +83,8 @@ def propagate(ws: Workspace, edges: DataFrame, seeds: DataFrame, damping: float
     """kind, host, rank: PageRanks of several kinds at once.
 
     ``edges``: kind, src, dst, n; ``seeds``: kind, host, weight with weights of a kind summing to
-    1. Mass at hosts without out-edges goes back to the seeds. Ends when no kind moves by more
-    than SETTLED in total. Each step is a join and a sum per host, written to the shared folder.
+    1. Mass at hosts without out-edges goes back to the seeds. Ends when the kinds together move by
+    less than SETTLED, or after ``iterations`` steps. Each step is a join and a sum per host, written to the shared folder.
     """
     out = edges.groupBy("kind", "src").agg(F.sum("n").alias("total"))
     moves = ws.stage(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("share")), "moves")
@@ -116,7 +126,7 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     weight = F.when(F.col("kind") == "trust", F.col("n") / float(totals.get("trust", 1))).otherwise(F.col("n") / float(totals.get("distrust", 1)))
     edges = ws.stage(host_edges(pages), "edges")
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    ranks = propagate(ws, both, counts.select("kind", "host", weight.alias("weight")))
+    ranks = propagate(ws, both, counts.select("kind", "host", weight.alias("weight")), iterations=steps_to_settle())
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
     hosts = ranks.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
     df = df.join(hosts, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
