@@ -75,7 +75,9 @@ def test_exact_prefixes_alone_find_every_link(spark):
     docs = clump(120, 5, 8)
     ws = Workspace(spark, "test")
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    sets = nd.full_sets(df, df.selectExpr("doc_id as id"), 3).cache()
+    signed = nd.signatures(df, 3, 4)
+    sets = nd.full_sets(df, signed.selectExpr("doc_id as id", "doc_id as doc", "key"), 3).cache()
+    assert sets.count() == len(docs)
     pairs = nd.prefix_pairs(ws, sets.selectExpr("*", "id as label"), 85)
     links = {(r["a"], r["b"]) for r in nd.confirmed(pairs, sets, 85).collect()}
     full = {r["id"]: set(r["shingles"]) for r in sets.collect()}
@@ -93,3 +95,53 @@ def test_matches_needed():
     t = nd.matches_needed(64, 85)
     assert 36 <= t <= 42
     assert nd.matches_needed(64, 100) == 64
+
+
+def long_text(seed, n=80):
+    r = random.Random(seed)
+    return " ".join(f"w{r.randrange(500)}" for _ in range(n))
+
+
+def by_rows(rows, words, percent):
+    """Rows (doc_id, text) -> (set size, component, smallest id) by place, ids repeated or missing."""
+    places = brute([(i, t) for i, (_, t) in enumerate(rows)], words, percent)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        root = places[i][1]
+        least[root] = min((x for x in (least.get(root), d) if x is not None), default=None)
+    return [(d, places[i][0], places[i][1], least[places[i][1]]) for i, (d, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ids_with_several_texts_lose_no_link(spark, seed):
+    a, b, c = long_text(100 + seed), long_text(200 + seed), long_text(300 + seed)
+    rows = [(5, a), (5, b), (9, a + " extra"), (9, c), (None, c + " more"), (None, c + " more words"), (None, None), (7, b), (7, b), (5, a), (11, c + " more words again"), (12, ""), (12, "")]
+    rows += [(3, long_text(400 + seed)), (3, long_text(400 + seed) + " end"), (None, long_text(500 + seed))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] is None, r["doc_id"], r["n_shingles"], r["component_id"] or -1, r["kept"]) for r in nd.link_components(df, 3, 85).collect()), key=str)
+    want = sorted(((d is None, d, n, (least if n else d) or -1, d is not None and (not n or d == least)) for d, n, _, least in by_rows(rows, 3, 85)), key=str)
+    assert got == want
+    left = nd.one_of_each(df, 3, 85).collect()
+    groups = {}
+    for (d, t), (_, n, root, _) in zip(rows, by_rows(rows, 3, 85)):
+        groups.setdefault((root,) if n else (d, t, root, "empty"), []).append((d, t))
+    assert len(left) == len(groups)
+    assert sorted(str((r["doc_id"], r["text"])) for r in left) == sorted(str(min(g, key=lambda x: (x[0] is None, x[0] or 0, nd.hashlib.md5((x[1] or "").encode()).hexdigest()))) for g in groups.values())
+
+
+def test_names_that_clash_with_helpers(spark):
+    names = ["key", "digest", "least", "component", "id", "doc", "first", "stays", "none", "n", "_nth"]
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
+    df = df.selectExpr("*", *(f"'{c}' as `{c}`" for c in names), "'dot' as `a.b`")
+    rows = nd.one_of_each(df).collect()
+    assert [tuple(r) for r in rows] == [(1, "a b c d e f", *names, "dot")]
+
+
+def test_words_hash_alike_however_texts_are_cut():
+    from tidemark.llm.shingles import word_hashes
+
+    r = random.Random(1)
+    texts = [" ".join("x" * r.randrange(1, 30) + str(r.random()) for _ in range(r.randrange(40))).encode() for _ in range(40)] + [b"", b"y" * 5000, b"  ", b"\x0b"]
+    for span in (1, 7, 64, 1000):
+        (a, b), (c, d) = word_hashes(texts, span), word_hashes(texts)
+        assert (a == c).all() and (b == d).all()

@@ -13,7 +13,8 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
 
     ``edges``: a, b. Each step keeps one row per edge, takes minima with partial aggregation and
     joins them back by node, so a hub of any degree is split like every skewed join side. Lineage
-    is cut after each step by a written table. Steps needed grow with the logarithm of the size.
+    is cut after each step by a written table, in one file for each million edges. Steps needed grow
+    with the logarithm of the size.
     """
     e = ws.stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0")
     seen, step = None, 0
@@ -27,10 +28,9 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = ws.stage(large, f"{name}-{step}-large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        new = ws.stage(small, f"{name}-{step}")
-        ws.drop(f"{name}-{step}-large", f"{name}-{step - 1}")
+        new = ws.stage(small, f"{name}-{step}", 1 + now[0] // 1_000_000)
+        ws.drop(f"{name}-{step - 1}")
         e = new

@@ -24,38 +24,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+#: Bytes that are hashed at once, and powers kept for later.
+SPAN = 1 << 18
+
+
 class _Powers:
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, _U)
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > 4 * SPAN:  # rare, and too long to keep
+            return _steps(BASE, n), _steps(pow(BASE, -1, 1 << 64), n)
         if len(self.up) < n:
-            size = max(n, 1 << 20)
-            for name, step in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-                steps = np.full(size, step, _U)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
+            size = max(n, SPAN + (SPAN >> 2))
+            self.up, self.down = _steps(BASE, size), _steps(pow(BASE, -1, 1 << 64), size)
         return self.up[:n], self.down[:n]
 
 
+def _steps(step: int, n: int) -> np.ndarray:
+    steps = np.full(n, step, _U)
+    steps[:1] = 1
+    return np.multiply.accumulate(steps)
+
+
 _powers = _Powers()
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and for each the place of its text. Texts are lower-cased."""
-    buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+def word_hashes(texts: list[bytes], span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and for each the place of its text. Texts are lower-cased.
+
+    At most about ``span`` bytes, or one longer word, are hashed at once."""
+    whole = b"\n".join(texts) + b"\n"
     bounds = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-    space = SPACE[buffer]
-    edges = np.flatnonzero(np.diff(space, prepend=True))
+    hashes, places, at = [], [], 0
+    while at < len(whole):
+        stop = min(at + span, len(whole))
+        if stop < len(whole):  # cut after white space
+            cut = max(whole.rfind(c, at, stop) for c in (b" ", b"\n"))
+            stop = cut + 1 if cut >= 0 else min(x for x in (whole.find(c, stop) + 1 for c in (b" ", b"\n")) if x)
+        found, starts = _hashed(np.frombuffer(whole, np.uint8, stop - at, at))
+        hashes.append(found)
+        places.append(starts + at)
+        at = stop
+    return np.concatenate(hashes), np.searchsorted(bounds, np.concatenate(places), side="right")
+
+
+def _hashed(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the words of ``buffer``, which ends with white space."""
+    edges = np.flatnonzero(np.diff(SPACE[buffer], prepend=True))
     starts, ends = edges[::2], edges[1::2]
     up, down = _powers.of(len(buffer))
     sums = np.zeros(len(buffer) + 1, _U)
     np.cumsum((buffer.astype(_U) + _U(1)) * up, out=sums[1:])
-    found = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U)
-    return mix(found), np.searchsorted(bounds, starts, side="right")
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U)), starts
 
 
-def shingle_sets(texts: list[str | None], words: int, span: int = 1 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], words: int, span: int = SPAN) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; none for a null text or one without words."""
     start = size = 0
     plain = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER) for t in texts]
