@@ -65,6 +65,7 @@ def test_odd_rows(spark, odd_docs, no_docs):
     by = {r["doc_id"]: r for r in rows}
     assert by[7]["next_text"].startswith("one two three") and by[2]["next_text"] == "" and by[3]["next_text"] == " \t\n "
     assert by[1]["next_text"] == "no id here" and by[None]["next_text"].startswith("lorem")
+    assert len({r["next_text"] for r in rows if r["doc_id"] == 9}) == 2
     assert by[5]["sketch"] == by[4]["sketch"] and by[1]["sketch"] == []
     assert fp.with_next(no_docs).collect() == []
 
@@ -79,11 +80,49 @@ def test_merge_and_containment(spark):
 
 
 def test_ranges_split_anywhere(spark):
-    bounds = [3, 5, 5 + 1, 9, 12, 40, 41]
-    df = spark.createDataFrame([(i,) for i in range(-1, 45)], "doc_id long").select("doc_id", fp._range(bounds).alias("r"))
-    from bisect import bisect_left
-
-    assert all(r["r"] == bisect_left(bounds, r["doc_id"]) for r in df.collect())
+    from tidemark.llm import workspace
+
+    for bounds in ((), (3,), (3, 5, 5 + 1, 9, 12, 40, 41), (2, 7, 7, 7, 9), tuple(range(-50, 50))):
+        for nulls in (0, 1, 3):
+            cuts = workspace.Cuts(nulls, bounds)
+            df = spark.range(-60, 60).select(F.col("id").alias("x")).unionByName(spark.range(1).selectExpr("cast(null as long) as x"))
+            df = df.select("x", F.explode(F.array(*[F.lit(h).cast("long") for h in (-(1 << 63), -(1 << 62), 0, 1 << 62, (1 << 63) - 1)])).alias("h"))
+            rows = df.select("x", "h", workspace.range_of(cuts, "x", F.col("h")).alias("r")).collect()
+            rows = sorted(rows, key=lambda r: (r["x"] is not None, r["x"] or 0, r["h"]))
+            found = [r["r"] for r in rows]
+            assert found == sorted(found) and 0 <= found[0] and found[-1] <= nulls + len(bounds)
+            for r in rows:
+                if r["x"] is None:
+                    assert r["r"] < max(nulls, 1)
+                else:
+                    assert all((b <= r["x"]) if i < r["r"] - nulls else (b >= r["x"]) for i, b in enumerate(bounds))
+
+
+def test_cuts_give_hot_ids_several_ranges(spark):
+    from tidemark.llm import workspace
+
+    df = spark.range(3000).selectExpr("case when id % 3 = 0 then 777 when id % 3 = 1 then id end as x", "xxhash64(id) as h")
+    cuts = workspace.cut_ranges(df, "x", 12)
+    counts = [r[1] for r in df.groupBy(workspace.range_of(cuts, "x", F.col("h"))).count().collect()]
+    assert cuts.nulls == 4 and len(counts) >= 10 and max(counts) < 700
+    assert workspace.cut_ranges(df.limit(0), "x", 12) == workspace.Cuts(0, ())
+    assert workspace.cut_ranges(df.where("x is null"), "x", 12) == workspace.Cuts(12, ())
+
+
+@pytest.mark.parametrize("ids", ["one", "none", "some"])
+def test_order_of_repeated_and_missing_ids(spark, ids):
+    rows = [({"one": 7, "none": None, "some": (None, 7, i)[i % 3]}[ids], f"text {i % 40} " + "word " * (i % 5)) for i in range(90)]
+    got = fp.with_next(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text", "next_text").collect()
+    want = sorted(((d is not None, d or 0, h(t), t) for d, t in rows), reverse=True)
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, h(r["text"]), r["text"], r["next_text"]) for r in got) == sorted((*w, want[(i + 1) % len(want)][3]) for i, w in enumerate(want))
+
+
+def test_driver_rows_need_no_python_workers(spark):
+    from tidemark.llm import workspace
+
+    rows = [(None, -(1 << 63), 1), ((1 << 63) - 1, 5, 2)]
+    df = workspace.literal_rows(spark, rows, "a long, b long, c int")
+    assert [tuple(r) for r in df.collect()] == rows and "Python" not in df._jdf.queryExecution().toString()
 
 
 def test_short_texts_are_compared_exactly(spark):

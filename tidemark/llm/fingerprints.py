@@ -11,12 +11,16 @@ that hash, so what a guard and proper hashes share is unknown: null, not 0.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.workspace import partitions_for
+from tidemark.llm.workspace import cut_ranges, files_for, literal_rows, partitions_for, range_of
 
 WORDS, SCALE = 5, 1
+#: Ranges of ids for each partition, so that partitions, to which ranges are hashed, come out alike.
+RANGES_EACH = 4
 _LOWEST = -(1 << 63)
 
 
@@ -31,7 +35,7 @@ def with_sketch(df: DataFrame, text: str, name: str, words: int = WORDS, scale:
     Words lie between ASCII white space. Fewer words than a shingle holds are one shingle; a null
     text or one without words has an empty sketch.
     """
-    h, a = f"_{name}_words", f"_{name}_all"
+    h, a = (f"_{uuid.uuid4().hex}" for _ in range(2))
     split = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     df = df.withColumn(h, F.transform(F.coalesce(split, F.array().cast("array<string>")), lambda w: F.xxhash64(w)))
     n = F.size(h)
@@ -85,48 +89,38 @@ def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, sketch, and next_text, next_sketch of the row after it by falling doc_id; the
     row after the last is the first.
 
-    Ids are cut into ranges at their quantiles and each range is ordered by itself; the highest
-    row of a range also goes, as a guest, to the end of the range above, where it is the last
-    row's next. Texts are shuffled once. Only the ranges' cuts and highest ids reach the driver,
-    as many as there are shuffle partitions. Rows without doc_id come last, in the lowest range.
+    Rows without doc_id come last; rows of one doc_id are ordered by their text's hash and text.
+    Ids are cut into ranges (see ``cut_ranges``), an id that holds many rows into several, and each
+    range is ordered by itself; the first row of a range also goes, as a guest, to the end of the
+    range above, where it is the last row's next. Texts are shuffled once. Only a bounded sample of
+    ids and one id and hash for each range reach the driver.
     """
-    spark = docs.sparkSession
     n = partitions_for(docs)
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], min(100 * n, 1_000_000))).first()[0] if n > 1 else None
-    bounds = sorted(set(cuts or []))
-    ranged = docs.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(_range(bounds)))
-    heads = sorted((r[0], r[1]) for r in ranged.groupBy("range").agg(F.max("doc_id")).collect() if r[1] is not None)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.withColumn("h", F.xxhash64("text"))
+    ranged = docs.withColumn("range", range_of(cut_ranges(docs, "doc_id", RANGES_EACH * n), "doc_id", F.col("h")))
+    top = F.max(F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id", "h"))
+    heads = sorted((r[0], r[1]["doc_id"], r[1]["h"]) for r in ranged.groupBy("range").agg(top).collect())
     # the guest of each range is the head of the one below; the lowest range has the highest head
-    guests = [(heads[i - 1][1], heads[i][0]) for i in range(len(heads))]
-    hosts = F.broadcast(spark.createDataFrame(guests, "doc_id long, host int"))
+    guests = [(*heads[i - 1][1:], heads[i][0]) for i in range(len(heads))]
+    hosts = literal_rows(docs.sparkSession, guests, "guest_id long, guest_h long, host int")
+    met = ranged.join(F.broadcast(hosts), F.col("doc_id").eqNullSafe(F.col("guest_id")) & (F.col("h") == F.col("guest_h")), "left")
     seats = F.array_compact(F.array(F.struct(F.col("range"), F.lit(False).alias("guest")), F.when(F.col("host").isNotNull(), F.struct(F.col("host").alias("range"), F.lit(True).alias("guest")))))
-    seated = ranged.join(hosts, "doc_id", "left").select("doc_id", "text", F.explode(seats).alias("seat")).select("doc_id", "text", "seat.range", "seat.guest")
+    seated = met.select("doc_id", "text", "h", F.explode(seats).alias("seat")).select("doc_id", "text", "h", "seat.range", "seat.guest")
     sketched = with_sketch(seated.repartition(n, "range"), "text", "sketch")
-    order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.length("text"))
-    ahead = lambda c, empty: F.coalesce(F.lead(c).over(order), empty)
-    return sketched.select("doc_id", "text", "sketch", "guest", ahead("text", F.lit("")).alias("next_text"), ahead("sketch", F.array().cast("array<bigint>")).alias("next_sketch")).where("not guest").drop("guest")
-
-
-def _range(bounds: list[int]) -> Column:
-    """How many of the rising ``bounds`` lie below doc_id, found in two steps of about their root."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, round(len(bounds) ** 0.5))
-    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    tops = F.array(*[F.lit(b[-1]).cast("long") for b in blocks])
-    parts = F.array(*[F.array(*[F.lit(x).cast("long") for x in b]) for b in [*blocks, [bounds[-1]]]])
-    below = lambda values: F.size(F.filter(values, lambda x: x < F.col("doc_id")))
-    block = below(tops)
-    return F.when(block == len(blocks), len(bounds)).otherwise(block * step + below(F.get(parts, block))).cast("int")
+    order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("h").desc(), F.col("text").desc())
+    rows = sketched.select("doc_id", "text", "sketch", "guest", F.lead("text").over(order).alias("next_text"), F.lead("sketch").over(order).alias("next_sketch"))
+    return rows.where("not guest").drop("guest")
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its text with the last third replaced.
 
-    A repeated doc_id is ordered by length; which of equal rows comes first makes no difference.
+    Rows of one doc_id are ordered by their text's hash and text, rows without one come last; of
+    equal rows it makes no difference which comes first.
     """
-    rows = with_next(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = with_next(docs)
     n = F.length("text")
     k = F.floor(n / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - k), F.substring("next_text", F.lit(1), k))).drop("next_text")
@@ -139,4 +133,4 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         as_string("edited_sketch").alias("edited_fingerprint"),
         likeness("sketch", "edited_sketch").alias("near_edited"),
         likeness("sketch", "next_sketch").alias("near_next"),
-    )
+    ).coalesce(files_for(docs))
