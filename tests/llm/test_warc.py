@@ -76,6 +76,8 @@ def test_pages_round_trip(spark):
             assert r["refers_to"] == (0 if page_id in (1, 2) else None)
             assert r["record_type"] == ("revisit" if page_id in (1, 2) else "response")
             assert r["payload"] == (None if page_id in (1, 2) else data)
+    assert sorted(r["url"] or "" for rs in got.values() for r in rs) == sorted(u or "" for _, u, _ in rows)
+    assert got[2][0]["url"] is None and got[1][0]["url"] == "http://a/\n"
     path = manifest.first()["path"]
     p = warc.Package(path)
     for entry in p.index:  # each record alone
@@ -83,6 +85,27 @@ def test_pages_round_trip(spark):
         assert fields["X-Page-ID"] == entry[0].replace("-", "")
 
 
+def test_an_id_with_several_payloads_keeps_each(spark):
+    x, y, z, w = ("x" * 150, "y" * 150, "z" * 150, "w" * 150)
+    rows = [(1, "a", x), (2, "b", z), (5, "c", x), (5, "d", y), (5, "e", z), (7, "f", y), (7, "g", x), (7, "g", x), (None, "n", w), (None, "n", x), (3, "h", "tiny"), (2, "i", z), (2, "j", "tiny")]
+    _, out = read(spark, spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = out.collect()
+    least = {p: min(i for i, _, q in rows if q == p and i is not None) for p in (x, y, z)}
+    want = [(i, u, "revisit", least[h]) if i is not None and h in least and i != least[h] else (i, u, "response", None) for i, u, h in rows]
+    assert sorted(map(str, want)) == sorted(str((r["page_id"], r["url"], r["record_type"], r["refers_to"])) for r in got)
+    payloads = {r["payload_digest"] for r in got if r["payload"] is not None}
+    assert payloads == {hashlib.sha256(p.encode()).hexdigest() for _, _, p in rows}
+
+
+def test_a_revisit_names_its_response():
+    digest = "0" * 64
+    one, _ = warc.parse(warc.record("response", 1, "http://a/", b"x" * 100, digest))
+    two, _ = warc.parse(warc.record("revisit", 2, "http://b/", b"x" * 100, digest, 1, "http://a/"))
+    assert two["WARC-Refers-To"] == one["WARC-Record-ID"] != two["WARC-Record-ID"] and two["WARC-Refers-To-Target-URI"] == "http://a/"
+    for url in (None, "", "a\tb\r\nc", "http://x/\u2028\x85%0A", "\x00", "é"):
+        assert warc.address_of(warc.parse(warc.record("response", 1, url, b"", digest))[0]) == url
+
+
 def test_no_pages(spark):
     assert read(spark, spark.createDataFrame([], "page_id long, url string, html string, path string"))[1].collect() == []
 

@@ -10,6 +10,7 @@ more than 65,534 members, are told by ZIP64 fields.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import uuid
 import zlib
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.workspace import Workspace, atomic_output, open_fs, partitions_for
+from tidemark.llm.workspace import Workspace, atomic_output, open_fs, partitions_for, slices
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: Payloads of fewer bytes are always whole responses.
@@ -149,27 +150,45 @@ def _wide(extra: bytes, plain: int, packed: int, offset: int) -> tuple[int, int,
     return tuple(values)
 
 
-def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record_id(kind: str, page_id: int | None, url: str | None, digest: str) -> str:
+    """One identifier for equal records; a revisit of a page can name the page's record by it."""
+    return f"<urn:uuid:{uuid.UUID(hex=hashlib.md5(f'{page_id}|{url}|{kind}|{digest}'.encode()).hexdigest())}>"
+
+
+def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None = None, refers_url: str | None = None) -> bytes:
     """One WARC 1.1 record. A revisit has no payload and names the page it refers to."""
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if kind == "response" else b"")
     fields = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.UUID(hex=hashlib.md5(f'{page_id}|{url}|{kind}|{digest}'.encode()).hexdigest())}>"),
+        ("WARC-Record-ID", record_id(kind, page_id, url, digest)),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Target-URI", _one_line(url)),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("X-Page-ID", "" if page_id is None else str(page_id)),
         ("X-Payload-Length", str(len(payload))),
     ]
+    if _one_line(url) != url:  # an address that a line of a head can't hold, or none
+        fields.append(("X-Target-URI-JSON", json.dumps(url)))
     if kind == "revisit":
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-ID", str(refers_to))]
+        fields += [
+            ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+            ("WARC-Refers-To", record_id("response", refers_to, refers_url, digest)),
+            ("WARC-Refers-To-Target-URI", _one_line(refers_url)),
+            ("X-Refers-To-Page-ID", str(refers_to)),
+        ]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(body)))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
     return head.encode() + body + b"\r\n\r\n"
 
 
 def _one_line(url: str | None) -> str:
-    return "".join(c if c not in "\r\n\t" else f"%{ord(c):02X}" for c in url or "")
+    """``url`` with control characters as percent codes."""
+    return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or "").replace("\x85", "%C2%85").replace("\u2028", "%E2%80%A8").replace("\u2029", "%E2%80%A9")
+
+
+def address_of(fields: dict[str, str]) -> str | None:
+    """The address that a record was written for."""
+    return json.loads(fields["X-Target-URI-JSON"]) if "X-Target-URI-JSON" in fields else fields["WARC-Target-URI"]
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -184,23 +203,28 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """page_id, refers_to of the pages whose payload an earlier page_id has."""
+    """page_id, digest, refers_to, refers_url of the pages (page_id, url, html) whose payload an
+    earlier page_id has, one row for each page_id and payload."""
     payload = F.coalesce("html", F.lit(""))
-    seen = pages.where("page_id is not null").select("page_id", F.octet_length(payload).alias("n"), F.sha2(payload, 256).alias("digest")).where(f"n >= {LEAST_REVISIT}")
-    firsts = seen.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    return seen.join(firsts, "digest").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    seen = pages.where("page_id is not null").select("page_id", "url", F.octet_length(payload).alias("n"), F.sha2(payload, 256).alias("digest")).where(f"n >= {LEAST_REVISIT}")
+    firsts = seen.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.max("page_id").alias("last")).where("last > first.page_id")
+    again = seen.select("page_id", "digest").join(firsts, "digest").where("page_id <> first.page_id")
+    return again.select("page_id", "digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url")).dropDuplicates(["page_id", "digest"])
 
 
 def write_packages(pages: DataFrame, uri: str) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as packages below ``uri``; returns path and n_records.
 
     Of pages with equal payloads of at least 100 bytes the smallest page_id is a response and the
-    others are revisits. A null html is an empty payload, a null url an empty address. A page
-    without page_id is always a response; repeated rows of the smallest page_id too.
+    others are revisits; a page_id with several payloads is judged by each. Every row becomes one
+    record. A null html is an empty payload. A page without page_id is always a response; repeated
+    rows of the smallest page_id too.
     """
     n = partitions_for(pages)
-    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    dealt = pages.join(revisits(pages).hint("merge"), "page_id", "left").select("page_id", "url", "html", "refers_to")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    # dealt by id and payload: neither a repeated id nor pages without one meet in one task
+    whole = pages.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256)).repartition(n, "page_id", "digest")
+    dealt = whole.join(revisits(pages).hint("merge"), ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to", "refers_url")
 
     def packages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -213,12 +237,12 @@ def write_packages(pages: DataFrame, uri: str) -> DataFrame:
         with atomic_output(path) as stream:
             out = ZipWriter(stream)
             out.open(ARCHIVE)
-            for batch in _chain(first, batches):
-                for page_id, url, html, refers in zip(*(c.to_pylist() for c in batch.columns)):
+            for batch in slices(_chain(first, batches)):
+                for page_id, url, html, digest, refers, refers_url in zip(*(c.to_pylist() for c in batch.columns)):
                     payload = (html or "").encode()
                     kind = "response" if refers is None else "revisit"
                     squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    raw = record(kind, page_id, url, payload, hashlib.sha256(payload).hexdigest(), refers)
+                    raw = record(kind, page_id, url, payload, digest, refers, refers_url)
                     data = squeeze.compress(raw) + squeeze.flush()
                     lines.append(f"{'-' if page_id is None else page_id}\t{kind}\t{out.write(data)}\t{len(data)}\t{_one_line(url)}\n")
             out.close_member()
@@ -228,7 +252,7 @@ def write_packages(pages: DataFrame, uri: str) -> DataFrame:
             out.finish()
         yield pa.record_batch([[path], [len(lines)]], names=["path", "n_records"])
 
-    return dealt.repartition(n, "page_id").mapInArrow(packages, "path string, n_records long")
+    return dealt.mapInArrow(packages, "path string, n_records long")
 
 
 def _chain(first, rest):
@@ -278,7 +302,7 @@ def read_packages(spark: SparkSession, manifest: DataFrame, with_payload: bool =
                     if kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != int(fields["X-Payload-Length"])):
                         raise ValueError(f"{path}: a payload differs from its digest")
                     page, refers = fields["X-Page-ID"], fields.get("X-Refers-To-Page-ID")
-                    rows.append((int(page) if page else None, fields["WARC-Target-URI"], kind, None if refers is None else int(refers), int(fields["X-Payload-Length"]), digest, payload if with_payload and kind == "response" else None))
+                    rows.append((int(page) if page else None, address_of(fields), kind, None if refers is None else int(refers), int(fields["X-Payload-Length"]), digest, payload if with_payload and kind == "response" else None))
                     size += len(payload)
                     if size > 8 << 20 or len(rows) == 4096:
                         yield _batch(rows)
