@@ -2,9 +2,10 @@
 
 Media are stored as WAV files in a binary column (8-bit unsigned mono PCM). Features come from the
 stored bytes: a polyphase resampler, overlapped log-mel frames, and segments between a rise of the
-frame energy over a high threshold and its fall under a low one. Each segment becomes one tensor of
-fixed shape (slices x mels) with its time span; ``write_tensors`` stores them as Arrow files whose
-column has the fixed-shape tensor type.
+frame energy over a high threshold and its fall under a low one. Each segment is cut into as many
+windows as its length asks for, and each window becomes one tensor of fixed shape (slices x mels)
+with its time span. ``write_tensors`` stores them as Arrow files whose column has the fixed-shape
+tensor type; ``read_tensors`` derives everything it tells of a document from those files.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.workspace import Workspace, atomic_output
+from tidemark.llm.workspace import Workspace, atomic_output, open_fs, short_batches, slices
 
 _HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
@@ -37,7 +38,8 @@ class Settings:
     hop: int = 100  # samples, 10 ms
     fft: int = 256
     mels: int = 24
-    slices: int = 4  # of a segment's tensor
+    slices: int = 4  # of a window's tensor
+    window: int = 16  # frames of a window at most
     rise: float = 0.5  # thresholds in standard deviations around the mean log energy
     fall: float = -0.5
 
@@ -144,19 +146,28 @@ def segments(energy: np.ndarray, rise: float, fall: float) -> list[tuple[int, in
     return found or [(0, len(energy))]
 
 
+def windows(found: list[tuple[int, int]], s: Settings) -> np.ndarray:
+    """Frame ranges (windows x 2): each segment cut evenly into windows of at most ``window`` frames."""
+    out = []
+    for a, b in found:
+        n = -(-(b - a) // s.window)
+        edges = a + (b - a) * np.arange(n + 1) // n
+        out.append(np.stack([edges[:-1], edges[1:]], axis=1))
+    return np.concatenate(out)
+
+
 def features(media: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Time spans in seconds (segments x 2) and tensors (segments x slices x mels)."""
+    """Time spans in seconds (windows x 2) and tensors (windows x slices x mels): the mean log-mel
+    frame of each slice, in hundredths."""
     rate, samples = samples_of(media)
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - np.float32(128)) / np.float32(128)
     mel, energy = log_mel(resample(x, rate, s.target, s.taps), s)
-    found = segments(energy, s.rise, s.fall)
-    tensors = np.empty((len(found), s.slices, s.mels), np.float32)
+    cut = windows(segments(energy, s.rise, s.fall), s)
     sums = np.concatenate([np.zeros((1, s.mels)), np.cumsum(mel, axis=0, dtype=np.float64)])
-    for k, (a, b) in enumerate(found):
-        edges = a + (b - a) * np.arange(s.slices + 1) // s.slices
-        stops = np.maximum(edges[1:], edges[:-1] + 1)  # a slice has one frame at least
-        tensors[k] = (sums[stops] - sums[edges[:-1]]) / (stops - edges[:-1])[:, None]
-    spans = np.array([(a * s.hop / s.target, ((b - 1) * s.hop + s.frame) / s.target) for a, b in found])
+    edges = cut[:, :1] + (cut[:, 1:] - cut[:, :1]) * np.arange(s.slices + 1) // s.slices
+    stops = np.maximum(edges[:, 1:], edges[:, :-1] + 1)  # a slice has one frame at least
+    tensors = ((sums[stops] - sums[edges[:, :-1]]) / (stops - edges[:, :-1])[..., None]).astype(np.float32)
+    spans = np.stack([cut[:, 0] * s.hop / s.target, ((cut[:, 1] - 1) * s.hop + s.frame) / s.target], axis=1)
     return spans, np.round(tensors, 2) + np.float32(0)
 
 
@@ -187,52 +198,92 @@ def _parts(texts: list[bytes], most: int = 8 << 20) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def describe(media: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and
-    feature of stored media. feature: the number of segments, the mean of each mel band over all
-    tensors in hundredths, and a digest of all time spans and tensors."""
+#: What a tensor file and ``read_tensors`` tell of each document.
+DOCUMENT = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())]
 
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, n, m in zip(*(c.to_pylist() for c in batch.columns)):
-                _, payload = samples_of(m)
-                spans, tensors = features(m, s)
-                digest = hashlib.sha256(spans.tobytes() + tensors.tobytes()).hexdigest()
-                bands = ",".join(map(str, np.round(tensors.mean(axis=(0, 1), dtype=np.float64) * 100).astype(int).tolist()))
-                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), f"{len(spans)};{bands};{digest}"))
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(
-        described, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
+
+def tensor_schema(s: Settings) -> pa.Schema:
+    """One row for each window; a document's own columns are in its first row only."""
+    return pa.schema([("first", pa.bool_()), ("document", pa.struct(DOCUMENT)), ("start_s", pa.float64()), ("end_s", pa.float64()), ("tensor", pa.fixed_shape_tensor(pa.float32(), (s.slices, s.mels)))])
 
 
 def write_tensors(media: DataFrame, uri: str, s: Settings = Settings()) -> DataFrame:
-    """Arrow files below ``uri`` with doc_id, start_s, end_s and tensor (fixed shape slices x mels),
-    one row per segment; returns path and n_rows. Only listed files are whole and current."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (s.slices, s.mels))
-    schema = pa.schema([("doc_id", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("tensor", kind)])
+    """Arrow files below ``uri`` with the time span and the tensor (fixed shape slices x mels) of
+    every window of ``media`` (doc_id, n_bytes, media), document after document; returns path and
+    n_rows, one row a task. Only listed files are whole and current."""
+    schema = tensor_schema(s)
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         path, n = f"{uri}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.arrow", 0
-        with atomic_output(path) as stream, pa.ipc.new_file(stream, schema) as out:
-            for batch in batches:
-                for doc_id, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    spans, tensors = features(m, s)
-                    n += len(spans)
-                    out.write_batch(pa.record_batch([pa.array([doc_id] * len(spans), pa.int64()), spans[:, 0], spans[:, 1], pa.FixedShapeTensorArray.from_numpy_ndarray(tensors)], schema=schema))
+        with atomic_output(path) as stream, pa.ipc.new_file(stream, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for batch in slices(batches, 500):
+                documents, spans, tensors = [], [], []
+                for doc_id, size, m in zip(*(c.to_pylist() for c in batch.columns)):
+                    _, payload = samples_of(m)
+                    documents.append((doc_id, size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest()))
+                    for made, parts in zip(features(m, s), (spans, tensors)):
+                        parts.append(made)
+                if documents:
+                    out.write_batch(_rows(documents, spans, tensors, schema))
+                    n += sum(map(len, spans))
         yield pa.record_batch([[path], [n]], names=["path", "n_rows"])
 
-    return media.select("doc_id", "media").mapInArrow(written, "path string, n_rows long")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(written, "path string, n_rows long")
+
+
+def _rows(documents: list[tuple], spans: list[np.ndarray], tensors: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+    sizes = np.array([len(x) for x in spans])
+    first = np.zeros(sizes.sum(), bool)
+    first[np.cumsum(sizes) - sizes] = True
+    columns = pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*documents), DOCUMENT)], names=[name for name, _ in DOCUMENT])
+    place = pa.array(np.cumsum(first) - 1, mask=~first)  # null in later rows
+    span = np.concatenate(spans)
+    tensor = pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(np.concatenate(tensors)))
+    return pa.record_batch([pa.array(first), columns.take(place), pa.array(span[:, 0]), pa.array(span[:, 1]), tensor], schema=schema)
+
+
+def read_tensors(manifest: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and
+    feature of every document, from the tensor files (path) alone. feature: the number of windows,
+    the mean of each mel band over all of them in hundredths, and a digest of all time spans and
+    tensors."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                filesystem, local = open_fs(path)
+                with filesystem.open_input_file(local) as stream:
+                    reader = pa.ipc.open_file(stream)
+                    for i in range(reader.num_record_batches):
+                        rows = reader.get_batch(i)
+                        yield _told(rows)
+
+    kinds = {pa.int64(): "long", pa.string(): "string"}
+    short_batches(manifest.sparkSession)
+    return manifest.select("path").repartition(max(manifest.count(), 1)).mapInArrow(told, ", ".join(f"{name} {kinds[k]}" for name, k in DOCUMENT) + ", feature string")
+
+
+def _told(rows: pa.RecordBatch) -> pa.RecordBatch:
+    at = np.flatnonzero(rows.column("first").to_numpy(zero_copy_only=False))
+    ends = np.append(at[1:], rows.num_rows)
+    spans = np.stack([rows.column("start_s").to_numpy(), rows.column("end_s").to_numpy()], axis=1)
+    tensors = rows.column("tensor").to_numpy_ndarray()
+    said = [feature(spans[a:b], tensors[a:b]) for a, b in zip(at, ends)]
+    documents = rows.column("document").take(pa.array(at))
+    return pa.record_batch([*documents.flatten(), pa.array(said)], names=[*(name for name, _ in DOCUMENT), "feature"])
+
+
+def feature(spans: np.ndarray, tensors: np.ndarray) -> str:
+    digest = hashlib.sha256(spans.tobytes() + tensors.tobytes()).hexdigest()
+    bands = ",".join(map(str, np.round(tensors.mean(axis=(0, 1), dtype=np.float64) * 100).astype(int).tolist()))
+    return f"{len(spans)};{bands};{digest}"
 
 
 def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document stored as audio, read back and described."""
+    """Every document stored as audio, its tensors stored from the media read back, and told from
+    the tensors read back."""
     ws = Workspace(spark, "op9")
-    return describe(ws.stage(store(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media"))
+    media = ws.stage(store(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
+    return read_tensors(ws.stage(write_tensors(media, ws.mkdirs("tensors")), "manifest"))
