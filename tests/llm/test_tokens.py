@@ -13,7 +13,6 @@ from tidemark.llm.workspace import Workspace
 
 
 LIBRARY = Tokenizer.from_file(default_path())
-LIBRARY.encode_special_tokens = True
 
 
 def library_ids(text):
@@ -31,6 +30,33 @@ def test_ids_equal_the_library(texts):
     assert [np.frombuffer(x, enc.width).tolist() for x in enc.encode(texts)] == [library_ids(t) for t in texts]
 
 
+@given(st.lists(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", " ", "a", "é", "\n", "<|", "|>"]), st.characters(exclude_categories=["Cs"]))).map("".join), max_size=4))
+@settings(max_examples=60, deadline=None)
+def test_special_tokens_are_the_librarys(texts):
+    enc = encoder(default_path())
+    texts = [*texts, "end <|endoftext|> here", "<|endoftext|>" * 3]
+    assert [np.frombuffer(x, enc.width).tolist() for x in enc.encode(texts)] == [library_ids(t) for t in texts]
+    assert 50256 in library_ids(texts[-2])
+
+
+def test_another_tokenizer_goes_through_the_library(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    other = public_tokenizers.path("word_bpe_49k.json")
+    with open(default_path()) as f:
+        rules = json.load(f)
+    rules["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "spaced.json").write_text(json.dumps(rules))
+    for path in (other, str(tmp_path / "spaced.json")):
+        library, enc = Tokenizer.from_file(path), encoder(path)
+        texts = ["Hello there World", "  two  spaces\n", "", "naïve 日本", "it's 12"]
+        assert not enc.known_rule
+        assert [np.frombuffer(x, enc.width).tolist() for x in enc.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder(default_path()).known_rule
+
+
 def store_rows(spark, docs):
     ws = Workspace(spark, "test")
     manifest = ws.stage(token_store.write_store(docs, ws.mkdirs("store")), "manifest")
@@ -44,6 +70,15 @@ def test_store_round_trip(spark, odd_docs):
     assert [r["start"] for r in rows] == list(np.cumsum([0] + [len(i) for _, i in expected])[:-1])
 
 
+def test_store_keeps_every_id(spark):
+    rows = [(-(1 << 63), "least"), ((1 << 63) - 1, "most"), (0, "zero"), *[(None, f"none {i}") for i in range(40)], *[(7, f"seven {i % 9}") for i in range(60)]]
+    got = sorted(store_rows(spark, spark.createDataFrame(rows, "doc_id long, text string")), key=lambda r: r["start"])
+    ids = [r["doc_id"] for r in got]
+    assert ids == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((str(d), len(library_ids(t)) + 1, crc([*library_ids(t), 0])) for d, t in rows)
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:i]) for i in range(len(got))]
+
+
 def test_store_of_nothing(spark, no_docs):
     assert store_rows(spark, no_docs) == []
 
@@ -138,22 +173,28 @@ def test_plan_is_near_the_optimum(sizes):
 
 
 @given(st.lists(st.integers(1, 20), max_size=9))
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=300, deadline=None)
 def test_reduction_keeps_the_optimum(sizes):
-    """Sets fixed by dominance can be completed to an optimal packing."""
-    sizes = sorted(sizes, reverse=True)
+    """Sets fixed by dominance, of any piece, can be completed to an optimal packing."""
     left = {n: sizes.count(n) for n in sizes}
-    lengths = sorted(left)
-    if not lengths:
-        return
-    j = lengths[-1]
-    k = packing._dominating(j, left, lengths, 20)
-    if k is None:
-        return
-    rest = sizes[1:]
-    if k:
-        rest.remove(k)
-    assert 1 + optimum(rest, 20) == optimum(sizes, 20)
+    for j in sorted(left):
+        k = packing._dominating(j, left, sorted(left), 20)
+        if k is not None:
+            rest = sorted(sizes, reverse=True)
+            rest.remove(j)
+            if k:
+                rest.remove(k)
+            assert 1 + optimum(rest, 20) == optimum(sorted(sizes, reverse=True), 20)
+    fixed = sum(times for _, times in packing._reduced(left, 20))
+    assert fixed + optimum(sorted((n for n, c in left.items() for _ in range(c)), reverse=True), 20) == optimum(sorted(sizes, reverse=True), 20)
+
+
+def test_reduction_goes_past_a_length_that_has_no_dominating_set():
+    # 10 has none (3 + 3 + 4 fit beside it), 15 with 5 is exact
+    left = {10: 1, 15: 1, 5: 1, 3: 2, 4: 1}
+    assert packing._reduced(dict(left), 20)[0] == (((15, 1), (5, 1)), 1)
+    left = {12: 1, 4: 1, 3: 3, 2: 2, 11: 1, 9: 1}
+    assert (((11, 1), (9, 1)), 1) in packing._reduced(left, 20)
 
 
 def test_plan_refuses_bad_lengths():

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.token_ids import default_path, encoder, spans_of
-from tidemark.llm.workspace import Workspace, slices
+from tidemark.llm.workspace import Workspace, short_batches, slices
 
 CAPACITY = 1024
 END_ID = 2
@@ -27,20 +27,26 @@ END_ID = 2
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Patterns that pack ``counts[length]`` pieces: ([(length, how many), ...], times used).
 
-    First the reduction: with j the largest piece left, a set {j, ...} is fixed for good if it
-    dominates every other set that j can be in, which holds if
+    First the reduction: for a piece j, a set {j, ...} is fixed for good if it dominates every other
+    set that j can be in, which holds if
 
     - nothing fits beside j: {j};
     - one piece k fills the rest exactly: {j, k};
     - k is the largest that fits beside j and no two pieces fit there together: {j, k};
     - two pieces can, but not three, and no two together exceed k: {j, k}.
 
-    Fixing a set repeats while its pieces last, and the reduction goes on until no set dominates.
-    The remainder is packed by best fit in decreasing order. Both handle all equal pieces at once.
+    Every length is tried, from the largest down; fixing a set repeats while its pieces last, and
+    passes are repeated until one fixes nothing. The remainder is packed by best fit in decreasing
+    order. Both handle all equal pieces at once.
     """
     left = {n: c for n, c in counts.items() if c}
     if any(n < 1 or n > capacity for n in left):
         raise ValueError(f"piece lengths must lie in 1..{capacity}")
+    return _reduced(left, capacity) + _best_fit(left, capacity)
+
+
+def _reduced(left: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """The sets that dominance fixes; their pieces are taken out of ``left``."""
     lengths = sorted(left)
     made: list[tuple[tuple[tuple[int, int], ...], int]] = []
 
@@ -50,32 +56,35 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[t
             del left[n]
             lengths.pop(bisect_left(lengths, n))
 
-    while lengths:
-        j = lengths[-1]
-        k = _dominating(j, left, lengths, capacity)
-        if k is None:
-            break
-        if k == 0:
-            times = left[j]
-            made.append((((j, 1),), times))
-            take(j, times)
-        elif k == j:
-            times = left[j] // 2
-            made.append((((j, 2),), times))
-            take(j, 2 * times)
-        else:
-            # while it is repeated only counts of j and k change, so the same set stays dominating
-            times = min(left[j], left[k])
-            made.append((((j, 1), (k, 1)), times))
-            take(j, times)
-            take(k, times)
-    return made + _best_fit(left, capacity)
+    before = -1
+    while before != len(made):
+        before = len(made)
+        for j in lengths[::-1]:
+            while j in left and (k := _dominating(j, left, lengths, capacity)) is not None:
+                if k == 0:
+                    times = left[j]
+                    made.append((((j, 1),), times))
+                elif k == j:
+                    times = left[j] // 2
+                    made.append((((j, 2),), times))
+                    take(j, times)
+                else:
+                    # while it is repeated only counts of j and k change, so the same set stays dominating
+                    times = min(left[j], left[k])
+                    made.append((((j, 1), (k, 1)), times))
+                    take(k, times)
+                take(j, times)
+    return made
 
 
 def _dominating(j: int, left: dict[int, int], lengths: list[int], capacity: int) -> int | None:
-    """k if {j, k} dominates, 0 if {j} does, None if no set found does. j is the largest left."""
+    """k if {j, k} dominates, 0 if {j} does, None if no set found does."""
     room = capacity - j
-    others = lengths if left[j] > 1 else lengths[:-1]
+    if left[j] > 1:
+        others = lengths
+    else:
+        at = bisect_left(lengths, j)
+        others = lengths[:at] + lengths[at + 1 :]
     if not others or others[0] > room:
         return 0
     k = others[bisect_right(others, room) - 1]
@@ -87,6 +96,8 @@ def _dominating(j: int, left: dict[int, int], lengths: list[int], capacity: int)
     if low + second > room:
         return k
     third = low if after > 2 else second if second != low and left[second] - (second == j) > 1 else (others[2] if len(others) > 2 else capacity + 1)
+    if after == 2 and second == low:
+        third = others[1] if len(others) > 1 else capacity + 1
     if low + second + third > room and _best_pair(others, left, j, room) <= k:
         return k
     return None
@@ -145,7 +156,9 @@ def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int
 
 
 def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian uint32 bytes).
+    """doc_id, piece, start, length, ids_crc32, part and nth and, if asked for, ids (little-endian
+    uint32 bytes). ``part`` is the task that cut the piece, ``nth`` how many of its length it had
+    cut before; both are settled once the pieces are written as a table.
 
     Each document is its ids and ``end_id``; a longer one than ``capacity`` is cut into pieces of
     that length, of which the first takes what is over. A null text is empty: one piece of length
@@ -154,7 +167,9 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
     path = tokenizer_path or default_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        from pyspark import TaskContext
+
+        enc, part, met = encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([end_id], enc.width).tobytes()
         for batch in slices(batches):
             every, doc_ids = [t or "" for t in batch.column(1).to_pylist()], batch.column(0).to_pylist()
@@ -166,48 +181,39 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
                     at = 0
                     for piece, stop in enumerate(range(first, len(ids) + 1, capacity)):
                         data = ids[at:stop].tobytes()
-                        rows.append((doc_id, piece, at, stop - at, zlib.crc32(data), data))
+                        rows.append((doc_id, piece, at, stop - at, zlib.crc32(data), part, met[stop - at], data))
+                        met[stop - at] += 1
                         at = stop
-                columns = list(zip(*rows))[: 6 if with_ids else 5]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
+                columns = list(zip(*rows))[: 8 if with_ids else 7]
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", "ids"][: len(columns)])
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    short_batches(docs.sparkSession)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids binary" * with_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
 
 
 def place(ws: Workspace, cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``cut`` (any columns, among them length) with sequence_id and offset.
+    """``cut`` (what ``pieces`` makes, as a written table) with sequence_id and offset in place of
+    part and nth.
 
-    ``cut`` must be a written table: the ranks within a length count rows by input file and place,
+    A piece's rank within its length is its ``nth`` and the pieces of that length in earlier parts,
     so that no length, however frequent, has to meet in one task.
     """
-    spark = ws.spark
-    # a row's file and block are fixed by the table, so the two passes agree even if tasks are retried
-    keyed = cut.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    keyed = keyed.withColumn("_block", F.col("_row").bitwiseAND(0) + F.floor(F.col("_row") / 50_000))
-    counts = ws.stage(keyed.groupBy("_file", "_block", "length").agg(F.count("*").alias("n")), "counts")
-    order = Window.partitionBy("length").orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    counts = ws.stage(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
+    order = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("part", "length", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
-    within = Window.partitionBy("_file", "_block", "length").orderBy("_row")
-    ranked = (
-        keyed.withColumn("_rank", F.row_number().over(within) - 1)
-        .join(bases.drop("n").hint("merge"), ["_file", "_block", "length"])
-        .withColumn("_rank", F.col("_rank") + F.col("base"))
-        .drop("base", "_file", "_row", "_block")
-    )
     table = _slots(plan(histogram, capacity))
-    schema = ranked.drop("_rank").schema.add("sequence_id", "long").add("offset", "long")
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
-            sequence, offset = locate(table, n, rank)
-            rest = batch.drop_columns(["_rank"])
-            yield pa.record_batch([*rest.columns, pa.array(sequence), pa.array(offset)], names=[*rest.schema.names, "sequence_id", "offset"])
+    @F.arrow_udf("struct<sequence_id: bigint, offset: bigint>")
+    def seat(length: pa.Array, rank: pa.Array) -> pa.Array:
+        sequence, offset = locate(table, length.to_numpy(), rank.to_numpy())
+        return pa.StructArray.from_arrays([pa.array(sequence), pa.array(offset)], names=["sequence_id", "offset"])
 
-    return ranked.mapInArrow(assign, schema)
+    kept = [c for c in cut.columns if c not in ("part", "nth")]
+    ranked = cut.join(bases.hint("merge"), ["part", "length"]).select(*kept, seat("length", F.col("nth") + F.col("base")).alias("seat"))
+    return ranked.select(*kept, "seat.sequence_id", "seat.offset")
 
 
 def _slots(patterns) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -50,12 +51,27 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def splits_by_the_known_rule(path: str) -> bool:
+    """Whether a tokenizer file is plain byte-level BPE, whose splitting rule is the one above."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    model, split = rules["model"], rules.get("pre_tokenizer") or {}
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")
+    return (
+        model.get("type") == "BPE"
+        and not any(model.get(k) for k in odd)
+        and not any(rules.get(k) for k in ("normalizer", "truncation", "padding"))
+        and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) == ("ByteLevel", False, True)
+    )
+
+
 class Encoder:
-    """Ids of texts without special tokens; a special token's string in a text is ordinary text.
+    """Ids of texts as the library's ``encode(text, add_special_tokens=False)`` gives them.
 
     Byte-level BPE merges never cross the borders that the splitting pattern draws, so each
-    distinct word goes through the library once and is remembered. ``width`` is the numpy type
-    that holds every id of the vocabulary.
+    distinct word goes through the library's model once and is remembered. Texts of other
+    characters, texts that hold an added token's string, and all texts where the tokenizer file has
+    another rule go through the library whole. ``width`` is the numpy type that holds every id.
     """
 
     def __init__(self, path: str):
@@ -63,7 +79,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.known_rule = splits_by_the_known_rule(path)
+        added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.has_added = re.compile("|".join(added)).search if added else lambda text: None
         self.split, self.letters = _splitter(), _byte_letters()
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
@@ -76,8 +94,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """One little-endian id array, of type ``width``, for each text."""
-        plain = PLAIN.fullmatch
-        words = [self.split(t) if plain(t) else None for t in texts]
+        plain, added = PLAIN.fullmatch, self.has_added
+        words = [self.split(t) if self.known_rule and plain(t) and not added(t) else None for t in texts]
         known = self.known
         found = [None if w is None else list(map(known.get, w)) for w in words]
         gaps = [(f, w, gaps_of(f)) for f, w in zip(found, words) if f is not None and None in f]

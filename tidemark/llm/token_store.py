@@ -2,13 +2,15 @@
 
 A store is a folder with ``dictionary.zdict`` and shard files in ascending doc_id order. A shard:
 
-    magic "TMTOK001", 32 bytes SHA-256 of the dictionary, then one zstandard frame per document
-    index: int64 doc_id, uint64 offset and uint64 id count per document, one array after another
+    magic "TMTOK002", 32 bytes SHA-256 of the dictionary, then one zstandard frame per document
+    index: int64 doc_id, uint64 offset and uint64 id count per document and one byte that is 1
+    where it has a doc_id, one array after another
     trailer: uint64 index offset, uint64 documents, uint64 ids, uint32 bytes per id, magic
 
 A reader seeks to one frame by the index and decompresses only that document. Null texts count as
-empty and hold the end id alone; null doc_ids come first and are kept apart by a flag of the index
-(the smallest int64). Repeated rows are separate documents. Other columns are ignored.
+empty and hold the end id alone; documents without doc_id come first. Repeated rows are separate
+documents. An id that holds many rows, or many rows without one, fill several shards. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.token_ids import default_path, encoder, spans_of
-from tidemark.llm.workspace import Workspace, atomic_output, open_fs, partitions_for, slices
+from tidemark.llm.workspace import Workspace, atomic_output, cut_ranges, open_fs, partitions_for, range_of, short_batches, slices
 
-MAGIC = b"TMTOK001"
+MAGIC = b"TMTOK002"
 TRAILER = struct.Struct("<QQQI8s")
-NO_ID = -(1 << 63)
 END_ID = 0
 
 
@@ -41,8 +42,10 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, samples: int = 512, s
     """
     import zstandard
 
-    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(samples)
-    chosen = [r[0] for r in ids.collect()]
+    text = F.xxhash64("text").alias("h")
+    ids = docs.select("doc_id", text).where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(samples)
+    chosen = [tuple(r) for r in ids.collect()]
+    picked = docs.select("doc_id", text, "text").where(F.col("doc_id").isin([c[0] for c in chosen]) & F.col("h").isin([c[1] for c in chosen])).dropDuplicates(["doc_id", "h"])
 
     def pieces(batches):
         enc = encoder(tokenizer_path)
@@ -51,7 +54,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, samples: int = 512, s
             found = [x[i : i + 1024 * enc.width.itemsize] for x in enc.encode(texts) for i in range(0, len(x), 1024 * enc.width.itemsize)]
             yield pa.record_batch([pa.array(found, pa.binary())], names=["piece"])
 
-    made = docs.where(F.col("doc_id").isin(chosen)).select("text").mapInArrow(pieces, "piece binary")
+    made = picked.select("text").mapInArrow(pieces, "piece binary")
     found = sorted(bytes(r[0]) for r in made.orderBy(F.xxhash64("piece"), "piece").limit(2048).collect())
     try:
         return zstandard.train_dictionary(size, found).as_bytes()
@@ -70,13 +73,13 @@ def write_store(docs: DataFrame, uri: str, tokenizer_path: str | None = None, le
     """Encode ``docs`` (doc_id, text) and write a store below ``uri``; returns its manifest:
     path, shard, n_docs, n_tokens, dictionary_sha256, one row per shard file."""
     tokenizer_path = tokenizer_path or default_path()
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    short_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     trained = train_dictionary(docs, tokenizer_path)
     with atomic_output(f"{uri}/dictionary.zdict") as f:
         f.write(trained)
     shards = partitions_for(docs)
-    cuts = docs.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], min(100 * shards, 1_000_000))).first()[0] if shards > 1 else None
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    sharded = docs.select("doc_id", "text", range_of(cut_ranges(docs, "doc_id", shards), "doc_id", F.xxhash64("text")).alias("shard"))
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -87,11 +90,10 @@ def write_store(docs: DataFrame, uri: str, tokenizer_path: str | None = None, le
         for batch in slices(batches):
             every = [t or "" for t in batch.column(1).to_pylist()]
             for span in spans_of(every):
-                ids = batch.column(0).slice(span.start, span.stop - span.start)
+                ids, _, shard = batch.slice(span.start, span.stop - span.start).columns
                 arrays = [x + end for x in enc.encode(every[span])]
-                shard = np.searchsorted(bounds, ids.fill_null(NO_ID).to_numpy(), side="left")
                 yield pa.record_batch(
-                    [pa.array(shard, pa.int32()), ids, pa.array([len(x) // enc.width.itemsize for x in arrays], pa.int64()), pa.array([squeeze(x) for x in arrays], pa.binary())],
+                    [shard, ids, pa.array([len(x) // enc.width.itemsize for x in arrays], pa.int64()), pa.array([squeeze(x) for x in arrays], pa.binary())],
                     names=["shard", "doc_id", "n_tokens", "frame"],
                 )
 
@@ -103,7 +105,7 @@ def write_store(docs: DataFrame, uri: str, tokenizer_path: str | None = None, le
             n, total = _write_shard(path, rows, hashlib.sha256(trained).digest(), width)
             yield pa.record_batch([[path], pa.array([shard], pa.int32()), [n], [total], [hashlib.sha256(trained).hexdigest()]], names=["path", "shard", "n_docs", "n_tokens", "dictionary_sha256"])
 
-    made = docs.mapInArrow(frames, "shard int, doc_id long, n_tokens long, frame binary")
+    made = sharded.mapInArrow(frames, "shard int, doc_id long, n_tokens long, frame binary")
     return (
         made.repartition(shards, "shard")
         .sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n_tokens", "frame")
@@ -143,19 +145,20 @@ def _runs(batches: Iterator[pa.RecordBatch]):
 
 
 def _write_shard(path: str, batches, dictionary_hash: bytes, width: int) -> tuple[int, int]:
-    ids, sizes, counts = [], [], []
+    ids, there, sizes, counts = [], [], [], []
     with atomic_output(path) as out:
         out.write(MAGIC + dictionary_hash)
         for batch in batches:
             frames = batch.column(3).to_pylist()
             out.write(b"".join(frames))
-            ids.append(batch.column(1).fill_null(NO_ID).to_numpy())
+            ids.append(batch.column(1).fill_null(0).to_numpy())
+            there.append(batch.column(1).is_valid().to_numpy(zero_copy_only=False))
             sizes.append(np.fromiter(map(len, frames), np.uint64, len(frames)))
             counts.append(batch.column(2).to_numpy().astype(np.uint64))
-        ids, sizes, counts = np.concatenate(ids), np.concatenate(sizes), np.concatenate(counts)
+        ids, there, sizes, counts = (np.concatenate(x) for x in (ids, there, sizes, counts))
         first = len(MAGIC) + len(dictionary_hash)
         offsets = np.cumsum(np.concatenate([[np.uint64(first)], sizes])).astype("<u8")
-        out.write(ids.astype("<i8").tobytes() + offsets[:-1].tobytes() + counts.astype("<u8").tobytes())
+        out.write(ids.astype("<i8").tobytes() + offsets[:-1].tobytes() + counts.astype("<u8").tobytes() + there.astype("u1").tobytes())
         out.write(TRAILER.pack(int(offsets[-1]), len(ids), int(counts.sum()), width, MAGIC))
     return len(ids), int(counts.sum())
 
@@ -171,8 +174,9 @@ class Shard:
         head = self.file.read_at(len(MAGIC) + 32, 0)
         if magic != MAGIC or head[: len(MAGIC)] != MAGIC:
             raise ValueError(f"{path} is not a token shard")
-        index = self.file.read_at(24 * self.n, self.index_at)
+        index = self.file.read_at(25 * self.n, self.index_at)
         self.doc_ids, self.offsets, self.counts = (np.frombuffer(index, t, self.n, i * 8 * self.n) for i, t in enumerate(("<i8", "<u8", "<u8")))
+        self.has_id = np.frombuffer(index, "u1", self.n, 24 * self.n) == 1
         self.width = np.dtype(f"<u{width}")
         store = path.rsplit("/", 1)[0]
         fs2, local2 = open_fs(f"{store}/dictionary.zdict")
@@ -213,9 +217,9 @@ def read_store(spark: SparkSession, manifest: DataFrame, read_bytes: int = 8 <<
                     stop = int(np.searchsorted(shard.offsets, int(shard.offsets[first]) + read_bytes))
                     stop = min(max(stop, first + 1), first + 8192, shard.n)
                     crcs = [zlib.crc32(x.astype("<u4").tobytes()) for x in shard.ids(first, stop)]
-                    ids = shard.doc_ids[first:stop]
+                    ids = pa.array(shard.doc_ids[first:stop], pa.int64(), mask=~shard.has_id[first:stop])
                     yield pa.record_batch(
-                        [pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(starts[first:stop]), pa.array(shard.counts[first:stop].astype(np.int64)), pa.array(crcs, pa.int64())],
+                        [ids, pa.array(starts[first:stop]), pa.array(shard.counts[first:stop].astype(np.int64)), pa.array(crcs, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
                     first = stop
