@@ -7,43 +7,52 @@ executor repeats one stage at most. All stages but the last return the columns o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import near_duplicates, packing, pii, quality
 from tidemark.llm.workspace import Workspace
 
 
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def _helper() -> str:
+    """The name of a helper column, which no input has."""
+    return f"_{uuid.uuid4().hex}"
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted quality is 1; the rest go."""
-    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, "_score").where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    model, score = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), _helper()
+    return quality.score(docs, model, score).where(F.col(score) >= quality.THRESHOLD).select(*_columns(docs))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest doc_id.
 
-    Documents without words form no group and all stay. Of rows that share a doc_id one stays;
-    rows without doc_id can't be told apart by it and pass unchanged.
+    Documents without words form no group and all stay. Of rows that share a doc_id only those go
+    whose own text is a near duplicate of one that stays.
     """
-    found = near_duplicates.link_components(docs)
-    gone = found.where("not kept and doc_id is not null").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy(F.length("text"), F.xxhash64("text"))
-    left = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").withColumn("_nth", F.row_number().over(once)).where("_nth = 1")
-    return left.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return near_duplicates.one_of_each(docs)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data; n_chars follows the new text."""
-    out = pii.replace_entities(docs, count="_entities")
+    count = _helper()
+    out = pii.replace_entities(docs, count=count)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*_columns(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document and its place in the packed sequences."""
-    return packing.pack(docs, with_ids=False)
+    """Every piece of every document, its ids (little-endian 32-bit) and its place in the packed
+    sequences."""
+    return packing.pack(docs)
 
 
 STAGES = [
