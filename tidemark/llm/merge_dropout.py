@@ -2,9 +2,10 @@
 
 A word's candidate merges stand on an agenda by score, then by place; each may be skipped, as a
 keyed hash of the seed, the document, the word's place in it, the word and the candidate's borders
-decides. A skipped
-candidate never comes back, but its characters can still join in other merges. With no dropout the
-ids are the library's. Words of a batch go through their agendas in lockstep, as array operations.
+decides. A skipped candidate never comes back, but its characters can still join in other merges.
+With no dropout the ids are the library's. Words of a batch go through their agendas in lockstep, as
+array operations; longer ones go through an agenda of their own, in parts between characters that no
+piece of the vocabulary has side by side.
 
 Every occurrence of a word is cut by its own skips. What is remembered is a tree of runs: a word's
 run with nothing skipped and, below it, runs with given candidates skipped, each with all it put on
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shingles import mix
 from tidemark.llm.token_ids import spans_of
-from tidemark.llm.workspace import slices
+from tidemark.llm.workspace import short_batches, slices
 
 _U = np.uint64
 SPACE = "▁"
@@ -39,7 +40,7 @@ WORD = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+").findall
 RUNS_KEPT = 300_000
 #: Symbols of the longest word that goes through in lockstep with others.
 LOCKSTEP = 64
-DROPOUT, SEED, VARIANTS = 0.1, 1, 4
+DROPOUT, SEED = 0.1, 1
 
 
 def default_path() -> str:
@@ -48,6 +49,22 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def placed(at, middle, end) -> np.ndarray:
+    """Hashes of candidates' borders, whatever the length of the word."""
+    at, middle, end = (np.asarray(x).astype(_U) for x in (at, middle, end))
+    return mix(mix(mix(at) + middle) + end)
+
+
+_MASK = (1 << 64) - 1
+
+
+def _mix(x: int) -> int:
+    """``mix`` of one number."""
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _MASK
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _MASK
+    return x ^ (x >> 31)
+
+
 class _Column:
     """A numpy array that grows."""
 
@@ -77,6 +94,10 @@ class Segmenter:
         joins = sorted((ids[a] << 32 | ids[b], i) for i in plain for k in range(1, len(self.pieces[i])) if (a := self.pieces[i][:k]) in ids and (b := self.pieces[i][k:]) in ids)
         self.join_keys = np.array([j[0] for j in joins], np.int64)
         self.join_ids = np.array([j[1] for j in joins], np.int64)
+        self.joins = {k: i for k, i in joins}
+        self.pairs = {p[k : k + 2] for i in plain for p in (self.pieces[i],) for k in range(len(p) - 1)}
+        # pieces by falling score, equal ones alike
+        self.rank = np.unique(-self.scores, return_inverse=True)[1].tolist()
         self.kind = "H" if n <= 1 << 16 else "I"
         self.width = np.dtype(f"<u{2 if n <= 1 << 16 else 4}")
         self.skip_below = _U(min(int(dropout * 2**64), 2**64 - 1)) if dropout > 0 else None
@@ -125,12 +146,10 @@ class Segmenter:
                 near = rows << 21 | at << 14 | middle << 7 | end
                 if len(dropped):
                     found &= dropped[np.minimum(np.searchsorted(dropped, near), len(dropped) - 1)] != near
-                place = (at[found].astype(_U) << _U(42)) | (middle[found].astype(_U) << _U(21)) | end[found].astype(_U)
-                offers.append((rows[found], near[found] & (1 << 21) - 1, mix(place)))
+                offers.append((rows[found], near[found] & (1 << 21) - 1, placed(at[found], middle[found], end[found])))
             elif self.skip_below is not None:
                 end = follow[rows, middle]
-                place = (at.astype(_U) << _U(42)) | (middle.astype(_U) << _U(21)) | end.astype(_U)
-                found &= mix(salt[rows] ^ mix(place)) >= self.skip_below
+                found &= mix(salt[rows] ^ placed(at, middle, end)) >= self.skip_below
             score[rows, at] = np.where(found, self.scores[made], -np.inf)
             into[rows, at] = made
 
@@ -177,48 +196,59 @@ class Segmenter:
         return out
 
     def _long(self, word: str, variant: int) -> bytes:
-        """One long word by a heap agenda, with the same order and skips as in lockstep."""
+        """One long word by agendas of its parts, with the same order and skips as in lockstep."""
+        pairs, out = self.pairs, array(self.kind)
+        salt = int(mix(np.array([zlib.crc32(word.encode()) | len(word) << 32], _U) ^ self._variant_key(variant))[0])
+        start = 0
+        for stop in range(1, len(word) + 1):
+            if stop == len(word) or word[stop - 1 : stop + 1] not in pairs:
+                self._part(word, start, stop, salt, out)
+                start = stop
+        return out.tobytes()
+
+    def _part(self, word: str, start: int, stop: int, salt: int, out: array) -> None:
+        """Put the ids of word[start:stop] out. The agenda is a heap of rank and place in one number;
+        an entry whose candidate has changed since is passed over."""
         import heapq
 
-        symbols = [self.chars.get(c, -2) for c in word]
-        n = len(symbols)
-        follow, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        salt = mix(np.array([zlib.crc32(word.encode()) | n << 32], _U) ^ self._variant_key(variant))
-        joins = dict(zip(self.join_keys.tolist(), self.join_ids.tolist()))
-        heap: list[tuple] = []
-
-        def skipped(places: list[int]) -> np.ndarray:
-            return mix(salt ^ mix(np.array(places, _U))) < self.skip_below
-
-        def candidates(ats: list[int]) -> None:
-            found = []
-            for at in ats:
-                middle = follow[at] if at >= 0 else n
-                if middle < n and symbols[at] >= 0 and symbols[middle] >= 0:
-                    made = joins.get(symbols[at] << 32 | symbols[middle], -1)
-                    if made >= 0:
-                        found.append((-self.scores[made], at, middle, follow[middle], made))
-            if found and self.skip_below is not None:
-                drop = skipped([f[1] << 42 | f[2] << 21 | f[3] for f in found])
-                found = [f for f, d in zip(found, drop) if not d]
-            for f in found:
-                heapq.heappush(heap, f)
-
-        candidates(list(range(n - 1)))
-        while heap:
-            _, at, middle, end, made = heapq.heappop(heap)
-            if symbols[at] == -1 or symbols[middle] == -1 or follow[at] != middle or follow[middle] != end:
-                continue
-            symbols[at], symbols[middle] = made, -1
-            follow[at] = end
-            if end < n:
-                before[end] = at
-            candidates([at, before[at]])
-        ids: list[int] = []
-        for j, code in enumerate(symbols):
-            if code != -1:
-                ids += [self.byte_ids[b] for b in word[j].encode()] if code == -2 else [code]
-        return array(self.kind, ids).tobytes()
+        codes = [self.chars.get(c, -2) for c in word[start:stop]]
+        n, joins, rank = len(codes), self.joins, self.rank
+        if n > 1:
+            follow, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+            made = array("q", [joins.get(a << 32 | b, -1) if a >= 0 and b >= 0 else -1 for a, b in zip(codes, codes[1:])] + [-1])
+            below = None if self.skip_below is None else int(self.skip_below)
+            if below is not None:
+                at = np.arange(n, dtype=np.int64)
+                skipped = mix(_U(salt) ^ placed(at + start, at + start + 1, at + start + 2)) < self.skip_below
+                np.frombuffer(made, np.int64)[skipped] = -1
+            heap = [rank[m] * n + at for at, m in enumerate(made) if m >= 0]
+            heapq.heapify(heap)
+            while heap:
+                r, at = divmod(heapq.heappop(heap), n)
+                m = made[at]
+                if m < 0 or rank[m] != r:
+                    continue
+                middle = follow[at]
+                end = follow[middle]
+                codes[at], codes[middle], made[middle] = m, -1, -1
+                follow[at] = end
+                if end < n:
+                    before[end] = at
+                for at in (at, before[at]):
+                    if at < 0:
+                        continue
+                    middle = follow[at]
+                    m = joins.get(codes[at] << 32 | codes[middle], -1) if middle < n and codes[at] >= 0 and codes[middle] >= 0 else -1
+                    if m >= 0 and below is not None and _mix(salt ^ _mix(_mix(_mix(at + start) + middle + start & _MASK) + follow[middle] + start & _MASK)) < below:
+                        m = -1
+                    made[at] = m
+                    if m >= 0:
+                        heapq.heappush(heap, rank[m] * n + at)
+        for c, code in zip(word[start:stop], codes):
+            if code >= 0:
+                out.append(code)
+            elif code == -2:
+                out.extend(self.byte_ids[b] for b in c.encode())
 
     def _forget(self) -> None:
         self.roots: dict[str, int] = {}
@@ -339,39 +369,31 @@ def segmenter(path: str, dropout: float, seed: int) -> Segmenter:
     return Segmenter(path, dropout, seed)
 
 
-def variant_of(doc_id: int | None, seed: int, variants: int) -> int:
-    return zlib.crc32(f"{seed}:{doc_id}".encode()) % variants
-
-
-def key_of(doc_id: int | None, seed: int, variant: int) -> int:
+def key_of(doc_id: int | None, seed: int) -> int:
     """64 bits that key a document's skips."""
-    return int.from_bytes(hashlib.blake2b(f"{seed}:{variant}:{doc_id}".encode(), digest_size=8).digest(), "little")
+    return int.from_bytes(hashlib.blake2b(f"{seed}:{doc_id}".encode(), digest_size=8).digest(), "little")
 
 
-def encode(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
-    """doc_id, variant, n_tokens, ids (little-endian bytes) of ``docs`` (doc_id, text).
+def encode(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian bytes) of ``docs`` (doc_id, text). Another seed gives
+    another segmentation.
 
-    A null or empty text has no ids. Null doc_ids and repeated rows stay; a doc_id always has the
-    same variant and, for the same text, the same ids. Other columns are ignored.
+    A null or empty text has no ids. Null doc_ids and repeated rows stay; a doc_id always has, for
+    the same text and seed, the same ids. Other columns are ignored.
     """
     path = path or default_path()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = segmenter(path, dropout, seed)
-        for doc_ids, which, ids in _encoded(seg, batches, seed, variants):
-            yield pa.record_batch([doc_ids, pa.array(which, pa.int32()), pa.array([len(x) // seg.width.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "variant", "n_tokens", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encoded, "doc_id long, variant int, n_tokens long, ids binary")
-
+        for batch in slices(batches):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for span in spans_of(texts):
+                doc_ids = batch.column(0).slice(span.start, span.stop - span.start)
+                ids = seg.encode(texts[span], [key_of(d, seed) for d in doc_ids.to_pylist()])
+                yield pa.record_batch([doc_ids, pa.array([len(x) // seg.width.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-def _encoded(seg: Segmenter, batches, seed: int, variants: int):
-    for batch in slices(batches):
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for span in spans_of(texts):
-            doc_ids = batch.column(0).slice(span.start, span.stop - span.start)
-            which = [variant_of(d, seed, variants) for d in doc_ids.to_pylist()]
-            keys = [key_of(d, seed, v) for d, v in zip(doc_ids.to_pylist(), which)]
-            yield doc_ids, which, seg.encode(texts[span], keys)
+    short_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encoded, "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -387,18 +409,18 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op8_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document encoded with dropout and decoded again: doc_id, variant, n_tokens,
-    ids_crc32 (of ids as little-endian uint32) and the digest of the decoded text."""
+    """Every document encoded with dropout and decoded again: doc_id, n_tokens, ids_crc32 (of ids
+    as little-endian uint32) and the digest of the decoded text."""
     path = default_path()
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = segmenter(path, 0.0, 0)
         for batch in batches:
-            doc_id, variant, n, ids = batch.columns
+            doc_id, n, ids = batch.columns
             arrays = ids.to_pylist()
             crcs = [zlib.crc32(np.frombuffer(x, seg.width).astype("<u4").tobytes()) for x in arrays]
             texts = [hashlib.sha256(seg.decode(x).encode()).hexdigest() for x in arrays]
-            yield pa.record_batch([doc_id, variant, n, pa.array(crcs, pa.int64()), pa.array(texts)], names=["doc_id", "variant", "n_tokens", "ids_crc32", "decoded_sha256"])
+            yield pa.record_batch([doc_id, n, pa.array(crcs, pa.int64()), pa.array(texts)], names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256"])
 
     made = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return made.mapInArrow(digests, "doc_id long, variant int, n_tokens long, ids_crc32 long, decoded_sha256 string")
+    return made.mapInArrow(digests, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string")
