@@ -58,3 +58,77 @@ def test_odd_rows(spark, odd_docs, no_docs):
     none = quality.train(no_docs, labels.limit(0))
     assert quality.score(no_docs, none).collect() == []
     assert {r["score"] for r in quality.score(odd_docs, none).collect()} == {0.5}
+
+
+def plain_score(text, model):
+    """A document's score from the definitions: lines, neighbours, all paths' sums by recursion."""
+    import math
+
+    lines = (text or "").split("\n")
+    x, size, firsts = quality.line_features([text])
+    assert firsts.tolist() == [0, len(lines)] and size.tolist() == [len(line.encode()) for line in lines]
+    n, k = x.shape
+    zero = np.zeros(k)
+    logits = []
+    for i in range(n):
+        full = [*x[i], *(x[i - 1] if i else zero), *(x[i + 1] if i + 1 < n else zero), i == 0, i == n - 1, 1]
+        logits.append(max(-30.0, min(30.0, sum(float(a) * float(b) for a, b in zip(full, model.weights)))))
+
+    def total(i, state, step):
+        """The log of the summed weights of all ways onwards from line i in ``state``."""
+        values = {state: 0.0}
+        at = i
+        while 0 <= at + step < n:
+            at += step
+            values = {t: (logits[at] if t else 0.0) + _log_sum([v + (model.move[s, t] if step > 0 else model.move[t, s]) for s, v in values.items()]) for t in (0, 1)}
+        return _log_sum(list(values.values()))
+
+    weight = score = 0.0
+    for i in range(n):
+        both = [total(i, s, 1) + total(i, s, -1) + (logits[i] if s else 0.0) for s in (0, 1)]
+        w = max(size[i], 1)
+        weight += w
+        score += w * math.exp(both[1] - _log_sum(both))
+    a, b = model.curve
+    return 1 / (1 + math.exp(-(a * score / weight + b)))
+
+
+def _log_sum(values):
+    top = max(values)
+    return top + np.log(sum(np.exp(v - top) for v in values))
+
+
+def test_query_scores_equal_the_definition(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r["doc_id"]: r["score"] for r in quality.op7_quality(spark, sf).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    for d, t in texts.items():
+        if (t or "").count("\n") < 60:
+            assert got[d] == pytest.approx(plain_score(t, model), abs=1e-5), d
+
+
+def test_a_fit_takes_a_bounded_part(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda x, size, firsts, label, prior: seen.update(lines=np.diff(firsts).tolist(), label=label.tolist()))
+    rows = [(1, "a line\n" * 5000)] * 3 + [(1, "another"), (2, "one\ntwo"), (3, None)]
+    labels = [(i, i % 2) for i in range(1, 60) for _ in range(2)]
+    quality.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), lines=50)
+    assert len(seen["lines"]) <= 3 and max(seen["lines"]) <= 50
+
+
+def test_features_have_other_definitions_too():
+    """Some of the features, counted character by character."""
+    text = "Hello, World! 42%\nHello, World! 42%\nno no no stop.\n\nÉcoute | bien"
+    x, _, _ = quality.line_features([text])
+    for line, row in zip(text.split("\n"), x):
+        words, n = sum(c in " \t\r\x0b\x0c" for c in line) + 1, len(line.encode())
+        letters = sum(c.isalpha() for c in line)
+        assert row[1] == pytest.approx(sum("A" <= c <= "Z" for c in line) / (letters + 1))
+        assert row[2] == pytest.approx(sum(c.isdigit() for c in line) / (n + 1))
+        assert row[3] == pytest.approx(min(line.count("!") / words, 2))
+        assert row[8] == pytest.approx(letters / (n + 1))
+        assert row[9] == (text.split("\n").count(line) > 1 and line != "") and row[13] == (line == "")
+    assert x[2][10] == pytest.approx(2 / 4)

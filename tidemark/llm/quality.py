@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.shingles import SPACE, _powers, mix
+from tidemark.llm.workspace import short_batches, slices
 
 _CLASSES = {
     "lower": b"abcdefghijklmnopqrstuvwxyz",
@@ -34,6 +35,8 @@ _CLASSES = {
 N_FEATURES = 14
 #: Labelled documents of each label that a fit uses at most, those whose ids have the smallest hashes.
 SAMPLE = 2000
+#: Lines of a labelled document that a fit uses at most: a run of lines from its middle.
+FIT_LINES = 400
 ROUNDS = 3
 THRESHOLD = 0.7
 
@@ -237,12 +240,14 @@ def is_held_out(doc_id="doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit to up to ``sample`` labelled documents of each label, none of them held out.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = FIT_LINES) -> Model:
+    """Fit to up to ``sample`` labelled documents of each label, none of them held out, and up to
+    ``lines`` lines of each. That bounds what reaches the driver, whatever the tables hold.
 
     Rows of ``labels`` without doc_id or with a quality other than 0 and 1 are left out; of
-    several rows of one document the smallest label counts. With labels of one kind only, or
-    none, every score is that share of label 1 (a half if there are none).
+    several rows of one document the smallest label counts, and of several texts that with the
+    smallest MD5. With labels of one kind only, or none, every score is that share of label 1 (a
+    half if there are none).
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where(~is_held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
@@ -252,14 +257,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         chosen = part if chosen is None else chosen.unionByName(part)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 x, size, firsts = line_features(batch.column(1).to_pylist())
-                rows = [(x[a:b].tobytes(), size[a:b].tobytes()) for a, b in zip(firsts[:-1], firsts[1:])]
+                middle = [(a + max(0, (b - a - lines) // 2), min(b - a, lines)) for a, b in zip(firsts[:-1], firsts[1:])]
+                rows = [(x[a : a + n].tobytes(), size[a : a + n].tobytes()) for a, n in middle]
                 yield pa.record_batch([batch.column(0), batch.column(2), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "quality", "x", "size"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(described, "doc_id long, quality int, x binary, size binary").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["x"])))
+    short_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    once = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.md5(F.coalesce("text", F.lit("")))).alias("text"))
+    rows = once.select("doc_id", "text", "quality").mapInArrow(described, "doc_id long, quality int, x binary, size binary").collect()
+    rows = sorted(rows, key=lambda r: r["doc_id"])
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
     x = np.concatenate([np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in rows] or [np.zeros((0, N_FEATURES), np.float32)])
@@ -268,7 +277,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(x, size, firsts, np.array([r["quality"] for r in rows], int), prior)
 
 
-def score(docs: DataFrame, model: Model, name: str = "score", span: int = 1 << 20) -> DataFrame:
+def score(docs: DataFrame, model: Model, name: str = "score", span: int = 1 << 18) -> DataFrame:
     """``docs`` with column ``name``, the probability that its quality is 1.
 
     A null or empty text is one empty line. Null doc_ids, repeated rows and all other columns are
@@ -288,7 +297,8 @@ def score(docs: DataFrame, model: Model, name: str = "score", span: int = 1 << 2
             parts.append(model.document_scores(texts[start:]))
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.withColumn(name, scored(F.col("text")))
+    short_batches(docs.sparkSession)
+    return docs.withColumn(name, scored(F.col("text").cast("string")))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
