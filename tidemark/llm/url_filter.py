@@ -18,7 +18,7 @@ from tidemark.llm.workspace import Workspace
 
 #: (verdict, host and path); a rule fits its host and all subdomains if the path starts with its path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-DAMPING, ITERATIONS, SETTLED = 0.85, 20, 1e-9
+DAMPING, SETTLED = 0.85, 1e-9
 
 
 def steps_to_settle(damping: float = DAMPING) -> int:
@@ -27,8 +27,9 @@ def steps_to_settle(damping: float = DAMPING) -> int:
     return math.ceil(math.log(SETTLED / 4) / math.log(damping)) + 1
 
 
-#: A host is allowed if its trust is at least this share of its distrust (a tie allows).
-SHARE, TIE = 1.0, 1e-12
+#: A host is allowed if its trust is at least this share of its distrust; ranks that are closer than
+#: what may still move when they count as settled are a tie, which allows.
+SHARE, TIE = 1.0, 1e-8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"(?i)\bhref\s*=\s*[\"']?((?:[a-z][a-z0-9+.\-]*:)?//[^/?#\"'\s>]+)"
@@ -79,38 +80,50 @@ def host_edges(pages: DataFrame) -> DataFrame:
     )
 
 
-def propagate(ws: Workspace, edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+#: Steps between two written tables.
+STEPS_EACH = 6
+
+
+def propagate(ws: Workspace, edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, settled: float = SETTLED) -> DataFrame:
     """kind, host, rank: PageRanks of several kinds at once.
 
     ``edges``: kind, src, dst, n; ``seeds``: kind, host, weight with weights of a kind summing to
-    1. Mass at hosts without out-edges goes back to the seeds. Ends when the kinds together move by
-    less than SETTLED, or after ``iterations`` steps. Each step is a join and a sum per host, written to the shared folder.
+    1. Mass at hosts without out-edges goes back to the seeds. Ends when all ranks together move by
+    less than ``settled``, at the latest after the steps that the damping proves to be enough. Each
+    step is a join and a sum per host; every STEPS_EACH of them are written to the shared folder.
+    Without edges the seeds are the ranks, without seeds there are none.
     """
     out = edges.groupBy("kind", "src").agg(F.sum("n").alias("total"))
-    moves = ws.stage(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("share")), "moves")
-    seeds = ws.stage(seeds, "seeds")
-    ranks = ws.stage(seeds.select("kind", "host", F.col("weight").alias("rank")), "ranks-0")
-    for step in range(1, iterations + 1):
-        moved = ranks.join(moves.withColumnRenamed("src", "host"), ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
-        moved = ws.stage(moved, f"moved-{step}")
-        # at most one row per kind: what links carried; the rest of the damped mass restarts at the seeds
-        carried = {r["kind"]: r["all"] for r in moved.groupBy("kind").agg(F.sum("in").alias("all")).collect()}
-        kept = F.lit(0.0)
-        for kind, value in carried.items():
-            kept = F.when(F.col("kind") == kind, float(value)).otherwise(kept)
-        new = moved.join(seeds, ["kind", "host"], "full").select("kind", "host", (damping * F.coalesce("in", F.lit(0.0)) + F.coalesce("weight", F.lit(0.0)) * (1 - damping * kept)).alias("rank"))
-        new = ws.stage(new, f"ranks-{step}")
-        ws.drop(f"moved-{step}")
-        if not carried:
-            return new
-        change = new.withColumnRenamed("rank", "now").join(ranks, ["kind", "host"], "full").agg(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("rank", F.lit(0.0))))).first()[0]
-        ranks = new
-        if change < SETTLED:
+    moves = ws.stage(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("total")).alias("share")), "moves")
+    seeds = ws.stage(seeds, "seeds", 1)
+    ranks = seeds.select("kind", "host", F.col("weight").alias("rank"))
+    if moves.isEmpty():
+        return ranks
+
+    def step(ranks: DataFrame) -> DataFrame:
+        moved = ranks.join(moves, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
+        # one row per kind: what links carried; the rest of the damped mass restarts at the seeds
+        carried = F.broadcast(moved.groupBy("kind").agg(F.sum("in").alias("carried")))
+        both = moved.join(seeds, ["kind", "host"], "full").join(carried, "kind", "left")
+        restart = F.coalesce("weight", F.lit(0.0)) * (1 - damping * F.coalesce("carried", F.lit(0.0)))
+        return both.select("kind", "host", (damping * F.coalesce("in", F.lit(0.0)) + restart).alias("rank"))
+
+    for done in range(0, steps_to_settle(damping), STEPS_EACH):
+        new = ranks
+        for _ in range(STEPS_EACH):
+            new = step(new)
+        # hosts that have a rank never lose it
+        old = ranks.withColumnRenamed("rank", "old")
+        new = ws.stage(new.join(old, ["kind", "host"], "left").select("kind", "host", "rank", F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0))).alias("change")), f"ranks-{done}")
+        change = new.agg(F.sum("change")).first()[0]
+        ws.drop(f"ranks-{done - STEPS_EACH}")
+        ranks = new.drop("change")
+        if (change or 0.0) < settled:
             break
     return ranks
 
 
-def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, settled: float = SETTLED) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for each row of ``pages`` (page_id, url,
     html).
 
@@ -126,7 +139,7 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     weight = F.when(F.col("kind") == "trust", F.col("n") / float(totals.get("trust", 1))).otherwise(F.col("n") / float(totals.get("distrust", 1)))
     edges = ws.stage(host_edges(pages), "edges")
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    ranks = propagate(ws, both, counts.select("kind", "host", weight.alias("weight")), iterations=steps_to_settle())
+    ranks = propagate(ws, both, counts.select("kind", "host", weight.alias("weight")), settled=settled)
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
     hosts = ranks.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
     df = df.join(hosts, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
@@ -149,15 +162,8 @@ def _sql() -> str:
     lower = f"'{_UPPER}', '{_LOWER}'"
     url = _URL.replace("'", "''")
     link = _LINK.replace("'", "''")
-    steps = ["r0 AS (SELECT kind, host, weight AS rank FROM seeds)"]
-    for i in range(1, ITERATIONS + 1):
-        steps += [
-            f"m{i} AS (SELECT e.kind, e.dst AS host, sum(r.rank * e.share) AS v FROM r{i - 1} r JOIN moves e ON e.kind = r.kind AND e.src = r.host GROUP BY 1, 2)",
-            f"r{i} AS (SELECT coalesce(m.kind, s.kind) AS kind, coalesce(m.host, s.host) AS host, {DAMPING} * coalesce(m.v, 0) + coalesce(s.weight, 0) * (1 - {DAMPING} * coalesce(c.v, 0)) AS rank"
-            f" FROM m{i} m FULL JOIN seeds s ON m.kind = s.kind AND m.host = s.host LEFT JOIN (SELECT kind, sum(v) AS v FROM m{i} GROUP BY 1) c ON c.kind = coalesce(m.kind, s.kind))",
-        ]
     return f"""
-WITH u AS MATERIALIZED (SELECT page_id, html, translate(coalesce(regexp_extract(url, '{url}', 1), ''), {lower}) AS host, coalesce(regexp_extract(url, '{url}', 2), '') AS path FROM pages),
+WITH RECURSIVE u AS MATERIALIZED (SELECT page_id, html, translate(coalesce(regexp_extract(url, '{url}', 1), ''), {lower}) AS host, coalesce(regexp_extract(url, '{url}', 2), '') AS path FROM pages),
 j AS MATERIALIZED (SELECT *, {verdict} AS by_rule FROM (SELECT page_id, host, path, {rule} AS rule FROM u)),
 c AS (SELECT CASE by_rule WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM j WHERE by_rule IS NOT NULL GROUP BY 1, 2),
 seeds AS MATERIALIZED (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS weight FROM c),
@@ -166,8 +172,15 @@ g AS (SELECT src, translate(regexp_extract(link, '//(.*)', 1), {lower}) AS dst F
 e AS (SELECT src, dst, count(*) AS n FROM g WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY 1, 2),
 b AS (SELECT 'trust' AS kind, src, dst, n FROM e UNION ALL SELECT 'distrust', dst, src, n FROM e),
 moves AS MATERIALIZED (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM b),
-{", ".join(steps)},
-h AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS t, coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS d FROM r{ITERATIONS} GROUP BY 1)
+sources AS MATERIALIZED (SELECT DISTINCT kind, src FROM moves),
+r AS (SELECT 0 AS step, kind, host, weight::DOUBLE AS rank FROM seeds UNION ALL
+  SELECT step + 1, kind, host, sum(v) FROM (
+    SELECT r.step, m.kind, m.dst AS host, {DAMPING} * r.rank * m.share AS v FROM r JOIN moves m ON m.kind = r.kind AND m.src = r.host
+    UNION ALL
+    SELECT k.step, s.kind, s.host, s.weight * (1 - {DAMPING} * k.kept) FROM
+      (SELECT r.step, r.kind, sum(CASE WHEN x.src IS NULL THEN 0 ELSE r.rank END) AS kept FROM r LEFT JOIN sources x ON x.kind = r.kind AND x.src = r.host GROUP BY 1, 2) k JOIN seeds s ON s.kind = k.kind)
+  WHERE step < {steps_to_settle()} GROUP BY 1, 2, 3),
+h AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS t, coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS d FROM r WHERE step = {steps_to_settle()} GROUP BY 1)
 SELECT j.page_id, j.host, j.path, j.rule,
        coalesce(j.by_rule, CASE WHEN coalesce(h.t, 0) + {TIE} >= {SHARE} * coalesce(h.d, 0) THEN 'allow' ELSE 'block' END) AS verdict
 FROM j LEFT JOIN h ON h.host = j.host
