@@ -116,3 +116,66 @@ def test_parts_of_names_and_phones_agree(spark):
     assert g[1] == g[4] == g[13] and len({g[1], g[6], g[8]}) == 3 and {g[1], g[8], g[15]} <= {*pii.NAMES["latin", "f"]} and g[6] in pii.NAMES["latin", "m"]
     assert g[16] == g[17] != "Петрова" and re.fullmatch("[А-я]+", g[16])
     assert len({re.sub(r"\D", "", g[i]) for i in (10, 11, 12)}) == 1 and re.sub(r"\D", "", g[10]) != "6635556869"
+
+
+PEOPLE = [
+    "Mr Zoltan Kovacs",
+    "Dr Priya Raman",
+    "Mary Jane Watson",
+    "Prof. Ludwig van der Berg",
+    "John Q. Public",
+    "Frau Anna-Lena Müller",
+    "Señor José O'Brien",
+    "г-н Сергей Иванович Петров",
+    "Mrs Smith-Jones",
+    "Hans von Trapp",
+]
+
+
+def test_whole_names_go(spark):
+    cases = {i: f"we met {p} and {p}'s friend." for i, p in enumerate(PEOPLE)}
+    out = rewritten(spark, cases)
+    titles = {t for ts in pii.TITLES.values() for t in ts}
+    for i, p in enumerate(PEOPLE):
+        text, n = out[i]
+        m = re.fullmatch(r"we met (.+) and (.+)'s friend\.", text)
+        assert m and m[1] == m[2] and n == 2
+        old, new = p.split(" "), m[1].split(" ")
+        assert len(old) == len(new)
+        for a, b in zip(old, new):
+            assert (a == b) == (a.rstrip(".") in titles or a in pii._PARTICLES), (p, m[1])
+    both = rewritten(spark, {1: "Mr Zoltan Kovacs, Mr Bela Kovacs, Mr Zoltan Nagy, Z. Kovacs"})[1][0]
+    m = re.fullmatch(r"Mr (\w+) (\w+), Mr (\w+) (\w+), Mr (\w+) (\w+), Z\. (\w+)", both)
+    assert m and m[1] == m[5] != m[3] and m[2] == m[4] == m[7] != m[6]
+
+
+def test_a_surname_alone_follows_its_person(spark):
+    text = "Mr John Smith and Smith's dog; Smith, Smithson, Blacksmith, Smith-Jones, SMITH. (Smith) Dr Wei Zhang: Zhang"
+    out, n = rewritten(spark, {1: text, 2: "Smith alone is nobody here"})[1]
+    m = re.fullmatch(r"Mr (\w+) (\w+) and (\w+)'s dog; (\w+), Smithson, Blacksmith, Smith-Jones, SMITH\. \((\w+)\) Dr (\w+) (\w+): (\w+)", out)
+    assert m and n == 6 and m[2] == m[3] == m[4] == m[5] != "Smith" and m[7] == m[8] != "Zhang"
+
+
+def test_addresses_of_any_script(spark):
+    cases = {
+        1: "a josé.garcía@example.com b",
+        2: "владимир@пример.рф",
+        3: "联系john@example.com联系",
+        4: "Zoë@müller.example",
+        5: "x" * 200 + "@example.com",
+    }
+    out = rewritten(spark, cases)
+    assert all(n == 1 for _, n in out.values())
+    m = re.fullmatch(r"a ([a-z]{4}\.[a-z]{6}@[a-z]{7}\.com) b", out[1][0])
+    assert m and m[1] != cases[1][2:-2]
+    assert re.fullmatch(r"[а-я]{8}@[а-я]{6}\.рф", out[2][0]) and out[2][0] != cases[2]
+    assert re.fullmatch(r"联系[a-z]{4}@[a-z]{7}\.com联系", out[3][0]) and "john" not in out[3][0]
+    assert re.fullmatch(r"[A-Z][a-z]{2}@[a-z]{6}\.example", out[4][0])
+
+
+def test_names_that_clash_with_helpers(spark):
+    names = ["file", "line", "row", "found", "new", "gaps", "at", "kind", "canon", "surface", "surnames", "mentions", "_file", "_row", "_found", "a.b"]
+    df = spark.createDataFrame([(1, "a@b.co"), (2, "none"), (None, None)], "doc_id long, text string").withColumns({c: F.lit(c) for c in names})
+    out = pii.replace_entities(df)
+    assert out.columns == [*df.columns, "n_entities"]
+    assert {tuple(r[2:-1]) for r in out.collect()} == {tuple(names)}

@@ -2,9 +2,11 @@
 
 Each entity has a type and a canonical form (digits of a number, lower case of an address), so
 that every spelling of it gets the same surrogate, written in the spelling's own format. A name is
-keyed by its surname, with or without title and given name, and a phone by its last ten digits,
-with or without country code; given names are exchanged one for one apart from that. What is
-replaced keeps its kind: digits stay digits and letters letters, a card keeps its first digit and
+a title or a common given name and the run of capitalised words after it; it is keyed by its
+surname, with or without title and given names, and a document's later mentions of that surname
+alone follow. A phone is keyed by its last ten digits, with or without country code. Common given
+names are exchanged one for one within their gender and script, others get made-up ones, initials
+another letter. What is replaced keeps its kind: digits stay digits and letters letters, a card keeps its first digit and
 checksum, a phone its country code, an octet its width, a name its gender and script. Surrogates
 are checked over the whole corpus: no two entities share one and none is a real entity; an entity
 that fails takes its next keyed attempt.
@@ -17,7 +19,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.workspace import Workspace
+from tidemark.llm.workspace import Workspace, files_for
 
 #: For demonstrations and tests; pass a secret of your own.
 DEMO_KEY = "not a secret"
@@ -37,24 +39,36 @@ SYLLABLES = {
     "cyrillic": ["бар", "бел", "вол", "гор", "дан", "зор", "кам", "лин", "мар", "нор", "пел", "рос", "сол", "тор", "хар", "чер"],
 }
 
-_WORD = r"\p{Lu}[\p{L}'’\-]{1,40}+"
+_PARTICLES = ["von", "van", "der", "den", "de", "da", "di", "du", "del", "della", "dos", "la", "le", "bin", "al", "el", "zu"]
+_LETTER = r"[\p{L}\p{M}]"
+#: A capitalised word of two letters or more, without a genitive's 's.
+_WORD = rf"(?:\p{{Lu}}{_LETTER}++|\p{{Lu}}(?=['’]\p{{L}}))(?:['’\-](?!s(?!\p{{L}})){_LETTER}++)*+"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _GIVEN = "|".join(n for ns in NAMES.values() for n in ns)
+#: Up to three words or initials, with particles, and the surname.
+_RUN = rf"(?:(?:{_WORD}|\p{{Lu}}\.)\x20){{0,3}}(?:(?:{'|'.join(_PARTICLES)})\x20){{0,3}}{_WORD}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+
+
+def _address(script: str) -> str:
+    """An address in letters of one script, so that it doesn't take in words of another before it."""
+    local = rf"[\p{{Is{script}}}\p{{M}}0-9._%+\-]"
+    return rf"(?<!{local}){local}++@(?:[\p{{Is{script}}}0-9\-]{{1,63}}\.){{1,8}}\p{{Is{script}}}{{2,24}}"
+
+
 PATTERNS = {
-    "email": r"(?<![\w.%+\-])[\w.%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "email": rf"(?:{_address('Latin')}|{_address('Cyrillic')})",
     "token": r"(?<![0-9A-Za-z])(?=[A-Fa-f]{0,127}[0-9])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![0-9A-Za-z])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\d])(?:\d{4}(?:[ \-]\d{4}){3}|\d{13,19}+)(?!\d)",
     "phone": r"(?:(?<![\d+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}|(?<![\d+(])\(?\d{3}\)?[ .\-]\d{3}[.\-]\d{4})(?!\d)",
-    "name": rf"(?=[A-Z\u0400-\u04FF])(?<![\p{{L}}])(?:(?:{_TITLE})\.?\x20(?:(?:{_GIVEN})\x20)?{_WORD}|(?:{_GIVEN})\x20{_WORD})",
+    "name": rf"(?=[A-ZЀ-ӿ])(?<!\p{{L}})(?:(?:{_TITLE})\.?\x20{_RUN}|(?:{_GIVEN})\x20{_RUN})",
 }
 _ANY = "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
-#: No entity starts between two ASCII letters, nor with another character after a letter (only names
-#: start with such, and none starts after a letter): that test first passes over most of a text.
-#: An address or a token may start after a letter that isn't ASCII.
-ENTITY = r"(?!(?<=[A-Za-z])[A-Za-z]|(?<=\p{L})[^\x00-\x7F])" + _ANY
+#: No entity starts between two ASCII letters, nor with another letter after one of its script: that
+#: test first passes over most of a text. An address or a token may start after another letter.
+ENTITY = r"(?!(?<=[A-Za-z])[A-Za-z]|(?=[^\x00-\x7F])(?:(?<=\p{IsLatin})\p{IsLatin}|(?<=\p{IsCyrillic})\p{IsCyrillic}))" + _ANY
 #: Only names have neither a digit nor an at sign.
 MARKS = "[0-9@]"
 
@@ -97,6 +111,7 @@ def _nth(text: str, i: Column) -> Column:
 
 
 _DIGITS, _LETTERS, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+_CYRILLIC = "".join(chr(c) for c in range(0x430, 0x450))
 
 
 def _chars(text: Column, each) -> Column:
@@ -105,8 +120,9 @@ def _chars(text: Column, each) -> Column:
 
 
 def _like(stream: Column, c: Column, i: Column) -> Column:
-    """A keyed character of c's kind."""
-    return F.when(c.rlike("[0-9]"), _nth(_DIGITS, _pick(stream, i, 10))).when(c.rlike("[a-z]"), _nth(_LETTERS, _pick(stream, i, 26))).otherwise(c)
+    """A keyed character of c's kind: a digit, or a letter of its script."""
+    letter = F.when(c.rlike(r"\p{IsCyrillic}"), _nth(_CYRILLIC, _pick(stream, i, 32))).otherwise(_nth(_LETTERS, _pick(stream, i, 26)))
+    return F.when(c.rlike("[0-9]"), _nth(_DIGITS, _pick(stream, i, 10))).when(c.rlike(r"\p{L}"), letter).otherwise(c)
 
 
 def _luhn(digits: Column) -> Column:
@@ -155,7 +171,7 @@ def with_surrogate(entities: DataFrame, key: str) -> DataFrame:
 
 
 def _name(s: Column) -> Column:
-    """A surname of keyed syllables in the same script."""
+    """A name of keyed syllables in the same script."""
     script = F.when(F.col("canon").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     surname = F.lit("")
     for where, parts in SYLLABLES.items():
@@ -165,34 +181,61 @@ def _name(s: Column) -> Column:
     return surname
 
 
-def _given(name: Column, key: str) -> Column:
-    """Another given name of the same gender and script, one for one: each list goes round in a
-    keyed order, so that given names of one surname stay distinct."""
-    pairs = []
+def _exchanged(key: str) -> dict[str, str]:
+    """For each common given name another of its gender and script, one for one: each list goes
+    round in a keyed order, so that given names of one surname stay distinct."""
+    pairs: dict[str, str] = {}
     for names in NAMES.values():
         order = sorted((n.lower() for n in names), key=lambda n: hashlib.sha512(f"{key}\x1fgiven\x1f{n}".encode()).digest())
-        pairs += zip(order, order[1:] + order[:1])
-    return F.element_at(F.create_map(*[F.lit(x) for pair in pairs for x in pair]), F.lower(name))
+        pairs.update(zip(order, order[1:] + order[:1]))
+    return pairs
+
+
+def _initials(key: str) -> tuple[str, str]:
+    """Capital letters and what stands for each."""
+    turn = 1 + hashlib.sha512(f"{key}\x1finitial".encode()).digest()[0] % 24
+    alphabets = [_LETTERS.upper(), _CYRILLIC.upper()]
+    return "".join(alphabets), "".join(a[turn:] + a[:turn] for a in alphabets)
+
 
+def bare_name(surface: Column) -> Column:
+    """A name without its title."""
+    return F.regexp_replace(surface, rf"^(?:{_TITLE})\.?\x20", "")
 
-def rendered(kind: Column, surface: Column, surrogate: Column, key: str) -> Column:
+
+def first_words(kind: Column, surface: Column) -> Column:
+    """The words of a name before its surname; of other kinds none."""
+    words = F.split(bare_name(surface), " ")
+    return F.when(kind == "name", F.slice(words, 1, F.size(words) - 1)).otherwise(F.array().cast("array<string>"))
+
+
+def is_made_up(word: Column) -> Column:
+    """Whether a name's word needs a made-up one: no particle, initial or common given name."""
+    common = [n.lower() for names in NAMES.values() for n in names]
+    return ~(word.isin(*_PARTICLES) | word.rlike(r"^\p{Lu}\.$") | F.lower(word).isin(*common))
+
+
+def rendered(kind: Column, surface: Column, surrogate: Column, made: Column, key: str) -> Column:
     """``surrogate`` written as ``surface`` is: its punctuation, case, title and country code, and
-    with a given name where it has one."""
+    with the words before a surname exchanged; ``made`` (a map) has those that are made up."""
     held = F.regexp_replace(surface, r"\D", "")
     code = F.when(kind == "phone", F.left(held, F.greatest(F.length(held) - 10, F.lit(0)))).otherwise("")
     number = F.concat(code, surrogate)
     step = lambda a, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(a["s"], F.substring(number, a["k"] + 1, F.lit(1))).alias("s"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k")))
     digits = F.aggregate(F.split(surface, ""), F.struct(F.lit("").alias("s"), F.lit(0).alias("k")), step, lambda a: a["s"])
     cased = _chars(surrogate, lambda c, i: F.when(F.substring(surface, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c))
-    title = F.regexp_extract(surface, rf"^((?:{_TITLE})\.?\x20)", 1)
-    bare = F.substring(surface, F.length(title) + 1, F.lit(1 << 20))
-    given = F.when((kind == "name") & (F.instr(bare, " ") > 0), F.concat(_given(F.substring_index(bare, " ", 1), key), F.lit(" "))).otherwise("")
+    bare = bare_name(surface)
+    title = F.left(surface, F.length(surface) - F.length(bare))
+    common = F.create_map(*[F.lit(x) for pair in _exchanged(key).items() for x in pair])
+    other = lambda w: F.coalesce(F.element_at(common, F.lower(w)), F.element_at(made, F.lower(w)))
+    word = lambda w: F.when(w.isin(*_PARTICLES), w).when(w.rlike(r"^\p{Lu}\.$"), F.translate(w, *_initials(key))).otherwise(F.initcap(other(w)))
     label = F.startswith(surrogate, F.lit("["))
-    whole = F.concat(given, surrogate)
-    name = F.concat(title, F.when(bare == F.upper(bare), F.upper(whole)).otherwise(F.initcap(whole)))
+    last = F.when(label, surrogate).otherwise(F.initcap(surrogate))
+    whole = F.array_join(F.concat(F.transform(first_words(kind, surface), word), F.array(last)), " ")
+    name = F.concat(title, F.when((bare == F.upper(bare)) & ~label, F.upper(whole)).otherwise(whole))
     # a label keeps apart what shares it
-    labelled = F.concat(F.when(code != "", F.concat(F.lit("+"), code, F.lit(" "))).otherwise(F.initcap(given)), surrogate)
-    return F.when(label, labelled).when(kind.isin("card", "phone", "ssn"), digits).when(kind == "name", name).otherwise(cased)
+    labelled = F.concat(F.when(code != "", F.concat(F.lit("+"), code, F.lit(" "))).otherwise(""), surrogate)
+    return F.when(kind == "name", name).when(label, labelled).when(kind.isin("card", "phone", "ssn"), digits).otherwise(cased)
 
 
 def surrogates(ws: Workspace, entities: DataFrame, key: str) -> DataFrame:
@@ -213,29 +256,49 @@ def surrogates(ws: Workspace, entities: DataFrame, key: str) -> DataFrame:
     raise RuntimeError("keyed labels collide, which 128 bits should prevent")
 
 
+def _alone(surname: Column) -> Column:
+    """A pattern of a surname on its own: letters, hyphens and apostrophes mean themselves."""
+    return F.concat(F.lit(r"(?<![\p{L}\p{M}])(?<!\p{L}['’\-])"), surname, F.lit(r"(?![\p{L}\p{M}]|-\p{L})"))
+
+
 def replace_entities(docs: DataFrame, key: str = DEMO_KEY, count: str = "n_entities") -> DataFrame:
     """``docs`` with text rewritten and a new column ``count``, the number of entities.
 
     Texts without entities, null and empty ones pass unchanged (0 entities) and are not shuffled.
-    Repeated rows, null ids and all other columns are kept; a column of that name is replaced.
+    Repeated rows, null ids and all other columns, of whatever names, are kept; a column named
+    ``count`` is replaced.
     """
-    ws = Workspace(docs.sparkSession, "pii")
+    ws = Workspace(docs.sparkSession, "pii", files_for(docs))
     docs = docs.drop(count)
-    found = docs.where(has_entity(F.col("text"))).withColumn("_found", F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)))
-    plain = docs.where(~has_entity(F.col("text"))).withColumn(count, F.lit(0))
+    others = [c for c in docs.columns if c != "text"]
+    text = F.col("text").cast("string")
+    plain = docs.where(~has_entity(text)).withColumn(count, F.lit(0))
+    # the caller's columns stay together, apart from the columns used here
+    whole = docs.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in others]).alias("row"), text.alias("text"))
+    found = whole.where(has_entity(F.col("text"))).withColumn("found", F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)))
     # a written table gives each row an address that every later read agrees on
-    rows = ws.stage(found, "rows").select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    met = rows.select("_file", "_row", F.posexplode("_found").alias("_at", "surface"))
-    kind = kind_of(F.col("surface"))
-    surfaces = met.select("surface").distinct().withColumn("kind", kind).withColumn("canon", canonical(F.col("kind"), F.col("surface")))
-    surfaces = ws.stage(surfaces, "surfaces")
-    given = surrogates(ws, surfaces.select("kind", "canon").distinct(), key)
-    spelled = ws.stage(surfaces.join(given, ["kind", "canon"]).select("surface", rendered(F.col("kind"), F.col("surface"), F.col("surrogate"), key).alias("new")), "spelled")
-    news = met.join(spelled, "surface").groupBy("_file", "_row").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "new"))), lambda x: x["new"]).alias("_new"))
+    rows = ws.stage(found, "rows").select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("line"))
+    met = rows.select("file", "line", F.posexplode("found").alias("at", "surface"))
+    kind, surface = F.col("kind"), F.col("surface")
+    surfaces = met.select("surface").distinct().withColumn("kind", kind_of(surface)).withColumn("canon", canonical(kind, surface))
+    surfaces = ws.stage(surfaces.withColumn("firsts", first_words(kind, surface)), "surfaces")
+    made = surfaces.select("surface", F.explode("firsts").alias("word")).where(is_made_up(F.col("word"))).select("surface", F.lit("given").alias("kind"), F.lower("word").alias("canon"))
+    new = surrogates(ws, surfaces.select("kind", "canon").unionByName(made.select("kind", "canon")).distinct(), key)
+    given = made.distinct().join(new, ["kind", "canon"]).groupBy("surface").agg(F.map_from_entries(F.collect_list(F.struct("canon", "surrogate"))).alias("made"))
+    nothing = F.create_map().cast("map<string,string>")
+    spelled = surfaces.drop("firsts").join(new, ["kind", "canon"]).join(given, "surface", "left").select("surface", "kind", rendered(kind, surface, F.col("surrogate"), F.coalesce("made", nothing), key).alias("new"))
+    last = lambda c: F.substring_index(c, " ", -1)
+    spelled = ws.stage(spelled.withColumn("surname", F.when(kind == "name", F.struct(last("surface").alias("old"), last("new").alias("new")))), "spelled")
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("at", "new"))), lambda x: x["new"])
+    news = met.join(spelled, "surface").groupBy("file", "line").agg(in_order.alias("new"), F.collect_set("surname").alias("surnames"))
+    # what lies between entities, where the same people's surnames may stand alone
     gaps = F.split("text", ENTITY, -1)
-    merged = F.concat(F.array_join(F.zip_with(F.slice("_gaps", 1, F.size("_new")), "_new", lambda g, n: F.concat(g, n)), ""), F.element_at("_gaps", -1))
-    hit = rows.join(news, ["_file", "_row"]).withColumn("_gaps", gaps).withColumn("text", merged).withColumn(count, F.size("_new"))
-    return plain.unionByName(hit.select(*plain.columns))
+    mentions = F.aggregate("surnames", F.lit(0), lambda n, s: n + F.aggregate("gaps", F.lit(0), lambda m, g: m + F.size(F.regexp_extract_all(g, _alone(s["old"]), F.lit(0)))))
+    followed = F.transform("gaps", lambda g: F.aggregate("surnames", g, lambda t, s: F.regexp_replace(t, _alone(s["old"]), s["new"])))
+    hit = rows.join(news, ["file", "line"]).withColumn("gaps", gaps).withColumn("mentions", mentions).withColumn("gaps", F.when(F.size("surnames") > 0, followed).otherwise(F.col("gaps")))
+    merged = F.concat(F.array_join(F.zip_with(F.slice("gaps", 1, F.size("new")), "new", lambda g, n: F.concat(g, n)), ""), F.element_at("gaps", -1))
+    back = [merged.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return plain.unionByName(hit.select(*back, (F.size("new") + F.col("mentions")).alias(count))).coalesce(files_for(docs))
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
