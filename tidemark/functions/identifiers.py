@@ -54,13 +54,22 @@ def relationships_valid(kind: Column | str, refs: Column | str) -> Column:
     return kind.isin(*RELATIONSHIPS) & (~kind.isin(*single) | (F.size(references(refs)) <= 1))
 
 
+def escaped(c: Column) -> Column:
+    """A JSON string's inside as the canonical form has it: short escapes where there are any, other
+    control characters by number, all else as it is."""
+    for plain, short in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\x08", "\\b"), ("\x0c", "\\f")):
+        c = F.replace(c, F.lit(plain), F.lit(short))
+    numbered = c
+    for code in sorted({*range(32)} - {8, 9, 10, 12, 13}):
+        numbered = F.replace(numbered, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    return F.when(c.rlike("[\\x00-\\x1f]"), numbered).otherwise(c)
+
+
 def protocol_event_id(author_hex: Column, claimed_at: Column, kind: Column, tags_json: Column, content: Column) -> Column:
     """SHA-256 of the canonical array [0, author, seconds, kind, tags, content]. ``tags_json`` is
     canonical JSON already; ``content`` is escaped here."""
-    quoted = F.concat(F.lit('"'), content, F.lit('"'))
-    for plain, escaped in (("\\\\", "\\\\\\\\"), ('(?<!^)"(?!$)', '\\\\"'), ("\n", "\\\\n"), ("\r", "\\\\r"), ("\t", "\\\\t"), ("\x08", "\\\\b"), ("\x0c", "\\\\f")):
-        quoted = F.regexp_replace(quoted, F.lit(plain), F.lit(escaped))
-    return F.sha2(F.concat(F.lit('[0,"'), author_hex, F.lit('",'), claimed_at.cast("string"), F.lit(","), kind.cast("string"), F.lit(","), tags_json, F.lit(","), quoted, F.lit("]")), 256)
+    parts = [F.lit('[0,"'), author_hex, F.lit('",'), claimed_at.cast("string"), F.lit(","), kind.cast("string"), F.lit(","), tags_json, F.lit(',"'), escaped(content), F.lit('"]')]
+    return F.sha2(F.concat(*parts), 256)
 
 
 def canonical(value) -> str:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranges import helper, islands
+from tidemark.operators.ranges import ranked as place_by
+
 
 def intersect(a: DataFrame, b: DataFrame, key: str = "row_ordinal") -> DataFrame:
     return a.select(key).distinct().join(b.select(key), key, "left_semi")
@@ -32,13 +35,9 @@ def cardinality(df: DataFrame, key: str = "row_ordinal") -> DataFrame:
 def runs(df: DataFrame, key: str = "row_ordinal", block: int = 1 << 20) -> DataFrame:
     """Maximal runs first..last of consecutive rows. Runs are built per block of rows and joined
     where blocks meet, so that no task orders all rows."""
-    marked = df.select(key).distinct().withColumn("_block", F.floor(F.col(key) / block))
-    island = F.col(key) - F.row_number().over(Window.partitionBy("_block").orderBy(key))
-    parts = marked.withColumn("_island", island).groupBy("_block", "_island").agg(F.min(key).alias("first"), F.max(key).alias("last"))
-    order = Window.orderBy("first")
-    starts = (F.col("first") > F.coalesce(F.lag("last").over(order), F.lit(-2)) + 1).cast("int")
-    joined = parts.withColumn("_start", starts).withColumn("_run", F.sum("_start").over(order))
-    return joined.groupBy("_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
+    points = df.select(F.col(key).alias("first")).distinct().withColumn("last", F.col("first"))
+    run = helper()
+    return islands(points, [], run, 1, block).groupBy(run).agg(F.min("first").alias("first"), F.max("last").alias("last")).drop(run)
 
 
 def ranked(df: DataFrame, flag: Column, by: str = "row_ordinal", block: int = 8192) -> DataFrame:
@@ -85,10 +84,9 @@ def string_bounds(c: str, width: int = 32) -> list[Column]:
 
 
 def global_dictionary(df: DataFrame, column: str) -> DataFrame:
-    """value, code: codes from 0 in byte order of the distinct values. A dictionary is small by
-    definition; a column with more values than fit a task has none."""
+    """value, code: codes from 0 in byte order of the distinct values, which are ordered by ranges."""
     values = df.select(F.col(column).alias("value")).where("value is not null").distinct()
-    return values.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
+    return place_by(values, ["value"], "code").withColumn("code", F.col("code") - 1)
 
 
 def encoded(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:

@@ -50,6 +50,7 @@ def latest_versions(events: DataFrame, corrections: DataFrame, located: DataFram
     mark = F.struct(*[F.col(c) for c in ("file_id", "row_ordinal") if c in events.columns] or [F.col("epoch"), F.col("sequence")])
     columns = [c for c in events.columns if c != "payload"]
     steps = newest.join(located.select("epoch", "sequence", F.struct(*[F.col(c) for c in columns]).alias("_next"), F.col("event_id").alias("_next_id"), variant.alias("_next_payload"), mark.alias("_next_row")), (F.col("correction_epoch") == F.col("epoch")) & (F.col("correction_sequence") == F.col("sequence")), "left").drop("epoch", "sequence")
+    steps = written(steps, "steps")  # read by every hop; a row for each correction, not for each event
     first = events.join(places, ["epoch", "sequence"], "left_anti")
     # most events have no correction: they pass as they are, and only the others are followed
     targets = newest.select(F.col("corrects_event_id").alias("event_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranges import before_in_block
 from tidemark.sources.shared import written
 
 
@@ -69,8 +70,8 @@ def unresolved(refs: DataFrame, events: DataFrame) -> DataFrame:
 def faults(events: DataFrame, edges: DataFrame) -> DataFrame:
     """subject, fault, sn of every breach: a gap in the sequence numbers, a parent that isn't
     earlier, an edge named twice, an edge of an unknown event."""
-    w = Window.partitionBy("subject").orderBy("sn")
-    gaps = events.withColumn("_last", F.lag("sn").over(w)).where("_last is not null and sn <> _last + 1").select("subject", F.lit("gap").alias("fault"), "sn")
+    marked, before = before_in_block(events.select("subject", "sn"), ["subject"], "sn")
+    gaps = marked.where(F.col("sn") != F.col(before) + 1).select("subject", F.lit("gap").alias("fault"), "sn")
     late = edges.where("parent_sn >= child_sn").select("subject", F.lit("parent not earlier").alias("fault"), F.col("child_sn").alias("sn"))
     twice = edges.groupBy("subject", "child_sn", "kind", "parent_sn").count().where("count > 1").select("subject", F.lit("edge repeated").alias("fault"), F.col("child_sn").alias("sn"))
     known = events.select("subject", F.col("sn").alias("child_sn"))

@@ -11,31 +11,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What an index of each kind can answer, and whether exactly.
+#: What an index of each kind that is built here can answer, and whether exactly.
 EQUALITY, MEMBERSHIP, RANGE = "equality", "membership", "range"
 _POINT = {EQUALITY, MEMBERSHIP}
 INDEX_KINDS = {
     "min_max": ({EQUALITY, RANGE}, True),
     "sequence_range": ({RANGE}, True),
     "time_range": ({RANGE}, True),
-    "learned_position": ({RANGE}, True),
     "range_filter": ({RANGE}, False),
     "split_block_bloom_filter": (_POINT, False),
-    "binary_fuse_filter": (_POINT, False),
-    "ribbon_filter": (_POINT, False),
-    "entity_hash_filter": (_POINT, False),
-    "account_hash_filter": (_POINT, False),
-    "opportunity_hash_filter": (_POINT, False),
-    "context_locator": (_POINT, False),
     "text_token": (_POINT, False),
     "path_presence": ({EQUALITY}, False),
 }
 LOW_CARDINALITY, HIGH_RATIO = 256, 10
+#: Granules that a scan is given as a list.
+MOST_LISTED = 1000
 
 
 def choose_index(shape: str, available: list[str]) -> str | None:
     """The first index that answers the shape, an exact one before inexact ones."""
-    fit = [k for k in available if shape in INDEX_KINDS[k][0]]
+    fit = [k for k in available if shape in INDEX_KINDS.get(k, ((), False))[0]]
     return next((k for k in fit if INDEX_KINDS[k][1]), fit[0] if fit else None)
 
 
@@ -112,6 +107,10 @@ def clause_filter(clauses: list[tuple]) -> Column:
 
 
 def pruned_scan(df: DataFrame, stats: DataFrame, clauses: list[tuple], by: str = "granule_id") -> DataFrame:
-    """The rows that satisfy all clauses, from kept granules alone; equals the plain filter."""
+    """The rows that satisfy all clauses, from kept granules alone; equals the plain filter. A short
+    list of granules becomes a filter of the scan, which then skips row groups and pages; a long one
+    is joined."""
     kept = evaluate(stats, clauses).where("keep").select(by)
-    return df.where(clause_filter(clauses)).join(kept, by, "left_semi")
+    ids = [r[0] for r in kept.limit(MOST_LISTED + 1).collect()]
+    rows = df.where(clause_filter(clauses))
+    return rows.where(F.col(by).isin(ids)) if len(ids) <= MOST_LISTED else rows.join(kept, by, "left_semi")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import vectors
 
 OVERSAMPLE, NORM_TOLERANCE = 10, 1e-3
+#: Share of a segment that the second stage scores at least.
+COARSE_SHARE = 0.2
 
 
 def row_filter(rooms: list | None = None, senders: list | None = None, time: tuple[int, int] | None = None) -> Column:
@@ -27,12 +29,12 @@ def top_k(rows: DataFrame, score: Column, k: int, row: str = "row") -> DataFrame
     return rows.withColumn("score", score).orderBy(F.col("score").desc(), row).limit(k)
 
 
-def search(rows: DataFrame, query: list[float], k: int, where: Column | None = None, model: str | None = None, metric: str = "cosine", oversample: int = OVERSAMPLE, coarse: str | None = None) -> DataFrame:
+def search(rows: DataFrame, query: list[float], k: int, where: Column | None = None, model: str | None = None, metric: str = "cosine", oversample: int = OVERSAMPLE, coarse: str | None = None, share: float = COARSE_SHARE) -> DataFrame:
     """segment, row, event_id, score of the k best rows, by score, then segment, then row.
 
-    With a ``coarse`` column (1-bit forms) each segment's best k * oversample rows by shared bits
-    are scored exactly; the cut per segment happens before rows are shuffled. Rows of another
-    model are an error, not a miss.
+    With a ``coarse`` column (1-bit forms) each segment's best rows by shared bits are scored
+    exactly: k * oversample of them, or ``share`` of the segment where that is more, so that recall
+    doesn't fall as segments grow. Rows of another model are an error, not a miss.
     """
     if model is not None:
         same = F.when(F.col("model") == model, True).otherwise(F.raise_error(F.lit("a segment has vectors of another model")).cast("boolean"))
@@ -43,7 +45,8 @@ def search(rows: DataFrame, query: list[float], k: int, where: Column | None = N
     if coarse is not None:
         rows = rows.withColumn("_coarse", vectors.hamming(F.col(coarse), vectors.quantize_u1(q)))
         best = Window.partitionBy("segment").orderBy(F.col("_coarse").desc(), "row")
-        rows = rows.withColumn("_nth", F.row_number().over(best)).where(F.col("_nth") <= k * max(oversample, 1))
+        size = F.count("*").over(Window.partitionBy("segment"))
+        rows = rows.withColumn("_size", size).withColumn("_nth", F.row_number().over(best)).where(F.col("_nth") <= F.greatest(F.lit(k * max(oversample, 1)), F.ceil(F.col("_size") * share)))
     scored = rows.select("segment", "row", "event_id", vectors.SCORES[metric](F.col("embedding"), q).alias("score"))
     return scored.orderBy(F.col("score").desc(), "segment", "row").limit(k)
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.journal import GRANULE_ROWS
 
+#: Writer options that end row groups and pages with granules, so that a scan skips what its filters
+#: rule out by their statistics.
+GRANULES = {"parquet.block.row.count.limit": str(GRANULE_ROWS), "parquet.page.row.count.limit": str(GRANULE_ROWS)}
 #: Profiles and what a file of each must obey.
 PROFILES = ("event", "graph", "snapshot", "audit", "log", "inbox", "time_series")
 
@@ -81,14 +84,15 @@ def sorted_by(df: DataFrame, order: list[str], column: str) -> bool:
     w = Window.partitionBy("_part").orderBy(*order)
     fell = part.withColumn("_falls", F.col(column) < F.lag(column).over(w))
     ends = fell.groupBy("_part").agg(F.max(F.coalesce("_falls", F.lit(False))).alias("falls"), F.min(column).alias("low"), F.max(column).alias("high"), F.min(F.struct(*order)).alias("at")).orderBy("at").collect()
-    return not any(r["falls"] for r in ends) and all(a["high"] <= b["low"] for a, b in zip(ends, ends[1:]))
+    held = [r for r in ends if r["high"] is not None]  # a part may hold nulls only
+    return not any(r["falls"] for r in ends) and all(a["high"] <= b["low"] for a, b in zip(held, held[1:]))
 
 
 def write_events(df: DataFrame, path: str, profile: str = "event", order: tuple[str, ...] = ("epoch", "sequence"), files: int | None = None, rows_per_file: int = 0, **checks) -> None:
     """Rows in (epoch, sequence) order, over all files; a repeated write replaces, never adds."""
     n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = checked(df, profile, **checks).repartitionByRange(n, *order).sortWithinPartitions(*order)
-    out.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).option("compression", "zstd").parquet(path)
+    out.write.mode("overwrite").options(maxRecordsPerFile=rows_per_file, compression="zstd", **GRANULES).parquet(path)
 
 
 #: Other sort orders of the same rows.

@@ -23,23 +23,11 @@ _REQUIRED = {
 }
 _NULLABLE = {"entity_id", "actor_id", "account_id"}
 ENVELOPE = T.StructType([T.StructField(n, {"string": T.StringType(), "long": T.LongType()}[t], n in _NULLABLE) for n, t in _REQUIRED.items()])
-#: Columns that only internal callers may read: points, hashes, references, raw bytes and row places.
+# Columns that only internal callers may read: points, hashes, references, raw bytes and row places.
 INTERNAL = [
     "epoch", "sequence", "entity_id_hash_low", "entity_id_hash_high", "payload_ref", "actor_id_hash_low", "account_id_hash_low", "trace_id_hash_low", "dedupe_hash_low", "dedupe_hash_high", "payload_flags",
     "parent_ref", "root_ref", "linked_refs", "related_refs", "prev_refs", "auth_refs", "raw_payload", "row_ordinal", "granule_id",
 ]
-#: Column families. Those of tier A are known when a file is written and lie in it; those of tier B
-#: come from models later and lie in a sibling file.
-FAMILIES_A = [
-    "event_envelope", "source_type_entity", "safe_retry_and_ingest_mode", "classification_labels", "freetext_columns", "embedding_columns_internal", "revenue_metric_columns",
-    "prepared_view_lineage_columns", "chat_investigation_context_columns", "signed_event_provenance", "relationship_references",
-]
-FAMILIES_B = ["cluster_columns", "revenue_anomaly_columns", "driver_and_cause_columns"]
-INTERNAL_FAMILIES = ["embedding_columns_internal", "safe_retry_and_ingest_mode", "classification_labels", "relationship_references"]
-#: Optional columns, there only if rows carry them.
-PROVENANCE = ["author_pubkey", "signature", "signature_scheme", "protocol_event_id", "protocol_kind", "claimed_at"]
-RELATIONSHIPS = ["parent_ref", "root_ref", "linked_refs", "related_refs", "prev_refs", "auth_refs"]
-SOURCE_FORM = ["matrix_room_version", "signer_signatures", "raw_payload", "external_id"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

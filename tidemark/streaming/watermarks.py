@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranges import before_in_block, helper, islands
 
-def merged_ranges(ranges: DataFrame, by: tuple[str, ...] = ("epoch",)) -> DataFrame:
-    """by, first, last: overlapping and adjacent ranges joined. Ranges are metadata, one per frame
-    or file; an epoch's are ordered together."""
-    w = Window.partitionBy(*by).orderBy("first", "last")
-    reach = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = ranges.select(*by, "first", "last").withColumn("_new", (F.coalesce(F.col("first") > reach + 1, F.lit(True))).cast("int")).withColumn("_run", F.sum("_new").over(w))
-    return marked.groupBy(*by, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
+
+def merged_ranges(ranges: DataFrame, by: tuple[str, ...] = ("epoch",), block: int = 1 << 20) -> DataFrame:
+    """by, first, last: overlapping and adjacent ranges joined. Ranges are ordered in blocks of
+    ``block`` numbers, whatever their size; only blocks are ordered along an epoch."""
+    run = helper()
+    marked = islands(ranges.select(*by, "first", "last"), list(by), run, 1, block)
+    return marked.groupBy(*by, run).agg(F.min("first").alias("first"), F.max("last").alias("last")).drop(run)
 
 
 def commit_watermark(ranges: DataFrame, by: tuple[str, ...] = ("epoch",), start: int = 1) -> DataFrame:
@@ -23,19 +24,18 @@ def commit_watermark(ranges: DataFrame, by: tuple[str, ...] = ("epoch",), start:
 
 
 def watermark_of_rows(rows: DataFrame, by: tuple[str, ...] = ("epoch",), start: int = 1, block: int = 1 << 16) -> DataFrame:
-    """The same from single rows: they become ranges by block first, so no task orders them all."""
-    marked = rows.select(*by, "sequence").distinct().withColumn("_block", F.floor(F.col("sequence") / block))
-    island = F.col("sequence") - F.row_number().over(Window.partitionBy(*by, "_block").orderBy("sequence"))
-    parts = marked.withColumn("_island", island).groupBy(*by, "_block", "_island").agg(F.min("sequence").alias("first"), F.max("sequence").alias("last"))
-    return commit_watermark(parts, by, start)
+    """The same from single rows."""
+    points = rows.select(*by, F.col("sequence").alias("first")).distinct().withColumn("last", F.col("first"))
+    return commit_watermark(merged_ranges(points, by, block), by, start)
 
 
 def voids(ranges: DataFrame, sealed: DataFrame, start: int = 1) -> DataFrame:
     """epoch, first, last of the gaps that sealing an epoch turns into void coverage: all between
     its start and its last durable sequence. Then that is the watermark."""
     runs = merged_ranges(ranges.join(sealed.select("epoch"), "epoch", "left_semi"))
-    before = F.coalesce(F.lag("last").over(Window.partitionBy("epoch").orderBy("first")), F.lit(start - 1))
-    return runs.withColumn("_before", before).where("first > _before + 1").select("epoch", (F.col("_before") + 1).alias("first"), (F.col("first") - 1).alias("last"))
+    marked, before = before_in_block(runs, ["epoch"], "first", "last")
+    low = F.coalesce(F.col(before), F.lit(start - 1))
+    return marked.where(F.col("first") > low + 1).select("epoch", (low + 1).alias("first"), (F.col("first") - 1).alias("last"))
 
 
 def covers(ranges: DataFrame, asked: DataFrame) -> DataFrame:
@@ -62,29 +62,47 @@ def kept_segments(segments: DataFrame, files: DataFrame) -> DataFrame:
     return s.join(f, F.expr("s.tenant_id = f.tenant_id and s.epoch = f.epoch and f.first <= s.first and f.last >= s.last"), "left_anti")
 
 
-def arbitrated(frames: DataFrame) -> DataFrame:
+def live_read(segments: DataFrame, ranges: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ready, wait) for ``asked`` (epoch, first, last): where ``ranges`` cover an asked range whole,
+    the overlay segments (epoch, first, last, ...) that it touches, each with asked_first and
+    asked_last; the asked ranges that aren't covered must be waited for."""
+    judged = covers(ranges, asked)
+    keys = judged.where("covered").select(F.col("epoch").alias("asked_epoch"), F.col("first").alias("asked_first"), F.col("last").alias("asked_last"))
+    touched = segments.join(keys, (F.col("epoch") == F.col("asked_epoch")) & (F.col("first") <= F.col("asked_last")) & (F.col("last") >= F.col("asked_first")))
+    return touched.drop("asked_epoch"), judged.where("not covered").drop("covered")
+
+
+def arbitrated(frames: DataFrame, block: int = 1 << 20) -> DataFrame:
     """The frames (position, tenant_id, epoch, first, last, ...) that replay accepts: in durable
     order, one that overlaps any accepted frame of its tenant and epoch is rejected whole. A frame's
-    fate hangs on earlier ones' fates, so frames, which are metadata, are settled one tenant and
-    epoch at a time."""
+    fate hangs on those of frames that it is chained to by overlaps: such clusters are settled one
+    by one, and a frame that overlaps none is accepted without."""
     from bisect import bisect_right
 
     import pandas as pd
 
+    run, size = helper(), helper()
+    by = ["tenant_id", "epoch"]
+    marked = islands(frames, by, run, 0, block)
+    sizes = marked.groupBy(*by, run).agg(F.count("*").alias(size))
+    marked = marked.join(sizes, [*by, run])
+
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         firsts: list[int] = []
         lasts: list[int] = []
         keep = []
-        for first, last in zip(*(pdf.sort_values("position")[c] for c in ("first", "last"))):
+        ordered = pdf.sort_values("position")
+        for first, last in zip(ordered["first"], ordered["last"]):
             i = bisect_right(firsts, last)
             ok = i == 0 or lasts[i - 1] < first
             if ok:
                 firsts.insert(i, first)
                 lasts.insert(i, last)
             keep.append(ok)
-        return pdf.sort_values("position")[keep]
+        return ordered[keep].drop(columns=run)
 
-    return frames.groupBy("tenant_id", "epoch").applyInPandas(settle, frames.schema)
+    contested = marked.where(F.col(size) > 1).select(*frames.columns, run).groupBy(*by, run).applyInPandas(settle, frames.schema)
+    return marked.where(F.col(size) == 1).select(*frames.columns).unionByName(contested)
 
 
 def expired_leases(leases: DataFrame, now: int) -> DataFrame:
