@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import classes, ingest_queries, operator_queries  # noqa: F401  registers them
+from tidemark.plans import classes, further_queries, ingest_queries, operator_queries  # noqa: F401  registers them
 from tidemark.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

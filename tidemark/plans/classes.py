@@ -9,7 +9,7 @@ from tidemark.functions import payload, predicates, text, times, vectors
 from tidemark.operators import aggregates, rollup, scan, timeline, vector_search
 from tidemark.plans import derived as d
 from tidemark.plans.registry import query
-from tidemark.sources.journal import journal, table
+from tidemark.sources.journal import GRANULE_ROWS, journal, table
 
 MONEY = "CAST(value AS DECIMAL(18,2))"
 HOUR = 3600 * 10**9
@@ -59,14 +59,14 @@ def q07(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q08_metadata_revenue", d.with_sql() + f" SELECT event_type, sum({MONEY})::DOUBLE AS revenue, count(*) AS n FROM j GROUP BY 1")
 def q08(spark: SparkSession, sf: str) -> DataFrame:
-    per_granule = journal(spark, sf).groupBy("granule_id", "event_type").agg(F.sum(money()).alias("s"), F.count("*").alias("c"))
-    return per_granule.groupBy("event_type").agg(F.sum("s").cast("double").alias("revenue"), F.sum("c").alias("n"))
+    """From the stored sums of granules: no event is read."""
+    return d.stored_revenue(spark, sf, GRANULE_ROWS).groupBy("event_type").agg(F.sum("s").cast("double").alias("revenue"), F.sum("c").alias("n"))
 
 
 @query("q09_prepared_revenue", d.with_sql() + f" SELECT count(value) AS count, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max FROM j WHERE occurred_at >= {d.YEAR + 90 * 10**9} AND occurred_at < {d.YEAR + 20 * d.DAY + 12345}")
 def q09(spark: SparkSession, sf: str) -> DataFrame:
-    rows = journal(spark, sf)
-    rolled = rollup.rollup(rows, ["value"], HOUR)
+    """Whole hours from the stored rollup, the two cut hours from the stored events."""
+    rows, rolled = d.stored_events(spark, sf, GRANULE_ROWS), d.stored_rollup(spark, sf, HOUR)
     return rollup.range_aggregate(rows, rolled, "value", d.YEAR + 90 * 10**9, d.YEAR + 20 * d.DAY + 12345, HOUR).withColumn("sum", F.round("sum", 4))
 
 

@@ -6,7 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import pruning, rollup
+from tidemark.sources.files import GRANULES
 from tidemark.sources.journal import JOURNAL_SQL, journal
+from tidemark.sources.prepared import prepared
 
 DAY = 86_400 * 10**9
 #: 2024-01-01 in nanoseconds.
@@ -92,3 +95,28 @@ def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 def of_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal(spark, sf_dir)
+
+
+def stored_events(spark: SparkSession, sf_dir: str, granule_rows: int) -> DataFrame:
+    """The journal as files in (epoch, sequence) order, whose row groups and pages are granules."""
+    rows = journal(spark, sf_dir, granule_rows)
+    options = {k: str(granule_rows) for k in GRANULES}
+    return prepared(spark, f"{sf_dir}/events.parquet", f"events-{granule_rows}", lambda: rows.repartitionByRange("epoch", "sequence").sortWithinPartitions("epoch", "sequence"), **options)
+
+
+def stored_stats(spark: SparkSession, sf_dir: str, granule_rows: int) -> DataFrame:
+    """One row per granule: row_count and the spans of the columns that queries prune by."""
+    make = lambda: pruning.granule_stats(stored_events(spark, sf_dir, granule_rows), ["sequence", "occurred_at", "event_type", "entity_id"]).coalesce(1)
+    return prepared(spark, f"{sf_dir}/events.parquet", f"stats-{granule_rows}", make)
+
+
+def stored_rollup(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
+    """Summaries of ``value`` per bucket of ``width``."""
+    return prepared(spark, f"{sf_dir}/events.parquet", f"rollup-{width}", lambda: rollup.rollup(journal(spark, sf_dir), ["value"], width).coalesce(1))
+
+
+def stored_revenue(spark: SparkSession, sf_dir: str, granule_rows: int) -> DataFrame:
+    """Exact sums and counts of ``value`` per granule and event type."""
+    rows = journal(spark, sf_dir, granule_rows)
+    make = lambda: rows.groupBy("granule_id", "event_type").agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("s"), F.count("*").alias("c")).coalesce(1)
+    return prepared(spark, f"{sf_dir}/events.parquet", f"revenue-{granule_rows}", make)

@@ -21,6 +21,14 @@ def _folder(spark: SparkSession) -> str:
     return shared.folder(spark, "queries")
 
 
+@query("s08_live_overlay_segments", J + " SELECT event_id, 401::BIGINT AS asked_first FROM j WHERE sequence BETWEEN 401 AND 500")
+def s08b(spark, sf):
+    """The segments that a live read gets: those of 401..500, which are there whole; 501..600 waits."""
+    segments = journal(spark, sf).where("sequence <> 550").select("epoch", F.col("sequence").alias("first"), F.col("sequence").alias("last"), "event_id")
+    asked = spark.createDataFrame([(1, 401, 500), (1, 501, 600)], "epoch long, first long, last long")
+    return watermarks.live_read(segments, segments, asked)[0].select("event_id", "asked_first")
+
+
 @query("s08_live_overlay_read", J + " SELECT 1::BIGINT AS epoch, 501::BIGINT AS first, 600::BIGINT AS last")
 def s08(spark, sf):
     """Which asked ranges a live read must wait for: 401..500 is durable, 501..600 has a hole."""
@@ -116,11 +124,13 @@ def p05(spark, sf):
     return journal(spark, sf).select("event_id", payload.nested(v, ["a", 1, "k"], "bigint").alias("k"), payload.nested(v, ["a", "k"]).alias("wrong"))
 
 
-@query("c01_json_numbers", J + " SELECT event_id, 'int' AS whole, 'double' AS fraction, 'decimal' AS large FROM j WHERE event_id < 50")
+@query("c01_json_numbers", J + " SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'double' WHEN event_id % 3 = 1 THEN 'int' ELSE 'decimal' END AS kind FROM j")
 def c01(spark, sf):
     v = lambda text: payload.kind_of(payload.nested(payload.parse(text), ["x"], "variant"))
-    n = F.col("event_id").cast("string")
-    return journal(spark, sf).where("event_id < 50").select("event_id", v(F.concat(F.lit('{"x": '), n, F.lit("}"))).alias("whole"), v(F.concat(F.lit('{"x": '), n, F.lit(".50}"))).alias("fraction"), v(F.concat(F.lit('{"x": 99999999999999999'), n, F.lit("0000}"))).alias("large"))
+    """Whole numbers, numbers with a fraction, and such as no 64 bits hold, side by side in a column."""
+    n, third = F.col("event_id").cast("string"), F.col("event_id") % 3
+    number = F.when(third == 0, F.concat(n, F.lit(".50"))).when(third == 1, n).otherwise(F.concat(F.lit("99999999999999999"), n, F.lit("0000")))
+    return journal(spark, sf).select("event_id", v(F.concat(F.lit('{"x": '), number, F.lit("}"))).alias("kind"))
 
 
 @query("c04_collect_keys", J + " SELECT 'k' AS key UNION ALL SELECT 'outer' UNION ALL SELECT 'list'")
@@ -153,15 +163,27 @@ def c19b(spark, sf):
     return v.select("vec_id", F.size(F.filter("x", lambda x: x > 0)).cast("long").alias("ups"))
 
 
-@query("a05_distinct_of_parts")
+@query("a05_distinct_of_parts", J + " SELECT 'user_id' AS part, true AS merged, true AS whole UNION ALL SELECT 'event_id', true, true")
 def a05(spark, sf):
-    """A mergeable estimate: sketches per granule, merged."""
-    return aggregates.merged_distinct(aggregates.distinct_sketch(journal(spark, sf, 256), "user_id", ["granule_id"]))
-
-
-@query("a15_quantiles")
+    """Sketches per granule, merged, and one sketch of all rows: both estimates lie within four
+    standard errors of the exact number."""
+    rows, out = journal(spark, sf, 256), None
+    near = lambda c: F.abs(F.col(c) - F.col("exact")) <= 4 * aggregates.HLL_ERROR * F.col("exact")
+    for c in ("user_id", "event_id"):
+        merged = aggregates.merged_distinct(aggregates.distinct_sketch(rows, c, ["granule_id"]))
+        whole = aggregates.merged_distinct(aggregates.distinct_sketch(rows, c, [])).withColumnRenamed("distinct", "whole")
+        exact = rows.agg(F.count_distinct(c).alias("exact"))
+        one = merged.join(whole).join(exact).select(F.lit(c).alias("part"), near("distinct").alias("merged"), near("whole").alias("whole"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("a15_quantiles", J + " SELECT event_type, 0.1::DOUBLE AS fraction, quantile_disc(value, 0.1) AS quantile FROM j GROUP BY 1 UNION ALL SELECT event_type, 0.5, quantile_disc(value, 0.5) FROM j GROUP BY 1 UNION ALL SELECT event_type, 0.9, quantile_disc(value, 0.9) FROM j GROUP BY 1")
 def a15(spark, sf):
-    return aggregates.quantiles(journal(spark, sf), "value", [0.1, 0.5, 0.9], ["event_type"])
+    """Exact where a group has fewer rows than the sketch's accuracy, 10,000; near it beyond."""
+    found = aggregates.quantiles(journal(spark, sf), "value", [0.1, 0.5, 0.9], ["event_type"])
+    at = F.explode(F.arrays_zip(F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)).alias("fraction"), F.col("quantiles").alias("quantile"))).alias("x")
+    return found.select("event_type", at).select("event_type", F.col("x.fraction").alias("fraction"), F.col("x.quantile").alias("quantile"))
 
 
 @query("a15_frequent_values", J + " SELECT event_type AS item, count(*) AS count FROM j GROUP BY 1 ORDER BY 2 DESC LIMIT 2")

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import identifiers, payload, predicates, text, times, vectors
 from tidemark.functions.predicates import Bound
-from tidemark.operators import aggregates, audit, bitmaps, corrections, graph, inbox, lifecycle, pruning, relations, rollup, scan, security, state, timeline, vector_search
+from tidemark.operators import aggregates, audit, bitmaps, corrections, graph, inbox, lifecycle, pruning, ranges, relations, rollup, scan, security, state, timeline, vector_search
 from tidemark.plans import derived as d
 from tidemark.plans.classes import HOUR, money
 from tidemark.plans.registry import query
 from tidemark.sources import files, manifest
-from tidemark.sources.journal import journal, table
+from tidemark.sources.journal import GRANULE_ROWS, journal, table
 from tidemark.streaming import watermarks
 
 J = d.with_sql()
@@ -61,10 +61,7 @@ def s15(spark, sf):
 
 @query("s13_entity_projection", J + " SELECT entity_id, epoch, sequence, row_number() OVER (ORDER BY entity_id, epoch, sequence) AS place FROM j")
 def s13(spark, sf):
-    rows = _j(spark, sf).select("entity_id", "epoch", "sequence")
-    part = Window.partitionBy("entity_id").orderBy("epoch", "sequence")
-    sizes = rows.groupBy("entity_id").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("entity_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.withColumn("_nth", F.row_number().over(part)).join(sizes, "entity_id").select("entity_id", "epoch", "sequence", (F.col("_before") + F.col("_nth")).alias("place"))
+    return ranges.ranked(_j(spark, sf).select("entity_id", "epoch", "sequence"), ["entity_id", "epoch", "sequence"], "place")
 
 
 @query("s18_snapshot_get", J + " SELECT entity_id, arg_max(payload, sequence) AS payload FROM j WHERE entity_id = 'user-5' GROUP BY 1")
@@ -193,14 +190,13 @@ def f11b(spark, sf):
 
 @query("f12_granules_by_sequence", d.with_sql(G_SQL) + " SELECT granule_id FROM g GROUP BY 1 HAVING min(sequence) <= 700 AND max(sequence) >= 300")
 def f12(spark, sf):
-    stats = pruning.granule_stats(_g(spark, sf), ["sequence"])
-    return pruning.evaluate(stats, [("sequence", "range", 300, 700)]).where("keep").select("granule_id")
+    """From stored statistics alone."""
+    return pruning.evaluate(d.stored_stats(spark, sf, ROWS), [("sequence", "range", 300, 700)]).where("keep").select("granule_id")
 
 
 @query("f12_granules_by_time", d.with_sql(G_SQL) + f" SELECT granule_id FROM g GROUP BY 1 HAVING min(occurred_at) <= {d.YEAR + 9 * d.DAY} AND max(occurred_at) >= {d.YEAR + 4 * d.DAY}")
 def f12b(spark, sf):
-    stats = pruning.granule_stats(_g(spark, sf), ["occurred_at"])
-    return pruning.evaluate(stats, [("occurred_at", "range", d.YEAR + 4 * d.DAY, d.YEAR + 9 * d.DAY)]).where("keep").select("granule_id")
+    return pruning.evaluate(d.stored_stats(spark, sf, ROWS), [("occurred_at", "range", d.YEAR + 4 * d.DAY, d.YEAR + 9 * d.DAY)]).where("keep").select("granule_id")
 
 
 @query("f14_metadata_answers", d.with_sql(G_SQL) + " SELECT granule_id, CASE WHEN granule_id % 3 = 0 THEN 'NoRowsMatch' WHEN granule_id % 3 = 1 THEN 'AllRowsMatch' ELSE 'MustDecode' END AS answer FROM g GROUP BY 1")
@@ -369,8 +365,8 @@ def a11(spark, sf):
 
 @query("a12_aggregate_shortcut", J + f" SELECT count(value) AS count, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max FROM j WHERE occurred_at >= {d.YEAR + d.DAY} AND occurred_at < {d.YEAR + 8 * d.DAY}")
 def a12(spark, sf):
-    rows = _j(spark, sf)
-    return rollup.answer(rows, rollup.rollup(rows, ["value"], HOUR), "value", d.YEAR + d.DAY, d.YEAR + 8 * d.DAY, HOUR).withColumn("sum", F.round("sum", 4))
+    """Whole buckets: the stored rollup alone."""
+    return rollup.answer(d.stored_events(spark, sf, GRANULE_ROWS), d.stored_rollup(spark, sf, HOUR), "value", d.YEAR + d.DAY, d.YEAR + 8 * d.DAY, HOUR).withColumn("sum", F.round("sum", 4))
 
 
 @query("a14_aggregate_law", d.with_sql(d.NEWEST_SQL, d.DELETES_SQL) + " SELECT event_type, count(*) AS n, sum(CAST(value AS DECIMAL(18,2)))::DOUBLE AS total FROM n WHERE event_id % 10 = 9 OR event_id NOT IN (SELECT row_ordinal FROM d) GROUP BY 1")
@@ -533,7 +529,29 @@ def c21(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", vectors.quantize_u1("embedding").alias("b")).select("vec_id", F.round(vectors.estimated_dot(q, "b"), 5).alias("estimate"))
 
 
-@query("v01_two_stage_search")
+_EXACT_SQL = """SELECT segment, row, event_id, round(score, 5) AS score FROM (SELECT vec_id % 3 AS segment, vec_id AS row, vec_id::VARCHAR AS event_id, list_dot_product(embedding::DOUBLE[], q.e) AS score
+  FROM embeddings, (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, segment, row LIMIT 10)"""
+
+
+@query("v01_two_stage_recall", "SELECT count(*) AS asked, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def v01b(spark, sf):
+    """Of the ten best rows of every row whose id is divisible by 20, those that the two stages find,
+    against the exact search: at least 0.9 of them."""
+    rows = d.vectors(spark, sf).withColumn("bits", vectors.quantize_u1("embedding"))
+    asked = [list(r[0]) for r in rows.where("row % 20 = 0").select("embedding").collect()]
+    found = None
+    for i, q in enumerate(asked):
+        two = vector_search.search(rows, q, 10, coarse="bits", metric="dot").select(F.lit(i).alias("q"), "row")
+        found = two if found is None else found.unionByName(two)
+    exact = None
+    for i, q in enumerate(asked):
+        one = vector_search.search(rows, q, 10, metric="dot").select(F.lit(i).alias("q"), "row")
+        exact = one if exact is None else exact.unionByName(one)
+    n = exact.count()
+    return exact.join(found, ["q", "row"], "left_semi").agg(F.lit(len(asked)).cast("long").alias("asked"), (F.count("*") >= 0.9 * n).alias("enough"))
+
+
+@query("v01_two_stage_search", _EXACT_SQL)
 def v01(spark, sf):
     rows = d.vectors(spark, sf).withColumn("bits", vectors.quantize_u1("embedding"))
     return vector_search.search(rows, d.first_vector(spark, sf), 10, coarse="bits", metric="dot").withColumn("score", F.round("score", 5))
@@ -704,22 +722,27 @@ def t07(spark, sf):
     return watermarks.kept_segments(segments, covering).select("first", "last")
 
 
-@query("t08_replay_arbitration")
+_ARBITRATION = """f AS (SELECT event_id AS position, entity_id AS tenant_id, epoch, event_id * 7 % 100 AS first, event_id * 7 % 100 + event_id % 6 AS last, row_number() OVER (PARTITION BY entity_id ORDER BY event_id) AS nth FROM j),
+s AS (SELECT tenant_id, 0::BIGINT AS nth, [{'a': 0::BIGINT, 'b': 0::BIGINT}][1:0] AS held FROM f GROUP BY 1
+  UNION ALL SELECT f.tenant_id, f.nth, CASE WHEN len(list_filter(s.held, lambda x: x.a <= f.last AND x.b >= f.first)) = 0 THEN list_append(s.held, {'a': f.first, 'b': f.last}) ELSE s.held END FROM s JOIN f ON f.tenant_id = s.tenant_id AND f.nth = s.nth + 1)"""
+
+
+@query("t08_replay_arbitration", d.with_sql(_ARBITRATION).replace("WITH ", "WITH RECURSIVE ", 1) + " SELECT f.position, f.tenant_id, f.epoch, f.first, f.last FROM f JOIN s a ON a.tenant_id = f.tenant_id AND a.nth = f.nth - 1 JOIN s b ON b.tenant_id = f.tenant_id AND b.nth = f.nth WHERE len(b.held) > len(a.held)")
 def t08(spark, sf):
-    frames = _j(spark, sf).select(F.col("event_id").alias("position"), F.lit("t").alias("tenant_id"), "epoch", (F.col("user_id") * 40 + F.pmod(F.col("event_id") * 7, F.lit(40))).alias("first")).withColumn("last", F.col("first") + F.col("position") % 6)
+    frames = _j(spark, sf).select(F.col("event_id").alias("position"), F.col("entity_id").alias("tenant_id"), "epoch", (F.col("event_id") * 7 % 100).alias("first")).withColumn("last", F.col("first") + F.col("position") % 6)
     return watermarks.arbitrated(frames)
 
 
 @query("x02_pruned_scan", J + " SELECT event_id FROM j WHERE event_type IN ('click', 'error') AND sequence BETWEEN 300 AND 620 AND value >= 3.5")
 def x02(spark, sf):
-    rows = _g(spark, sf)
+    """Stored statistics pick the granules; the scan of the stored events is given them as a filter."""
     clauses = [("event_type", "in", ["click", "error"], None), ("sequence", "range", 300, 620), ("value", "range", 3.5, None)]
-    return pruning.pruned_scan(rows, pruning.granule_stats(rows, ["event_type", "sequence"]), clauses).select("event_id")
+    return pruning.pruned_scan(d.stored_events(spark, sf, ROWS), d.stored_stats(spark, sf, ROWS), clauses).select("event_id")
 
 
 @query("x02_pruning_decisions", d.with_sql(G_SQL) + " SELECT granule_id, NOT (max(sequence) < 300 OR min(sequence) > 620) AS keep, true AS residual_required FROM g GROUP BY 1")
 def x02b(spark, sf):
-    return pruning.evaluate(pruning.granule_stats(_g(spark, sf), ["sequence"]), [("sequence", "range", 300, 620), ("value", "eq", 1.0, None)]).select("granule_id", "keep", "residual_required")
+    return pruning.evaluate(d.stored_stats(spark, sf, ROWS), [("sequence", "range", 300, 620), ("value", "eq", 1.0, None)]).select("granule_id", "keep", "residual_required")
 
 
 @query("x04_file_pruning", d.with_sql(MANIFEST_SQL) + f" SELECT file_id FROM m WHERE min_time <= {d.YEAR + 9 * d.DAY} AND max_time >= {d.YEAR + 2 * d.DAY} AND first_sequence <= 800 AND last_sequence >= 100")

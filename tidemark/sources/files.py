@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.protobuf import Field, json_of
 from tidemark.sources.journal import GRANULE_ROWS
 
 #: Writer options that end row groups and pages with granules, so that a scan skips what its filters
@@ -34,11 +35,10 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content", F.sha2("content", 256).alias("digest"))
 
 
-def read_protobuf(df: DataFrame, column: str, message: str, descriptor: bytes) -> DataFrame:
-    """Protobuf payloads as variants by field name; needs the spark-protobuf package on the class path."""
-    from pyspark.sql.protobuf.functions import from_protobuf
-
-    return df.withColumn("payload", F.to_variant_object(from_protobuf(column, message, binaryDescriptorSet=descriptor)))
+def read_protobuf(df: DataFrame, column: str, fields: dict[int, Field]) -> DataFrame:
+    """Protobuf messages as variant payloads by field name: enums by name (or number, if unknown),
+    timestamps in nanoseconds. Malformed messages have a null payload."""
+    return df.withColumn("payload", F.try_parse_json(json_of(fields)(column)))
 
 
 def verify_external(df: DataFrame, content: str = "content", digest: str = "digest") -> DataFrame:
@@ -56,6 +56,8 @@ def checked(df: DataFrame, profile: str = "event", bucket_width: int | None = No
         raise ValueError("the bucket width must be positive")
     if len(set(df.columns)) < len(df.columns):
         raise ValueError("a column is named twice")
+    if missing := [c for c in {"snapshot": ["entity_id"], "inbox": ["recipient", "row_ordinal"], "time_series": ["occurred_at"]}.get(profile, []) if c not in df.columns]:
+        raise ValueError(f"a {profile} file needs {', '.join(missing)}")
     tests = {"a file needs a row": F.count("*") == 0}
     if profile == "snapshot":
         tests["a snapshot has one epoch"] = F.min("epoch") < F.max("epoch")
@@ -67,6 +69,8 @@ def checked(df: DataFrame, profile: str = "event", bucket_width: int | None = No
     twice = df.groupBy("epoch", "sequence").count().where("count > 1")
     if not twice.isEmpty():
         raise ValueError("two rows have the same epoch and sequence")
+    if profile == "inbox" and not sorted_by(df, ["row_ordinal"], "recipient"):
+        raise ValueError("an inbox file is in recipient order")
     if profile == "time_series" and not sorted_by(df, ["epoch", "sequence"], "occurred_at"):
         raise ValueError("occurred_at goes back")
     return df
