@@ -173,3 +173,10 @@ def test_row_groups_end_with_granules(spark, tmp_path):
 def test_a_column_of_nulls_is_sorted(spark):
     df = spark.range(100).selectExpr("id as a", "cast(if(id < 50, null, id) as long) as b", "cast(null as long) as c")
     assert files.sorted_by(df, ["a"], "b") and files.sorted_by(df, ["a"], "c") and not files.sorted_by(df.selectExpr("-a as a", "b"), ["a"], "b")
+
+
+def test_trigrams_are_code_points(spark):
+    texts = ["", "ab", "abc", "añb🙂cd\n x", None, "x" * 50_000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(text.trigrams("t")).collect()]
+    assert got == [None if t is None else [t[i : i + 3] for i in range(len(t) - 2)] for t in texts]

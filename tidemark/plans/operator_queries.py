@@ -751,7 +751,11 @@ def x04(spark, sf):
     return spans.where(manifest.keeps_file((d.YEAR + 2 * d.DAY, d.YEAR + 9 * d.DAY), (100, 800))).select("file_id")
 
 
-@query("x09_compaction_plan")
+_COMPACTION = """s AS (SELECT granule_id AS file_id, granule_id // 7 AS run, count(*) * (1 + granule_id % 4) AS size FROM g WHERE granule_id % 7 <> 6 GROUP BY granule_id),
+r AS (SELECT run, sum(size) AS total, dense_rank() OVER (ORDER BY run) - 1 AS job FROM s GROUP BY run HAVING count(*) > 1 AND sum(size) >= 2 * max(size))"""
+
+
+@query("x09_compaction_plan", d.with_sql(G_SQL, _COMPACTION) + " SELECT r.job::INTEGER AS job, s.file_id, r.total::BIGINT AS expected_bytes FROM s JOIN r ON r.run = s.run WHERE r.job < 4")
 def x09(spark, sf):
     jobs = lifecycle.plan_compaction(_manifest(spark, sf).withColumn("tenant_id", F.lit("t1")), "t1")
     return spark.createDataFrame([(i, f, s) for i, (ids, s) in enumerate(jobs) for f in ids], "job int, file_id long, expected_bytes long")
