@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.times import bucket
 from tidemark.operators.ranges import helper, ranked
 from tidemark.sources.shared import written
 
@@ -95,7 +96,7 @@ class Publisher:
         if n:
             out = numbered(ready, base, epoch=self.epoch)
             rows = self.roll.rows or max(1, self.roll.target * n // max(_size(ready), 1))
-            out = out.withColumn("roll_window", F.floor(F.col("occurred_at") / self.roll.window))
+            out = out.withColumn("roll_window", bucket("occurred_at", self.roll.window))
             out = out.repartitionByRange("roll_window", "sequence").sortWithinPartitions("roll_window", "epoch", "sequence")
             out.write.mode("overwrite").option("maxRecordsPerFile", rows).partitionBy("roll_window").parquet(f"{self.path}/events/{folder}")
             ready.select(*DEDUPE).write.mode("overwrite").parquet(f"{self.path}/keys/{folder}")
