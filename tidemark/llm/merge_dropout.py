@@ -1,27 +1,23 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and lossless decoding.
 
 A word's candidate merges stand on an agenda by score, then by place; each may be skipped, as a
-keyed hash of the seed, the document, the word's place in it, the word and the candidate's borders
-decides. A skipped candidate never comes back, but its characters can still join in other merges.
-With no dropout the ids are the library's. Words of a batch go through their agendas in lockstep, as
-array operations; longer ones go through an agenda of their own, in parts between characters that no
-piece of the vocabulary has side by side.
-
-Every occurrence of a word is cut by its own skips. What is remembered is a tree of runs: a word's
-run with nothing skipped and, below it, runs with given candidates skipped, each with all it put on
-the agenda. An occurrence goes down by its own skips until its run puts nothing up that it skips,
-which is then the run that its skips give.
+keyed hash of the seed, the document, the word's place in it and the candidate's borders decides. A
+skipped candidate never comes back, but its characters can still join in other merges. With no
+dropout the ids are the library's.
+
+Every occurrence of a word goes through an agenda of its own. Words of equal length go in lockstep,
+one merge each at a time, as array operations: a row of arrays holds what all words have at one
+place, and a merge moves what follows it up by one row. Longer words go through agendas one by one,
+in parts between characters that no piece of the vocabulary has side by side.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +30,14 @@ from tidemark.llm.workspace import short_batches, slices
 
 _U = np.uint64
 SPACE = "▁"
-#: Words, the line ends between them, and runs of spaces before them.
-WORD = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+").findall
-#: Runs that a worker remembers at once.
-RUNS_KEPT = 300_000
-#: Symbols of the longest word that goes through in lockstep with others.
-LOCKSTEP = 64
+#: Symbols of the longest word that goes through in lockstep with others, and words that do at once.
+LOCKSTEP, ROWS = 64, 8192
 DROPOUT, SEED = 0.1, 1
+#: No candidate.
+NONE = 1 << 30
+#: What a candidate's borders are multiplied by in its hash.
+AT, MIDDLE, END = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+_MASK = (1 << 64) - 1
 
 
 def default_path() -> str:
@@ -49,13 +46,10 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def placed(at, middle, end) -> np.ndarray:
-    """Hashes of candidates' borders, whatever the length of the word."""
+def hashed(salt, at, middle, end) -> np.ndarray:
+    """The hash that decides on candidates by their borders within the word, whatever its length."""
     at, middle, end = (np.asarray(x).astype(_U) for x in (at, middle, end))
-    return mix(mix(mix(at) + middle) + end)
-
-
-_MASK = (1 << 64) - 1
+    return mix(salt + at * _U(AT) + middle * _U(MIDDLE) + end * _U(END))
 
 
 def _mix(x: int) -> int:
@@ -65,18 +59,39 @@ def _mix(x: int) -> int:
     return x ^ (x >> 31)
 
 
-class _Column:
-    """A numpy array that grows."""
-
-    def __init__(self, dtype):
-        self.all, self.n = np.empty(1 << 12, dtype), 0
-
-    def add(self, values) -> None:
-        end = self.n + len(values)
-        if end > len(self.all):
-            self.all = np.resize(self.all, max(end, 2 * len(self.all)))
-        self.all[self.n : end] = values
-        self.n = end
+class Pairs:
+    """Values of pairs of symbols, in a table of open addresses."""
+
+    def __init__(self, joins: dict[int, int]):
+        self.bits = max(4, (4 * len(joins)).bit_length())
+        self.mask = (1 << self.bits) - 1
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        slots = self._slots(np.array(list(joins), np.int64)).tolist() if joins else []
+        for (key, value), slot in zip(joins.items(), slots):
+            while self.keys[slot] >= 0:
+                slot = slot + 1 & self.mask
+            self.keys[slot], self.values[slot] = key, value
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(_U) * _U(AT)) >> _U(64 - self.bits)).view(np.int64)
+
+    def get(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The value of each pair, or -1. Negative symbols are in none."""
+        keys = left.astype(np.int64) << 32 | right
+        keys[(left < 0) | (right < 0)] = -2
+        slots = self._slots(keys)
+        found = self.keys[slots]
+        out = np.where(found == keys, self.values[slots], np.int32(-1))
+        places = np.flatnonzero((found != keys) & (found >= 0))  # another pair is there: look on
+        slots, keys = slots[places], keys[places]
+        while len(places):
+            slots = (slots + 1) & self.mask
+            found = self.keys[slots]
+            hit = found == keys
+            out[places[hit]] = self.values[slots[hit]]
+            on = ~hit & (found >= 0)
+            places, slots, keys = places[on], slots[on], keys[on]
+        return out
 
 
 class Segmenter:
@@ -91,249 +106,196 @@ class Segmenter:
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.chars = {p: i for p, i in ids.items() if len(p) == 1}
         self.scores = np.array([sp.get_score(i) for i in range(n)])
-        joins = sorted((ids[a] << 32 | ids[b], i) for i in plain for k in range(1, len(self.pieces[i])) if (a := self.pieces[i][:k]) in ids and (b := self.pieces[i][k:]) in ids)
-        self.join_keys = np.array([j[0] for j in joins], np.int64)
-        self.join_ids = np.array([j[1] for j in joins], np.int64)
-        self.joins = {k: i for k, i in joins}
-        self.pairs = {p[k : k + 2] for i in plain for p in (self.pieces[i],) for k in range(len(p) - 1)}
         # pieces by falling score, equal ones alike
-        self.rank = np.unique(-self.scores, return_inverse=True)[1].tolist()
-        self.kind = "H" if n <= 1 << 16 else "I"
+        self.rank = np.unique(-self.scores, return_inverse=True)[1].astype(np.int32)
+        self.ranks = self.rank.tolist()
+        self.joins = {ids[a] << 32 | ids[b]: i for i in plain for k in range(1, len(self.pieces[i])) if (a := self.pieces[i][:k]) in ids and (b := self.pieces[i][k:]) in ids}
+        self.lookup = Pairs(self.joins)
+        self.pairs = {p[k : k + 2] for i in plain for p in (self.pieces[i],) for k in range(len(p) - 1)}
+        # the symbol of each character; one without piece is a negative number of its own
+        self.symbols = -2 - np.arange(0x110000, dtype=np.int32)
+        self.symbols[[ord(c) for c in self.chars]] = list(self.chars.values())
         self.width = np.dtype(f"<u{2 if n <= 1 << 16 else 4}")
         self.skip_below = _U(min(int(dropout * 2**64), 2**64 - 1)) if dropout > 0 else None
         self.key = _U(int.from_bytes(hashlib.blake2b(f"{seed}".encode(), digest_size=8).digest(), "little"))
-        self._forget()
-        self.mark = array(self.kind, [self.byte_ids[b] for b in SPACE.encode()]).tobytes()
+        self.mark = [self.byte_ids[b] for b in SPACE.encode()]
         # text of each id for decoding; byte pieces are told apart
         self.texts = [p.replace(SPACE, " ") for p in self.pieces]
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
 
-    def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The piece that two adjacent symbols make, or -1. Negative symbols are none."""
-        keys = left << 32 | right
-        at = np.minimum(np.searchsorted(self.join_keys, keys), len(self.join_keys) - 1)
-        return np.where((left >= 0) & (right >= 0) & (self.join_keys[at] == keys), self.join_ids[at], -1)
-
-    def _variant_key(self, variant: int) -> np.ndarray:
-        return mix(np.array([self.key]) + np.asarray(variant, _U))
-
-    def _agenda(self, words: list[str], variant, dropped: np.ndarray | None = None, offers: list | None = None) -> list[bytes]:
-        """Segment words of at most about equal length in lockstep, under one variant or one each.
-        With ``dropped`` (rising, row << 21 | place of 3 x 7 bits) just those candidates are skipped,
-        and ``offers`` takes rows, places and hashed places of all others."""
-        width = max(map(len, words))
-        n = len(words)
-        codes = np.full((n, width), -1, np.int64)  # -1: no symbol; -2: a character without piece
-        get = self.chars.get
-        for r, w in enumerate(words):
-            codes[r, : len(w)] = [get(c, -2) for c in w]
-        salt = np.array([zlib.crc32(w.encode()) | len(w) << 32 for w in words], _U)
-        salt = mix(salt ^ self._variant_key(variant))
-        follow = np.tile(np.arange(1, width + 1), (n, 1))  # the next symbol's place
-        before = np.tile(np.arange(-1, width - 1), (n, 1))
-        score = np.full((n, width), -np.inf)
-        into = np.full((n, width), -1, np.int64)
-
-        def offer(rows: np.ndarray, at: np.ndarray) -> None:
-            """Put the pair that starts at ``at`` on the agenda of its row, unless it is skipped."""
-            middle = follow[rows, at]
-            ok = (at >= 0) & (middle < width)
-            rows, at, middle = rows[ok], at[ok], middle[ok]
-            made = self._joined(codes[rows, at], codes[rows, middle])
-            found = made >= 0
-            if dropped is not None:
-                end = follow[rows, middle]
-                near = rows << 21 | at << 14 | middle << 7 | end
-                if len(dropped):
-                    found &= dropped[np.minimum(np.searchsorted(dropped, near), len(dropped) - 1)] != near
-                offers.append((rows[found], near[found] & (1 << 21) - 1, placed(at[found], middle[found], end[found])))
-            elif self.skip_below is not None:
-                end = follow[rows, middle]
-                found &= mix(salt[rows] ^ placed(at, middle, end)) >= self.skip_below
-            score[rows, at] = np.where(found, self.scores[made], -np.inf)
-            into[rows, at] = made
-
-        for j in range(width - 1):
-            offer(np.arange(n), np.full(n, j))
-        rows = np.arange(n)
-        while len(rows):
-            at = score[rows].argmax(axis=1)  # ties: the leftmost
-            alive = score[rows, at] > -np.inf
-            rows, at = rows[alive], at[alive]
-            if not len(rows):
+    def salts(self, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """What keys the skips of words: their documents' keys and places."""
+        return mix(mix(keys.astype(_U) + self.key) + places.astype(_U))
+
+    def _candidates(self, left, right, salt, at, middle, end) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces that pairs make and their ranks; NONE for a pair that makes none or is skipped."""
+        made = self.lookup.get(left, right)
+        ranks = self.rank[made]  # any rank where made is -1
+        gone = made < 0
+        if self.skip_below is not None:
+            gone |= hashed(salt, at, middle, end) < self.skip_below
+        ranks[gone] = NONE
+        return made, ranks
+
+    def _lockstep(self, codes: np.ndarray, salt: np.ndarray, put) -> None:
+        """Merge words of equal length, one in each column of ``codes``, and ``put`` (columns, symbols)
+        of those that are done."""
+        m, n = codes.shape
+        columns = np.arange(n)
+        symbols = codes
+        start = np.repeat(np.arange(m + 1, dtype=np.int16)[:, None], n, axis=1)
+        made, ranks = np.empty((max(m - 1, 0), n), np.int32), np.empty((max(m - 1, 0), n), np.int32)
+        for j in range(m - 1):
+            made[j], ranks[j] = self._candidates(symbols[j], symbols[j + 1], salt, start[j], start[j + 1], start[j + 2])
+        while m > 1 and n:
+            # the first of the best
+            best, at = ranks[0].copy(), np.zeros(n, np.int64)
+            for j in range(1, m - 1):
+                at[ranks[j] < best] = j
+                np.minimum(best, ranks[j], out=best)
+            alive = best < NONE
+            if not alive.all():
+                put(columns[~alive], symbols[:, ~alive])
+                columns, salt, at = columns[alive], salt[alive], at[alive]
+                symbols, start, made, ranks = (x[:, alive] for x in (symbols, start, made, ranks))
+                n = len(columns)
+                if not n:
+                    return
+            here = np.arange(n)
+            piece = made[at, here]
+            m -= 1
+            later = np.arange(m)[:, None] > at
+            symbols = np.where(later, symbols[1:], symbols[:-1])
+            symbols[at, here] = piece
+            start = np.concatenate([np.where(later, start[1:-1], start[:-2]), start[-1:]])
+            if m == 1:
                 break
-            right = follow[rows, at]
-            codes[rows, at] = into[rows, at]
-            codes[rows, right] = -1
-            score[rows, right] = -np.inf
-            after = follow[rows, right]
-            follow[rows, at] = after
-            inside = after < width
-            before[rows[inside], after[inside]] = at[inside]
-            offer_at = np.concatenate([at, before[rows, at]])
-            score[rows, at] = -np.inf
-            left = before[rows, at]
-            score[rows[left >= 0], left[left >= 0]] = -np.inf
-            both = np.concatenate([rows, rows])
-            keep = offer_at >= 0
-            offer(both[keep], offer_at[keep])
-        out = []
-        kind, odd = self.kind, (codes == -2).any(axis=1)
-        live = codes != -1
-        flat, ends = codes[live].astype(np.int64), np.cumsum(live.sum(axis=1))
-        packed, size = flat.astype(self.width).tobytes(), self.width.itemsize
-        start = 0
-        for r, end in enumerate(ends.tolist()):
-            if odd[r]:
-                places = np.flatnonzero(live[r])
-                ids: list[int] = []
-                for j, code in zip(places.tolist(), flat[start:end].tolist()):
-                    ids += [self.byte_ids[b] for b in words[r][j].encode()] if code == -2 else [code]
-                out.append(array(kind, ids).tobytes())
-            else:
-                out.append(packed[size * start : size * end])
-            start = end
-        return out
-
-    def _long(self, word: str, variant: int) -> bytes:
-        """One long word by agendas of its parts, with the same order and skips as in lockstep."""
-        pairs, out = self.pairs, array(self.kind)
-        salt = int(mix(np.array([zlib.crc32(word.encode()) | len(word) << 32], _U) ^ self._variant_key(variant))[0])
+            later = later[: m - 1]
+            made, ranks = (np.where(later, x[1:], x[:-1]) for x in (made, ranks))
+            # the merged symbol's pairs with the one before and the one after
+            a, b = np.flatnonzero(at > 0), np.flatnonzero(at < m - 1)
+            row, column = np.concatenate([at[a] - 1, at[b]]), np.concatenate([a, b])
+            got = self._candidates(symbols[row, column], symbols[row + 1, column], salt[column], start[row, column], start[row + 1, column], start[row + 2, column])
+            made[row, column], ranks[row, column] = got
+        put(columns, symbols)
+
+    def _long(self, word: str, salt: int) -> list[int]:
+        """The symbols of one long word by agendas of its parts, with the same order and skips."""
+        out: list[int] = []
         start = 0
         for stop in range(1, len(word) + 1):
-            if stop == len(word) or word[stop - 1 : stop + 1] not in pairs:
-                self._part(word, start, stop, salt, out)
+            if stop == len(word) or word[stop - 1 : stop + 1] not in self.pairs:
+                out += self._part(word, start, stop, int(salt))
                 start = stop
-        return out.tobytes()
+        return out
 
-    def _part(self, word: str, start: int, stop: int, salt: int, out: array) -> None:
-        """Put the ids of word[start:stop] out. The agenda is a heap of rank and place in one number;
-        an entry whose candidate has changed since is passed over."""
+    def _part(self, word: str, start: int, stop: int, salt: int) -> list[int]:
+        """The agenda is a heap of rank and place in one number; an entry whose candidate has changed
+        since is passed over."""
         import heapq
 
-        codes = [self.chars.get(c, -2) for c in word[start:stop]]
-        n, joins, rank = len(codes), self.joins, self.rank
-        if n > 1:
-            follow, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
-            made = array("q", [joins.get(a << 32 | b, -1) if a >= 0 and b >= 0 else -1 for a, b in zip(codes, codes[1:])] + [-1])
-            below = None if self.skip_below is None else int(self.skip_below)
-            if below is not None:
-                at = np.arange(n, dtype=np.int64)
-                skipped = mix(_U(salt) ^ placed(at + start, at + start + 1, at + start + 2)) < self.skip_below
-                np.frombuffer(made, np.int64)[skipped] = -1
-            heap = [rank[m] * n + at for at, m in enumerate(made) if m >= 0]
-            heapq.heapify(heap)
-            while heap:
-                r, at = divmod(heapq.heappop(heap), n)
-                m = made[at]
-                if m < 0 or rank[m] != r:
+        codes = [self.chars.get(c, -2 - ord(c)) for c in word[start:stop]]
+        n, joins = len(codes), self.joins
+        if n == 1:
+            return codes
+        follow, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        made = array("q", [joins.get(a << 32 | b, -1) if a >= 0 and b >= 0 else -1 for a, b in zip(codes, codes[1:])] + [-1])
+        below = None if self.skip_below is None else int(self.skip_below)
+        if below is not None:
+            at = np.arange(start, start + n, dtype=np.int64)
+            np.frombuffer(made, np.int64)[hashed(_U(salt), at, at + 1, at + 2) < self.skip_below] = -1
+        rank = self.ranks
+        heap = [rank[m] * n + at for at, m in enumerate(made) if m >= 0]
+        heapq.heapify(heap)
+        while heap:
+            r, at = divmod(heapq.heappop(heap), n)
+            m = made[at]
+            if m < 0 or rank[m] != r:
+                continue
+            middle = follow[at]
+            end = follow[middle]
+            codes[at], codes[middle], made[middle] = m, -1, -1
+            follow[at] = end
+            if end < n:
+                before[end] = at
+            for at in (at, before[at]):
+                if at < 0:
                     continue
                 middle = follow[at]
-                end = follow[middle]
-                codes[at], codes[middle], made[middle] = m, -1, -1
-                follow[at] = end
-                if end < n:
-                    before[end] = at
-                for at in (at, before[at]):
-                    if at < 0:
-                        continue
-                    middle = follow[at]
-                    m = joins.get(codes[at] << 32 | codes[middle], -1) if middle < n and codes[at] >= 0 and codes[middle] >= 0 else -1
-                    if m >= 0 and below is not None and _mix(salt ^ _mix(_mix(_mix(at + start) + middle + start & _MASK) + follow[middle] + start & _MASK)) < below:
-                        m = -1
-                    made[at] = m
-                    if m >= 0:
-                        heapq.heappush(heap, rank[m] * n + at)
-        for c, code in zip(word[start:stop], codes):
-            if code >= 0:
-                out.append(code)
-            elif code == -2:
-                out.extend(self.byte_ids[b] for b in c.encode())
-
-    def _forget(self) -> None:
-        self.roots: dict[str, int] = {}
-        self.below: dict[tuple[int, int], int] = {}  # by run and the set bits of what is skipped of its candidates
-        self.runs: list[tuple[str, tuple[int, ...], bytes]] = []  # word, places skipped, ids
-        self.salts, self.first, self.count = _Column(_U), _Column(np.int64), _Column(np.int64)
-        self.places, self.hashed = _Column(np.int32), _Column(_U)
-
-    def _learn(self, wanted: list[tuple[str, tuple[int, ...]]]) -> list[int]:
-        """The numbers of new runs of words without given candidates."""
-        numbers, order, start = [0] * len(wanted), sorted(range(len(wanted)), key=lambda i: len(wanted[i][0])), 0
-        while start < len(order):
-            size = len(wanted[order[start]][0])
-            top, stop = min(size + 1 + size // 8, LOCKSTEP), start
-            while stop < len(order) and stop - start < 8192 and len(wanted[order[stop]][0]) <= top:
-                stop += 1
-            part = [wanted[i] for i in order[start:stop]]
-            dropped = np.array(sorted(r << 21 | p for r, (_, skips) in enumerate(part) for p in skips), np.int64)
-            offers: list = []
-            made = self._agenda([w for w, _ in part], 0, dropped, offers)
-            rows, places, hashed = (np.concatenate(x) for x in zip(*offers)) if offers else (np.empty(0, np.int64),) * 3
-            by_row = np.argsort(rows, kind="stable")
-            count = np.bincount(rows, minlength=len(part))
-            self.first.add(self.places.n + np.cumsum(count) - count)
-            self.count.add(count)
-            self.places.add(places[by_row])
-            self.hashed.add(hashed[by_row])
-            self.salts.add([zlib.crc32(w.encode()) | len(w) << 32 for w, _ in part])
-            for i, (w, skips), ids in zip(order[start:stop], part, made):
-                numbers[i] = len(self.runs)
-                self.runs.append((w, skips, ids))
-            start = stop
-        return numbers
-
-    def _segment(self, words: list[str], variants: np.ndarray) -> list[bytes]:
-        """Ids of each occurrence of a word, under a variant of its own."""
-        if len(self.runs) > RUNS_KEPT:
-            self._forget()
-        long = {i for i, w in enumerate(words) if len(w) > LOCKSTEP}
-        fresh = list({w for w in words if len(w) <= LOCKSTEP}.difference(self.roots))
-        self.roots.update(zip(fresh, self._learn([(w, ()) for w in fresh])))
-        run = np.array([self.roots.get(w, -1) for w in words], np.int64)
-        live = np.flatnonzero(run >= 0) if self.skip_below is not None else np.empty(0, np.int64)
-        salt = np.zeros(len(words), _U)
-        salt[live] = mix(self.salts.all[run[live]] ^ self._variant_key(variants[live]))
-        alone: list[int] = []  # with more candidates than bits
-        while len(live):
-            at = run[live]
-            count = self.count.all[at]
-            owner = np.repeat(np.arange(len(live)), count)
-            nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            skipped = np.flatnonzero(mix(salt[live][owner] ^ self.hashed.all[self.first.all[at][owner] + nth]) < self.skip_below)
-            bits = np.zeros(len(live), _U)
-            np.bitwise_or.at(bits, owner[skipped], _U(1) << (nth[skipped] & 63).astype(_U))
-            wide = (bits != 0) & (count > 64)
-            alone += live[wide].tolist()
-            moves = (bits != 0) & ~wide
-            live = live[moves]
-            keys = list(zip(at[moves].tolist(), bits[moves].tolist()))
-            unmet = list(set(keys).difference(self.below))
-            self.below.update(zip(unmet, self._learn([self._without(*key) for key in unmet])))
-            run[live] = list(map(self.below.__getitem__, keys))
-        out = [self.runs[r][2] if r >= 0 else b"" for r in run.tolist()]
-        for i in alone:
-            out[i] = self._agenda([words[i]], variants[i])[0]
-        for i in long:
-            out[i] = self._long(words[i], variants[i])
-        return out
-
-    def _without(self, run: int, bits: int) -> tuple[str, tuple[int, ...]]:
-        """A run's word, and what it skips together with those of its candidates."""
-        word, skips, _ = self.runs[run]
-        places = self.places.all[self.first.all[run] :]
-        return word, (*skips, *(int(places[i]) for i in range(bits.bit_length()) if bits >> i & 1))
+                m = joins.get(codes[at] << 32 | codes[middle], -1) if middle < n and codes[at] >= 0 and codes[middle] >= 0 else -1
+                if m >= 0 and below is not None and _mix(salt + (at + start) * AT + (middle + start) * MIDDLE + (follow[middle] + start) * END & _MASK) < below:
+                    m = -1
+                made[at] = m
+                if m >= 0:
+                    heapq.heappush(heap, rank[m] * n + at)
+        return [c for c in codes if c != -1]
+
+    def segment(self, text: str, firsts: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words of ``text`` that begin at ``firsts``, one after another, and how many each
+        has."""
+        codes = self.symbols[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+        sizes = np.diff(firsts, append=len(codes))
+        counts, done = np.zeros(len(firsts), np.int64), []
+        order = np.argsort(sizes, kind="stable")
+        edges = np.searchsorted(sizes[order], np.arange(LOCKSTEP + 2))
+        for size in range(1, LOCKSTEP + 1):
+            for at in range(edges[size], edges[size + 1], ROWS):
+                words = order[at : min(at + ROWS, edges[size + 1])]
+
+                def put(columns: np.ndarray, symbols: np.ndarray, words=words) -> None:
+                    counts[words[columns]] = len(symbols)
+                    done.append((words[columns], symbols))
+
+                self._lockstep(codes[firsts[words] + np.arange(size)[:, None]], salts[words], put)
+        for w in order[edges[LOCKSTEP + 1] :].tolist():
+            symbols = np.array(self._long(text[firsts[w] : firsts[w] + sizes[w]], salts[w]), np.int32)
+            counts[w] = len(symbols)
+            done.append((np.array([w]), symbols[:, None]))
+        offsets = np.cumsum(counts) - counts
+        flat = np.empty(int(counts.sum()), np.int32)
+        for words, symbols in done:
+            flat[offsets[words] + np.arange(len(symbols))[:, None]] = symbols
+        odd = np.flatnonzero(flat < 0)
+        if len(odd):  # characters without piece become their bytes
+            data = [chr(-2 - c).encode("utf-8", "surrogatepass") for c in flat[odd].tolist()]
+            times = np.ones(len(flat), np.int64)
+            times[odd] = [len(b) for b in data]
+            owner = np.repeat(np.arange(len(counts)), counts)
+            counts = np.bincount(np.repeat(owner, times), minlength=len(counts)).astype(np.int64)
+            flat = np.repeat(flat, times)
+            flat[flat < 0] = [self.byte_ids[b] for bs in data for b in bs]
+        return flat, counts
 
     def encode(self, texts: list[str], keys: list[int]) -> list[bytes]:
         """Ids, of type ``width``, of each text under its key. An empty text has none."""
         # a literal word mark is kept apart and written as bytes, so that decoding tells it from a space
-        parts = [[WORD(p) for p in self._marked(t)] for t in texts]
-        words = [w for ps in parts for p in ps for w in p]
-        sizes = np.array([sum(map(len, ps)) for ps in parts], np.int64)
-        places = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        variants = mix(np.repeat(mix(np.array(keys, _U)), sizes) + places.astype(_U))
-        ids = iter(self._segment(words, variants))
-        return [self.mark.join([b"".join(islice(ids, len(p))) for p in ps]) for ps in parts]
+        parts = [self._marked(t) for t in texts]
+        flat = [p for ps in parts for p in ps]
+        text = "".join(flat)
+        if not text:
+            return [b""] * len(texts)
+        owner = np.repeat(np.arange(len(texts)), [len(ps) for ps in parts])
+        stops = np.cumsum([len(p) for p in flat])
+        # words begin at parts, at and after line ends, and where spaces begin
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        space, line = code == ord(SPACE), code == 10
+        begins = line | space
+        begins[1:] = line[1:] | line[:-1] | (space[1:] & ~space[:-1])
+        begins[0] = True
+        begins[stops[:-1][stops[:-1] < len(code)]] = True
+        firsts = np.flatnonzero(begins)
+        part = np.searchsorted(stops, firsts, side="right")
+        of = owner[part]
+        places = np.arange(len(firsts)) - np.searchsorted(of, np.arange(len(texts)))[of]
+        ids, counts = self.segment(text, firsts, self.salts(np.array(keys, _U)[of], places))
+        ends = np.cumsum(np.bincount(part, weights=counts, minlength=len(flat))).astype(np.int64)
+        data, size = ids.astype(self.width).tobytes(), self.width.itemsize
+        pieces = [data[size * a : size * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        mark, out, at = np.array(self.mark, self.width).tobytes(), [], 0
+        for ps in parts:
+            out.append(mark.join(pieces[at : at + len(ps)]))
+            at += len(ps)
+        return out
 
     @staticmethod
     def _marked(text: str) -> list[str]:
