@@ -112,11 +112,12 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, coordinates:
     groups = rows.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     texts = rows.join(groups, "component").groupBy("doc_id", "digest", (place == F.col("first")).alias("stays")).agg(F.count("*").alias("n"))
     fates = ws.stage(texts.where("not stays or n > 1").select("doc_id", "digest", "stays"), "fates")
+    few = fates.count() <= SENT_IDS  # then whole rows needn't be shuffled
     # helper columns of names that no input has
     doc_id, digest, stays = (f"_{uuid.uuid4().hex}" for _ in range(3))
     fates = fates.toDF(doc_id, digest, stays)
     text_digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    met = docs.join(fates, F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id)) & (text_digest == F.col(digest)), "left")
+    met = docs.join(F.broadcast(fates) if few else fates, F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id)) & (text_digest == F.col(digest)), "left")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     alone = met.where(F.col(stays).isNull()).select(*columns)
     if fates.where(stays).isEmpty():
@@ -142,7 +143,9 @@ def labelled(ws: Workspace, docs: DataFrame, words: int, percent: int, coordinat
 
 
 def class_components(ws: Workspace, docs: DataFrame, classes: DataFrame, words: int, percent: int, coordinates: int) -> DataFrame:
-    """node, component of all linked classes (id, doc, key, n, signature), exactly."""
+    """node, component of all linked classes (id, doc, key, n, signature), exactly. Classes have a
+    shingle at least; doc may be null, and several classes may share one. No classes, or none that
+    are linked, give no rows."""
     need = matches_needed(coordinates, percent)
     token = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(0xFFFFFFFF))
     posted = classes.select("id", F.posexplode("signature").alias("at", "value")).select("id", token.alias("token"))
@@ -217,7 +220,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def prefix_pairs(ws: Workspace, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b of different labels that can be similar enough, by prefixes of whole sets.
+    """a, b of different labels that can be similar enough, by prefixes of whole sets. An id has one
+    row; empty sets are in no pair, and no sets give none.
 
     ``sets``: id, label, shingles. With shingles in order of rising frequency, sets x and y with
     |y| <= |x| that share o >= p/(100+p) * (|x|+|y|) elements share one at places i, j with

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.token_ids import default_path, encoder, spans_of
+from tidemark.llm.token_ids import WORDS_KEPT, default_path, encoder, spans_of
 from tidemark.llm.workspace import Workspace, short_batches, slices
 
 CAPACITY = 1024
@@ -155,9 +155,9 @@ def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int
     return done + [g for gs in groups.values() for g in gs]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, part and nth and, if asked for, ids (little-endian
-    uint32 bytes). ``part`` is the task that cut the piece, ``nth`` how many of its length it had
+def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True, words_kept: int = WORDS_KEPT) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (of ids of 32 bits), part and nth and, if asked for,
+    ids (little-endian, 16 bits each if the vocabulary fits, else 32). ``part`` is the task that cut the piece, ``nth`` how many of its length it had
     cut before; both are settled once the pieces are written as a table.
 
     Each document is its ids and ``end_id``; a longer one than ``capacity`` is cut into pieces of
@@ -169,19 +169,19 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part, met = encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        enc, part, met = encoder(path, words_kept), TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([end_id], enc.width).tobytes()
         for batch in slices(batches):
             every, doc_ids = [t or "" for t in batch.column(1).to_pylist()], batch.column(0).to_pylist()
             for span in spans_of(every):
                 rows: list[tuple] = []
                 for doc_id, x in zip(doc_ids[span], enc.encode(every[span])):
-                    ids = np.frombuffer(x + end, enc.width).astype("<u4")
+                    ids = np.frombuffer(x + end, enc.width)
                     first = len(ids) % capacity or capacity
                     at = 0
                     for piece, stop in enumerate(range(first, len(ids) + 1, capacity)):
-                        data = ids[at:stop].tobytes()
-                        rows.append((doc_id, piece, at, stop - at, zlib.crc32(data), part, met[stop - at], data))
+                        cut_ids = ids[at:stop]
+                        rows.append((doc_id, piece, at, stop - at, zlib.crc32(cut_ids.astype("<u4").tobytes()), part, met[stop - at], cut_ids.tobytes()))
                         met[stop - at] += 1
                         at = stop
                 columns = list(zip(*rows))[: 8 if with_ids else 7]
@@ -242,10 +242,11 @@ def locate(table: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.
     return sequence, offset
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """Pieces of ``docs`` with their places in as few sequences as found; see ``pieces``."""
+def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True, words_kept: int = WORDS_KEPT) -> DataFrame:
+    """Pieces of ``docs`` with their places in as few sequences as found; see ``pieces``. A worker
+    remembers the ids of ``words_kept`` words, which changes its memory and time only."""
     ws = Workspace(docs.sparkSession, "pack")
-    cut = ws.stage(pieces(docs, tokenizer_path, capacity, end_id, with_ids), "pieces")
+    cut = ws.stage(pieces(docs, tokenizer_path, capacity, end_id, with_ids, words_kept), "pieces")
     return place(ws, cut, capacity)
 
 

@@ -240,7 +240,8 @@ def rendered(kind: Column, surface: Column, surrogate: Column, made: Column, key
 
 def surrogates(ws: Workspace, entities: DataFrame, key: str) -> DataFrame:
     """kind, canon, surrogate for distinct ``entities`` (kind, canon), all surrogates distinct and
-    none of them an entity. The smallest canonical form keeps a contested surrogate."""
+    none of them an entity. The smallest canonical form keeps a contested surrogate. A null canonical
+    form has none; no entities give no rows."""
     real = entities.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("real"))
     settled, open_ = None, entities.withColumn("attempt", F.lit(0))
     for step in range(ATTEMPTS + 1):

@@ -74,7 +74,7 @@ class Encoder:
     another rule go through the library whole. ``width`` is the numpy type that holds every id.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words_kept: int = WORDS_KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -85,6 +85,7 @@ class Encoder:
         self.split, self.letters = _splitter(), _byte_letters()
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.words_kept = words_kept
 
     def _lettered(self, word: str) -> str:
         """A word as byte-level vocabularies write its bytes."""
@@ -100,7 +101,7 @@ class Encoder:
         found = [None if w is None else list(map(known.get, w)) for w in words]
         gaps = [(f, w, gaps_of(f)) for f, w in zip(found, words) if f is not None and None in f]
         fresh = {w[at] for _, w, places in gaps for at in places}
-        if len(known) + len(fresh) > WORDS_KEPT:
+        if len(known) + len(fresh) > self.words_kept:
             known.clear()
         merge, kind = self.library.model.tokenize, "H" if self.width.itemsize == 2 else "I"
         for word in fresh:
@@ -116,9 +117,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, words_kept: int = WORDS_KEPT) -> Encoder:
     """This worker's encoder for a vocabulary file."""
-    return Encoder(path)
+    return Encoder(path, words_kept)
 
 
 def spans_of(texts: list[str], most: int = 1_000_000):
