@@ -50,9 +50,9 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document, its ids (little-endian 32-bit) and its place in the packed
+    """Every piece of every document, its ids (little-endian 16-bit) and its place in the packed
     sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, words_kept=250_000)  # earlier stages have filled the workers
 
 
 STAGES = [
