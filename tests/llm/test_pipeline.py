@@ -1,5 +1,7 @@
+import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as cp
@@ -7,7 +9,8 @@ from tidemark.llm import quality
 from tidemark.llm.workspace import Workspace
 
 from test_near_duplicates import brute
-from test_tokens import check_packed
+from test_quality import plain_score
+from test_tokens import check_packed, crc, library_ids
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,6 +39,10 @@ def test_quality_keeps_clean_and_drops_bad(spark, stages):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     scores = quality.score(docs, quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet")))
     assert kept == {r["doc_id"] for r in scores.where("score >= 0.7").collect()}
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    for r in stages[0]:
+        if (r["text"] or "").count("\n") < 40:
+            assert (r["doc_id"] in kept) == (plain_score(r["text"], model) >= 0.7)
 
 
 def test_one_of_each_group_stays(stages):
@@ -49,10 +56,23 @@ def test_personal_data_goes(stages):
     assert before.keys() == after.keys()
     assert all(r["n_chars"] == len(r["text"]) for r in stages[3])
     assert any(before[d]["text"] != after[d]["text"] for d in before)
+    # found by patterns of the test's own: each is replaced in place, alike everywhere, and all else stays
+    private = re.compile(r"[\w.%+\-]+@[\w.\-]+\.[A-Za-z]{2,}|(?<!\d)\d{16}(?!\d)|\+1 \(\d{3}\) \d{3}-\d{4}|\b[0-9a-f]{40}\b|(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d)")
+    became = {}
+    for d in before:
+        old, new = private.findall(before[d]["text"]), private.findall(after[d]["text"])
+        assert private.sub("", before[d]["text"]) == private.sub("", after[d]["text"]) and not set(old) & set(new)
+        for x, y in zip(old, new, strict=True):
+            assert became.setdefault(x, y) == y
+    assert became and len(set(became.values())) == len(became)
 
 
 def test_packing_holds_every_document(stages):
     check_packed(stages[4], [(r["doc_id"], r["text"], 1) for r in stages[3]])
+    texts = {r["doc_id"]: r["text"] for r in stages[3]}
+    for r in stages[4]:
+        ids = [*library_ids(texts[r["doc_id"]]), 2][r["start"] : r["start"] + r["length"]]
+        assert np.frombuffer(r["ids"], "<u2").tolist() == ids and r["ids_crc32"] == crc(ids)
 
 
 def test_run_equals_the_stages(spark, stages):
