@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.token_ids import WORDS_KEPT, default_path, encoder, spans_of
-from tidemark.llm.workspace import Workspace, short_batches, slices
+from tidemark.llm.workspace import Workspace, files_for, short_batches, slices
 
 CAPACITY = 1024
 END_ID = 2
@@ -213,7 +213,7 @@ def place(ws: Workspace, cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     kept = [c for c in cut.columns if c not in ("part", "nth")]
     ranked = cut.join(bases.hint("merge"), ["part", "length"]).select(*kept, seat("length", F.col("nth") + F.col("base")).alias("seat"))
-    return ranked.select(*kept, "seat.sequence_id", "seat.offset")
+    return ranked.select(*kept, "seat.sequence_id", "seat.offset").coalesce(files_for(cut))
 
 
 def _slots(patterns) -> np.ndarray:

@@ -94,10 +94,22 @@ def atomic_output(uri: str):
 
 
 def slices(batches, rows: int = 1000):
-    """Arrow batches cut into short ones, so that a worker holds few of their values as Python objects."""
+    """Arrow batches cut into short ones, so that a worker holds few of their values as Python objects.
+    After the last one, what was freed goes back to the system: workers live on from stage to stage."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 #: Rows of an Arrow batch at most: batches of whole texts fill a worker and its JVM twice over.
