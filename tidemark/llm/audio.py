@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.workspace import Workspace, atomic_output, open_fs, short_batches, slices
+from tidemark.llm.workspace import Workspace, atomic_output, files_for, open_fs, short_batches, slices
 
 _HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
@@ -284,6 +284,7 @@ def feature(spans: np.ndarray, tensors: np.ndarray) -> str:
 def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as audio, its tensors stored from the media read back, and told from
     the tensors read back."""
-    ws = Workspace(spark, "op9")
-    media = ws.stage(store(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
-    return read_tensors(ws.stage(write_tensors(media, ws.mkdirs("tensors")), "manifest"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ws = Workspace(spark, "op9", files_for(docs))
+    media = ws.stage(store(docs), "media")
+    return read_tensors(ws.stage(write_tensors(media, ws.mkdirs("tensors")), "manifest")).coalesce(files_for(docs))

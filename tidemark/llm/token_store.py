@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.token_ids import default_path, encoder, spans_of
-from tidemark.llm.workspace import Workspace, atomic_output, cut_ranges, open_fs, partitions_for, range_of, short_batches, slices
+from tidemark.llm.workspace import Workspace, atomic_output, cut_ranges, files_for, open_fs, partitions_for, range_of, short_batches, slices
 
 MAGIC = b"TMTOK002"
 TRAILER = struct.Struct("<QQQI8s")
@@ -230,7 +230,7 @@ def read_store(spark: SparkSession, manifest: DataFrame, read_bytes: int = 8 <<
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document written to a token store and read back from its files."""
-    ws = Workspace(spark, "op5")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    ws = Workspace(spark, "op5", files_for(docs))
     manifest = ws.stage(write_store(docs, ws.mkdirs("store")), "manifest")
-    return read_store(spark, manifest)
+    return read_store(spark, manifest).coalesce(files_for(docs))

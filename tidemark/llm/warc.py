@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.workspace import Workspace, atomic_output, open_fs, partitions_for, slices
+from tidemark.llm.workspace import Workspace, atomic_output, files_for, open_fs, partitions_for, slices
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: Payloads of fewer bytes are always whole responses.
@@ -322,10 +322,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def op4_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC packages and read back from them."""
-    ws = Workspace(spark, "op4")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    ws = Workspace(spark, "op4", files_for(pages))
     manifest = ws.stage(write_packages(pages, ws.mkdirs("packages")), "manifest")
-    return read_packages(spark, manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = read_packages(spark, manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return rows.coalesce(files_for(pages))
 
 
 OP4_SQL = f"""
