@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import near_duplicates, packing, pii, quality
-from tidemark.llm.workspace import Workspace
+from tidemark.llm.workspace import Workspace, files_for
 
 
 def _columns(docs: DataFrame) -> list:
@@ -28,7 +28,7 @@ def _helper() -> str:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted quality is 1; the rest go."""
     model, score = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), _helper()
-    return quality.score(docs, model, score).where(F.col(score) >= quality.THRESHOLD).select(*_columns(docs))
+    return quality.score(docs, model, score).where(F.col(score) >= quality.THRESHOLD).select(*_columns(docs)).coalesce(files_for(docs))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
