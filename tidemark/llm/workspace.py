@@ -128,7 +128,7 @@ def short_batches(spark: SparkSession) -> None:
 PARTITION_BYTES, MOST_PARTITIONS = 64 << 20, 100_000
 #: A result or a written stage has no more files than this for each core, unless its input's size
 #: asks for more, one for each FILE_BYTES.
-FILES_PER_CORE, FILE_BYTES = 2, 16 << 20
+FILES_PER_CORE, FILE_BYTES = 2, 4 << 20
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
