@@ -14,8 +14,8 @@ import numpy as np
 #: Texts of these characters only are split here, by the vocabulary's splitting rule; any other text
 #: the library splits itself, so that differences between Unicode versions can't show.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-\u024f]*")
-#: Distinct words whose ids a worker remembers at once, about 150 MB of memory.
-WORDS_KEPT = 600_000
+#: Distinct words whose ids a worker remembers at once, about 200 MB of memory.
+WORDS_KEPT = 900_000
 
 
 def _splitter():
@@ -34,17 +34,6 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in prints else chr(256 + others.index(b)) for b in range(256)]
 
 
-def gaps_of(found: list) -> list[int]:
-    """The places of None in a list."""
-    places, at = [], -1
-    try:
-        while True:
-            at = found.index(None, at + 1)
-            places.append(at)
-    except ValueError:
-        return places
-
-
 def default_path() -> str:
     import public_tokenizers
 
@@ -65,6 +54,20 @@ def splits_by_the_known_rule(path: str) -> bool:
     )
 
 
+class _Words(dict):
+    """The ids of words as bytes, made by ``make`` when a word is first met; all are forgotten when
+    there are more than ``most``."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        ids = self[word] = self.make(word)
+        return ids
+
+
 class Encoder:
     """Ids of texts as the library's ``encode(text, add_special_tokens=False)`` gives them.
 
@@ -84,8 +87,8 @@ class Encoder:
         self.has_added = re.compile("|".join(added)).search if added else lambda text: None
         self.split, self.letters = _splitter(), _byte_letters()
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.words_kept = words_kept
+        merge, kind = self.library.model.tokenize, "H" if self.width.itemsize == 2 else "I"
+        self.known = _Words(lambda word: array(kind, [t.id for t in merge(self._lettered(word))]).tobytes(), words_kept)
 
     def _lettered(self, word: str) -> str:
         """A word as byte-level vocabularies write its bytes."""
@@ -96,20 +99,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """One little-endian id array, of type ``width``, for each text."""
         plain, added = PLAIN.fullmatch, self.has_added
-        words = [self.split(t) if self.known_rule and plain(t) and not added(t) else None for t in texts]
-        known = self.known
-        found = [None if w is None else list(map(known.get, w)) for w in words]
-        gaps = [(f, w, gaps_of(f)) for f, w in zip(found, words) if f is not None and None in f]
-        fresh = {w[at] for _, w, places in gaps for at in places}
-        if len(known) + len(fresh) > self.words_kept:
-            known.clear()
-        merge, kind = self.library.model.tokenize, "H" if self.width.itemsize == 2 else "I"
-        for word in fresh:
-            known[word] = array(kind, [t.id for t in merge(self._lettered(word))]).tobytes()
-        for f, w, places in gaps:
-            for at in places:
-                f[at] = known[w[at]]
-        out = [None if f is None else b"".join(f) for f in found]
+        ids_of, split = self.known.__getitem__, self.split
+        out = [b"".join(map(ids_of, split(t))) if self.known_rule and plain(t) and not added(t) else None for t in texts]
         if odd := [i for i, x in enumerate(out) if x is None]:
             for i, e in zip(odd, self.library.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)):
                 out[i] = np.array(e.ids, self.width).tobytes()
