@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors
+from tidemark.operators import search_blocks
 
 OVERSAMPLE, NORM_TOLERANCE = 10, 1e-3
 #: Share of a segment that the second stage scores at least.
@@ -29,6 +30,13 @@ def top_k(rows: DataFrame, score: Column, k: int, row: str = "row") -> DataFrame
     return rows.withColumn("score", score).orderBy(F.col("score").desc(), row).limit(k)
 
 
+def _asked(rows: DataFrame, where: Column | None, model: str | None) -> DataFrame:
+    if model is not None:
+        same = F.when(F.col("model") == model, True).otherwise(F.raise_error(F.lit("a segment has vectors of another model")).cast("boolean"))
+        rows = rows.where(same)
+    return rows if where is None else rows.where(where)
+
+
 def search(rows: DataFrame, query: list[float], k: int, where: Column | None = None, model: str | None = None, metric: str = "cosine", oversample: int = OVERSAMPLE, coarse: str | None = None, share: float = COARSE_SHARE) -> DataFrame:
     """segment, row, event_id, score of the k best rows, by score, then segment, then row.
 
@@ -36,11 +44,7 @@ def search(rows: DataFrame, query: list[float], k: int, where: Column | None = N
     exactly: k * oversample of them, or ``share`` of the segment where that is more, so that recall
     doesn't fall as segments grow. Rows of another model are an error, not a miss.
     """
-    if model is not None:
-        same = F.when(F.col("model") == model, True).otherwise(F.raise_error(F.lit("a segment has vectors of another model")).cast("boolean"))
-        rows = rows.where(same)
-    if where is not None:
-        rows = rows.where(where)
+    rows = _asked(rows, where, model)
     q = vectors.literal(query)
     if coarse is not None:
         rows = rows.withColumn("_coarse", vectors.hamming(F.col(coarse), vectors.quantize_u1(q)))
@@ -51,6 +55,13 @@ def search(rows: DataFrame, query: list[float], k: int, where: Column | None = N
     return scored.orderBy(F.col("score").desc(), "segment", "row").limit(k)
 
 
+def search_all(rows: DataFrame, queries: DataFrame, k: int, where: Column | None = None, model: str | None = None, metric: str = "cosine", oversample: int = OVERSAMPLE, coarse: str | None = None, share: float = COARSE_SHARE) -> DataFrame:
+    """q, segment, row, event_id, score: what ``search`` gives for each of the queries (q, embedding),
+    whose q are distinct, in one job however many they are. Vectors are finite and all of one length;
+    others raise an error."""
+    return search_blocks.search(_asked(rows, where, model), queries, k, metric, k * max(oversample, 1), coarse, share)
+
+
 def rescore(rows: DataFrame, wanted: DataFrame, query: list[float], metric: str = "cosine") -> DataFrame:
     """Exact scores of the given (segment, row) pairs."""
     return rows.join(wanted.select("segment", "row"), ["segment", "row"], "left_semi").select("segment", "row", vectors.SCORES[metric](F.col("embedding"), vectors.literal(query)).alias("score"))

@@ -538,17 +538,11 @@ def v01b(spark, sf):
     """Of the ten best rows of every row whose id is divisible by 20, those that the two stages find,
     against the exact search: at least 0.9 of them."""
     rows = d.vectors(spark, sf).withColumn("bits", vectors.quantize_u1("embedding"))
-    asked = [list(r[0]) for r in rows.where("row % 20 = 0").select("embedding").collect()]
-    found = None
-    for i, q in enumerate(asked):
-        two = vector_search.search(rows, q, 10, coarse="bits", metric="dot").select(F.lit(i).alias("q"), "row")
-        found = two if found is None else found.unionByName(two)
-    exact = None
-    for i, q in enumerate(asked):
-        one = vector_search.search(rows, q, 10, metric="dot").select(F.lit(i).alias("q"), "row")
-        exact = one if exact is None else exact.unionByName(one)
-    n = exact.count()
-    return exact.join(found, ["q", "row"], "left_semi").agg(F.lit(len(asked)).cast("long").alias("asked"), (F.count("*") >= 0.9 * n).alias("enough"))
+    asked = rows.where("row % 20 = 0").select(F.col("row").alias("q"), "embedding")
+    exact = vector_search.search_all(rows, asked, 10, metric="dot").select("q", "segment", "row")
+    found = vector_search.search_all(rows, asked, 10, coarse="bits", metric="dot").select("q", "segment", "row", F.lit(True).alias("met"))
+    both = exact.join(found, ["q", "segment", "row"], "left")
+    return both.agg(F.lit(asked.count()).cast("long").alias("asked"), (F.count("met") >= 0.9 * F.count("*")).alias("enough"))
 
 
 @query("v01_two_stage_search", _EXACT_SQL)
